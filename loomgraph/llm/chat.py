@@ -76,11 +76,11 @@ def fold_events(events: DataFrame) -> DataFrame:
     reset = F.array_max(F.transform("log", lambda e, i: F.when(e["op"].isin(*RESETS), i)))
     log = log.withColumn("at", F.coalesce(reset, F.lit(-1)))
     live = F.expr("slice(log, greatest(at, 0) + 1, size(log))")
-    return log.filter("at < 0 or log[at].op <> 'delete' or at + 1 < size(log)").select(
+    return log.filter("at < 0 or get(log, at).op <> 'delete' or at + 1 < size(log)").select(
         "conv_id",
         F.col("log")[0]["seq"].alias("position"),
         "message_id",
-        F.coalesce(F.expr("filter(log, e -> e.role <> '')[0].role"), F.lit("")).alias("role"),
+        F.coalesce(F.expr("get(filter(log, e -> e.role <> ''), 0).role"), F.lit("")).alias("role"),
         F.array_join(F.transform(F.filter(live, lambda e: e["op"] != "delete"), lambda e: e["text"]), "").alias("text"),
     )
 

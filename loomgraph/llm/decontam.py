@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 #: 1: hashed, 0: ignored.  Eight hashed positions of eleven, ends included; any single substitution and most
 #: pairs within a window leave one of the three whole at some shift.
 MASKS = ("11101100111", "11011011011", "10111111001")
+#: Windows that share one copy of their surroundings.
+STRETCH = 512
 
 
 def tokens(text: str) -> Column:
@@ -31,16 +33,22 @@ def tokens(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _keys(mask: str, number: int) -> Column:
-    """The key of the window at ``p`` (from 0) of the token hashes ``h``."""
-    return F.xxhash64(F.lit(number), *[F.expr(f"h[p + {k}]") for k, bit in enumerate(mask) if bit == "1"])
+def _keys(masks: tuple[str, ...]) -> Column:
+    """One key per mask of the window at ``q`` (from 0) of the token hashes ``part``."""
+    return F.array(*[F.xxhash64(F.lit(k), *[F.expr(f"part[q + {i}]") for i, bit in enumerate(m) if bit == "1"]) for k, m in enumerate(masks)])
 
 
-def windows(hashed: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
-    """One row per window and mask: keep, p, key."""
+def windows(hashed: DataFrame, masks: tuple[str, ...], margin: int, *keep: str) -> DataFrame:
+    """One row per window and mask of ``h``: keep, base, part, q, key.  The window begins at token base + q (from 0).
+    ``part`` holds the tokens from ``base`` on, ``margin`` tokens around the windows of one stretch at least: rows of a long
+    text carry its neighbourhood, not the text."""
     span = len(masks[0])
-    starts = hashed.filter(F.size("h") >= span).withColumn("p", F.explode(F.expr(f"sequence(0, size(h) - {span})")))
-    return starts.withColumn("key", F.explode(F.array(*[_keys(m, k) for k, m in enumerate(masks)]))).select(*keep, "p", "key")
+    long_enough = hashed.filter(F.size("h") >= span).withColumn("last", F.size("h") - span)
+    stretch = long_enough.withColumn("c", F.explode(F.expr(f"sequence(0, last div {STRETCH})")))
+    base = F.expr(f"greatest(c * {STRETCH} - {margin}, 0)")
+    parts = stretch.withColumn("base", base).select(*keep, "base", "c", "last", F.expr(f"slice(h, base + 1, c * {STRETCH} + {STRETCH + span + margin} - base)").alias("part"))
+    starts = parts.withColumn("q", F.explode(F.expr(f"sequence(c * {STRETCH} - base, least(c * {STRETCH} + {STRETCH - 1}, last) - base)")))
+    return starts.withColumn("key", F.explode(_keys(masks))).select(*keep, "base", "part", "q", "key")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_overlap: float = 0.6, min_tokens: int = 13, broadcast_keys: int = 500_000) -> DataFrame:
@@ -48,22 +56,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...
     and window (agreeing tokens in the best ``min_tokens`` positions) for each pair that overlaps."""
     if len({len(m) for m in masks}) != 1 or any(m[0] != "1" or m[-1] != "1" for m in masks):
         raise ValueError("masks must have one length and begin and end with 1")
+    span, width = len(masks[0]), min_tokens
     items = benchmark.filter("item_id is not null").select("item_id", tokens("text").alias("h")).distinct()
-    seeds = windows(items, masks, "item_id", "h").select("key", "item_id", F.col("p").alias("q"), F.col("h").alias("ih"))
-    span = len(masks[0])
-    n_keys = items.agg(F.sum(F.greatest(F.size("h") - (span - 1), F.lit(0)) * len(masks))).first()[0] or 0
-    held = F.broadcast(seeds) if n_keys <= broadcast_keys else seeds
+    n_keys, longest = items.agg(F.sum(F.greatest(F.size("h") - (span - 1), F.lit(0)) * len(masks)), F.max(F.size("h"))).first()
+    seeds = windows(items, masks, longest or 0, "item_id", "h").select("key", "item_id", (F.col("base") + F.col("q")).alias("item_at"), F.col("h").alias("ih"))
 
-    hashed = docs.filter("doc_id is not null").select("doc_id", tokens("text").alias("h"))
-    hits = windows(hashed, masks, "doc_id", "h").join(held, "key")
+    row = ["doc_id", "version"]  # rows that share a doc_id but not the text stay apart until the end
+    hashed = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), tokens("text").alias("h"))
+    found = windows(hashed, masks, longest or 0, *row)
+    if (n_keys or 0) <= broadcast_keys:
+        hits = found.join(F.broadcast(seeds), "key").withColumn("start", F.col("base") + F.col("q") - F.col("item_at"))
+    else:  # only ids and positions move by key; the tokens of documents with hits join afterwards
+        narrow = found.select(*row, "key", (F.col("base") + F.col("q")).alias("at")).join(seeds.select("key", "item_id", "item_at"), "key")
+        pairs = narrow.select(*row, "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
+        hits = pairs.join(items.withColumnRenamed("h", "ih"), "item_id").join(hashed.distinct().withColumnRenamed("h", "part"), row).withColumn("base", F.lit(0))
     # the item laid over the document: 1 where they agree, 0 where not or where the document ends
-    laid = hits.withColumn("start", F.col("p") - F.col("q")).select("doc_id", "item_id", "start", "ih", F.expr("slice(h, greatest(start, 0) + 1, size(ih) + least(start, 0))").alias("part"))
+    over = F.expr("slice(part, greatest(start, 0) - base + 1, greatest(size(ih) + least(start, 0), 0))")
+    laid = hits.select(*row, "item_id", "start", "ih", over.alias("part")).dropDuplicates([*row, "item_id", "start"])
     agree = F.expr("transform(ih, (x, i) -> if(coalesce(get(part, i + least(start, 0)) = x, false), 1, 0))")
-    per_diagonal = laid.select("doc_id", "item_id", "start", agree.alias("agree")).groupBy("doc_id", "item_id", "start").agg(F.first("agree").alias("agree"))
-    width = min_tokens
     best_window = F.expr(f"array_max(transform(sequence(0, greatest(size(agree) - {width}, 0)), i -> aggregate(slice(agree, i + 1, {width}), 0, (a, x) -> a + x)))")
-    scored = per_diagonal.withColumns({"matched": F.aggregate("agree", F.lit(0), lambda a, x: a + x), "item_tokens": F.size("agree"), "window": best_window})
+    scored = laid.select("doc_id", "item_id", "start", agree.alias("agree")).withColumns({"matched": F.aggregate("agree", F.lit(0), lambda a, x: a + x), "item_tokens": F.size("agree"), "window": best_window})
     scored = scored.withColumn("overlap", F.col("matched") / F.col("item_tokens"))
     best = F.max_by(F.struct("start", "matched", "item_tokens", "overlap", "window"), F.struct("matched", "window", -F.col("start")))
-    pairs = scored.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    pairs = scored.drop("agree").groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
     return pairs.filter((F.col("overlap") >= min_overlap) | (F.col("window") >= width))

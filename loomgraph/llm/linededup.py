@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -71,10 +71,15 @@ def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
                 [pa.array(ids, pa.int64()).take(pa.array(at)), pa.array(versions, pa.int64()).take(pa.array(at)), pa.array(pos, pa.int32()), pa.array(digests, pa.binary()), pa.array(runs, pa.list_(pa.int32()))], schema=_LINES
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _version().alias("version"), "text").mapInArrow(split, _LINES_DDL)
+    return docs.select(_key().alias("doc_id"), _version().alias("version"), "text").mapInArrow(split, _LINES_DDL)
 
 
-def _version():
+def _key() -> Column:
+    """The doc_id; the smallest long stands for null, so that null ids join and come first."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+
+
+def _version() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
@@ -149,9 +154,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """``docs`` with the later copies deleted from ``text``, and the columns n_lines and n_removed."""
     copies = later_copies(docs, min_words).groupBy(*KEY).agg(F.collect_set(F.struct("pos", "length")).alias("cut"))
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    keyed = docs.select(F.struct(*others).alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("k1"), _version().alias("k2"))
+    keyed = docs.select(F.struct(*others).alias("row"), F.coalesce("text", F.lit("")).alias("text"), _key().alias("k1"), _version().alias("k2"))
     named = copies.select(F.col("doc_id").alias("c1"), F.col("version").alias("c2"), "cut")
-    joined = keyed.join(named, F.col("k1").eqNullSafe(F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    joined = keyed.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
     gone = F.array_distinct(F.flatten(F.transform("cut", lambda c: F.sequence(c["pos"], c["pos"] + c["length"] - 1))))
     flat = F.flatten(F.transform("cut", lambda c: F.array(c["pos"], c["length"])))
     without = F.pandas_udf(_without, "string")
