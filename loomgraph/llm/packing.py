@@ -120,44 +120,34 @@ def pack_block(pieces: list[Piece], tiers: list[int]) -> list[tuple[int, list[Pi
     sizes = [len(p) for p in pool]
     left = sum(sizes)
 
-    def take(i: int) -> Piece:
+    def take(i: int, most: int) -> Piece:
+        """The piece at ``i``, or its first ``most`` ids; the rest of it goes back."""
         sizes.pop(i)
-        return pool.pop(i)
-
-    for tier in reversed(tiers):
-        below = tiers[tiers.index(tier) - 1] if tier > tiers[0] else 0
-        # the last tier takes all that fills it; others as long as a piece was routed to them
+        piece = pool.pop(i)
+        if len(piece) > most:
+            piece, tail = piece.cut(most)
+            at = bisect.bisect_left(sizes, len(tail))
+            sizes.insert(at, len(tail))
+            pool.insert(at, tail)
+        return piece
+
+    for tier, below in zip(reversed(tiers), [*reversed(tiers[:-1]), 0], strict=True):
+        # as long as a piece was routed to the tier; what doesn't fit whole is only cut if nothing does
         while left >= tier and sizes and sizes[-1] > below:
-            first = bisect.bisect_right(sizes, tier) - 1
-            sequence, gap = [take(first)], 0
-            gap = tier - len(sequence[0])
+            sequence, gap = [], tier
             while gap:
-                fit = bisect.bisect_right(sizes, gap) - 1
-                if fit >= 0:
-                    sequence.append(take(fit))
-                else:
-                    head, tail = take(0).cut(gap)  # the shortest that is too long
-                    sequence.append(head)
-                    at = bisect.bisect_left(sizes, len(tail))
-                    sizes.insert(at, len(tail))
-                    pool.insert(at, tail)
+                sequence.append(take(max(0, bisect.bisect_right(sizes, gap) - 1), gap))
                 gap -= len(sequence[-1])
             left -= tier
             out.append((tier, sequence))
     size = top
-    while left:  # less than the tier that was reached: powers of two
+    while left:  # less than the smallest tier, or than the tier of a last long piece: powers of two
         while size > left:
             size //= 2
         sequence, gap = [], size
         while gap:
-            p = take(len(pool) - 1)
-            if len(p) > gap:
-                p, tail = p.cut(gap)
-                at = bisect.bisect_left(sizes, len(tail))
-                sizes.insert(at, len(tail))
-                pool.insert(at, tail)
-            sequence.append(p)
-            gap -= len(p)
+            sequence.append(take(len(pool) - 1, gap))
+            gap -= len(sequence[-1])
         left -= size
         out.append((size, sequence))
     return out
