@@ -95,7 +95,20 @@ _HEADERS: dict[str, list[tuple[str, str]]] = {
 for _like in ("tsx", "javascript"):
     _HEADERS[_like], _BLANK[_like] = _HEADERS["typescript"], _BLANK["typescript"]
 _CALL = re.compile(r"(?<![\w$#@])((?:[A-Za-z_$][\w$]*\s*(?:::(?:<[^>()]*>::)?|\?\.|->|!{0,2}\.)\s*)*)([A-Za-z_$][\w$]*)\s*(?:::<[^>()]*>|<[\w\s,.<>?\[\]]*>)?\s*(?=\()")
-_NO_CALL = frozenset("if for while switch match return catch fn func function fun sizeof typeof when in is as new let var val const await async yield super this self Self do else loop unsafe move where impl dyn mut ref pub class struct interface enum record throw throws assert using lock fixed nameof default defer go select case range type".split())
+#: Words that a parenthesis may follow without a call, in all languages and in each.
+_WORDS = {
+    "": "if for while switch match return catch function sizeof typeof super this new do else throw await yield try",
+    "rust": "fn in as move where impl let ref self Self loop unsafe pub dyn mut crate",
+    "go": "func go defer select range type var const chan map interface struct case package import",
+    "c": "struct union enum alignof defined __attribute__ _Static_assert case goto",
+    "cpp": "struct class union enum alignof decltype static_assert noexcept operator template delete throw case co_await co_return co_yield",
+    "kotlin": "when fun is in as val var constructor init class object",
+    "java": "assert synchronized case class record interface enum",
+    "csharp": "lock fixed using nameof default when is in as base checked unchecked foreach case class struct record interface enum var where not and or get set",
+    "typescript": "of in instanceof delete void import export async case class enum interface const let var constructor",
+}
+_NO_CALL = {lang: frozenset((_WORDS[""] + " " + own).split()) for lang, own in _WORDS.items() if lang}
+_NO_CALL["tsx"] = _NO_CALL["javascript"] = _NO_CALL["typescript"]
 _CONSTRUCTED = re.compile(r"\bnew\s+([\w.]+)")
 _IMPL = re.compile(r"impl\b\s*(?:<(?:[^<>]|<[^<>]*>)*>)?\s*(?:(!?[\w:]+(?:<[^{}]*?>)?)\s+for\s+)?&?(?:'\w+\s+)?(?:mut\s+)?(?:dyn\s+)?([\w:]+)")
 _BASES = {
@@ -178,7 +191,7 @@ def scan(source: str, lang: str) -> list[Found]:
             name = m[m.lastindex].strip() if m.lastindex else ""
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             at = m.end(m.lastindex) if m.lastindex else m.end()
-            if at in taken or name in _NO_CALL:
+            if at in taken or (name in _NO_CALL[lang] and name != "constructor"):
                 continue
             if kind == "Macro":
                 body, end = (text.find("{", at), 0) if lang == "rust" else (-1, text.find("\n", at))
@@ -256,6 +269,18 @@ def _variants(enum: Found, text: str, lang: str) -> list[Found]:
     return out
 
 
+def _body_start(f: Found, text: str) -> int:
+    """Where a function's own code begins: at its brace, else after the = or => of its header."""
+    if f.body >= 0:
+        return f.body
+    depth = 0
+    for k in range(f.start, f.end):
+        depth += (text[k] in "([<") - (text[k] in ")]>" and text[k - 1] not in "=-")
+        if text[k] == "=" and depth <= 0:
+            return k
+    return f.end
+
+
 def visibility(f: Found, lang: str, inside_trait: bool) -> str:
     head = f.header[: f.header.find("(")] if "(" in f.header and lang != "rust" else f.header
     words = set(re.findall(r"\w+", head))
@@ -295,7 +320,7 @@ def calls(text: str, lang: str) -> set[str]:
     out = set()
     for m in _CALL.finditer(text):
         before = text[: m.start()].rstrip()[-8:]
-        if m[2] in _NO_CALL or (not m[1] and re.search(r"\b(fn|func|fun|function|def|macro_rules!)$", before)):
+        if m[2] in _NO_CALL[lang] or (not m[1] and re.search(r"\b(fn|func|fun|function|def|macro_rules!)$", before)):
             continue
         if re.search(r"\bnew$", before) and lang in ("typescript", "tsx", "javascript", "cpp"):
             continue
@@ -328,7 +353,7 @@ def extract(path: str, source: str, lang: str) -> list[dict]:
         one = symbol(path, n, f.kind, f.name, row + 1, last + 1, parent=(path, up[0]), signature=signature(f, source, lang), visibility=visibility(f, lang, bool(up[1] and up[1].kind == "Trait")), analyzer="code")
         out.append(one | {"start_col": col, "end_col": last_col})
         if f.kind == "Function":
-            body = text[(f.body if f.body >= 0 else f.start + len(f.header)) : f.end]
+            body = text[_body_start(f, text) : f.end]
             out += [reference(path, n, "Calls", name, k, "code") for k, name in enumerate(sorted(calls(body, lang)))]
         out += [reference(path, n, "Implements", name, k, "code") for k, name in enumerate(f.implements)]
         open_.append((n, f))

@@ -16,7 +16,8 @@ FILES = "path string, rel string, ext string, bytes long, content string"
 
 
 def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """All files below ``root`` by Spark's own listing, for trees in any store; nothing is pruned here."""
+    """All files below ``root`` that aren't empty, by Spark's own listing, for trees in any store; nothing is pruned here.  Content that isn't
+    UTF-8 is null."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         reader = reader.option("pathGlobFilter", "*.{" + ",".join(extensions) + "}")
@@ -25,7 +26,7 @@ def read_tree(spark: SparkSession, root: str, extensions: tuple[str, ...] = ())
     path = F.regexp_replace("path", r"^file:/+", "/")
     plain = base.removeprefix("file://")
     rel = F.when(under(path, plain), F.substring(path, len(plain) + 2, 1 << 20)).otherwise(path)
-    content = F.decode("content", "UTF-8")
+    content = F.try_validate_utf8(F.col("content").cast("string"))
     return rows.select(path.alias("path"), rel.alias("rel"), extension(path).alias("ext"), F.col("length").alias("bytes"), content.alias("content"))
 
 
@@ -90,9 +91,12 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), prune
     kept = [p for p in walk(root, prune) if not extensions or p.rsplit(".", 1)[-1] in extensions]
     if not kept:
         return spark.createDataFrame([], FILES)
+    base = os.path.abspath(root)
     listed = spark.createDataFrame([(p,) for p in kept], "rel string")
-    files = read_tree(spark, os.path.abspath(root), tuple(sorted({p.rsplit(".", 1)[-1] for p in kept})) if extensions else ())
-    return files.join(F.broadcast(listed), "rel", "left_semi").select("path", "rel", "ext", "bytes", "content")
+    read = read_tree(spark, base, tuple(sorted({p.rsplit(".", 1)[-1] for p in kept})) if extensions else ()).select("rel", F.struct("bytes", "content").alias("f"))
+    both = listed.join(read, "rel", "left").filter("f is null or f.content is not null")  # Spark lists no empty files
+    path = F.concat(F.lit(base + "/"), "rel")
+    return both.select(path.alias("path"), "rel", extension(path).alias("ext"), F.coalesce("f.bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("f.content", F.lit("")).alias("content"))
 
 
 def code_files(files: DataFrame) -> DataFrame:
