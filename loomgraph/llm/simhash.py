@@ -261,5 +261,128 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_rows: int = 100_00
     return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+# ---- similar texts ---------------------------------------------------------------------------------------
+
+#: Bits by which the word fingerprints of candidates differ at most: with five errors over three segments, two segments
+#: have two or less each, and segments at distance two share a codeword.
+NEAR = 5
+
+
+def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) for each two segments and all of their codewords."""
+    words = []
+    for at, width in SEGMENTS:
+        part = (fps >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)
+        near = np.stack([decode(part), *(decode(part ^ (1 << k)) for k in range(width))], axis=1)
+        near.sort(axis=1)
+        new = np.ones(near.shape, bool)
+        new[:, 1:] = near[:, 1:] != near[:, :-1]
+        near[~new] = -1
+        order = np.argsort(near < 0, axis=1, kind="stable")  # the real ones first: six at most
+        words.append(np.take_along_axis(near, order, 1)[:, : max(1, int(new.sum(1).max(initial=1)))])
+    rows, out = [], []
+    for p, (a, b) in enumerate(PAIRS):
+        r, i, j = np.nonzero((words[a] >= 0)[:, :, None] & (words[b] >= 0)[:, None, :])
+        rows.append(r)
+        out.append((p << 24) | (words[a][r, i] << 12) | words[b][r, j])
+    return np.concatenate(rows), np.concatenate(out)
+
+
+def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("bucket", pa.int64()), ("first", pa.int64()), ("fp", pa.int64())])
+    for batch in batches:
+        first, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+        for at in range(0, len(fps), 4096):
+            rows, key = pair_keys(fps[at : at + 4096].view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(first[at + rows]), pa.array(fps[at + rows])], schema=schema)
+
+
+def earliest(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) for each j with an i before it in its bucket at NEAR bits or less, the earliest; rows sorted by bucket."""
+    n = len(bucket)
+    new = np.ones(n, bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    place = np.arange(n) - start
+    found = np.full(n, -1, np.int64)
+    todo = np.flatnonzero(place > 0)
+    k = 0  # compare all with the k-th of their bucket; who has found one is done
+    while len(todo):
+        i = start[todo] + k
+        hit = np.bitwise_count(fp[i] ^ fp[todo]) <= NEAR
+        found[todo[hit]] = i[hit]
+        k += 1
+        todo = todo[~hit & (place[todo] > k)]
+    j = np.flatnonzero(found >= 0)
+    return found[j], j
+
+
+def _text_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by bucket and first: candidates (a, b)."""
+    held: list[np.ndarray] = []
+
+    def links(bucket: np.ndarray, first: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        i, j = earliest(bucket, fp.view(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(first[i]), pa.array(first[j])], schema=_LINKS)
+
+    for batch in batches:
+        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(own[0]):
+            continue
+        if held:
+            own = [np.concatenate(x) for x in zip(held, own, strict=True)]
+        last = int(np.searchsorted(own[0], own[0][-1]))
+        held = [x[last:] for x in own]
+        if last:
+            yield links(*[x[:last] for x in own])
+    if held:
+        yield links(*held)
+
+
+def _shingle_sets(shingle: int):
+    schema = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            out = []
+            for text in batch.column(1).to_pylist():
+                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+                grams = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
+                out.append(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
+            yield records(schema, [batch.column(0).to_pylist(), out])
+
+    return run
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id over links of documents whose sets of ``shingle``-word shingles have a Jaccard similarity of
+    ``similarity`` or more.
+
+    Such texts have almost the same words, so fingerprints over single words differ in a few bits.  Texts that are equal
+    but for case and white space are one node.  Golay keys of any two segments bring together all fingerprints within `NEAR` bits
+    (pigeonhole); in a bucket each text is a candidate with the earliest one that is so near, which keeps the candidates of a large group
+    of copies in proportion to its texts; candidates are verified on their shingles.  Null doc_ids take no part.
+    """
+    words = F.array_join(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \t\n\x0b\f\r]+"), lambda w: w != ""), " ")
+    own = docs.filter("doc_id is not null")
+    hashed = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(words.cast("binary")).alias("same"))
+    nodes = stage(hashed.groupBy("doc_id").agg(F.min("same").alias("same")), "texts")  # of rows that repeat a doc_id one counts
+    first = nodes.groupBy("same").agg(F.min("doc_id").alias("first"))
+    texts = own.select(F.col("doc_id").cast("long").alias("first"), "text").join(first.select("first"), "first", "left_semi").dropDuplicates(["first"])
+    fps = stage(fingerprints(texts.withColumnRenamed("first", "doc_id"), 1), "word-fingerprints")
+    keyed = fps.select("doc_id", "fp").mapInArrow(_text_keys, "bucket long, first long, fp long")
+    ordered = keyed.repartition("bucket").sortWithinPartitions("bucket", "first")
+    pairs = stage(ordered.mapInArrow(_text_links, "a long, b long").distinct(), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("first")).distinct()
+    sets = stage(texts.join(ids, "first", "left_semi").select("first", "text").mapInArrow(_shingle_sets(shingle), "id long, grams array<long>"), "shingle-sets")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    shared = F.size(F.array_intersect("a_grams", "b_grams"))
+    links = both.filter(shared >= similarity * (F.size("a_grams") + F.size("b_grams") - shared)).select("a", "b")
+    member = components(links)
+    named = first.join(member.withColumnRenamed("node", "first"), "first", "left").select("same", F.coalesce("component", "first").alias("component_id"))
+    return nodes.join(named, "same").select("doc_id", "component_id")
+
+
 def hex64(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

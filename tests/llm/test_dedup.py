@@ -187,3 +187,58 @@ def test_top_k_against_brute_force(spark):
     got = topk.top_k(topk.scaled(df), (topk.F.col("vec_id") % 100 == 0) & (topk.F.col("vec_id") != 500), shard_rows=90, query_block=3).collect()
     assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
     assert topk.top_k(topk.scaled(df.limit(0)), topk.F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_pair_keys_meet_at_five_bits():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
+    b = a.copy()
+    for _ in range(5):
+        b ^= np.uint64(1) << rng.integers(0, 64, 2000).astype(np.uint64)
+    found = [set() for _ in range(2000)]
+    for r, k in zip(*(x.tolist() for x in simhash.pair_keys(a)), strict=True):
+        found[r].add(k)
+    hit = np.zeros(2000, bool)
+    for r, k in zip(*(x.tolist() for x in simhash.pair_keys(b)), strict=True):
+        hit[r] |= k in found[r]
+    assert hit.all() and max(map(len, found)) <= 108
+
+
+def test_earliest_in_bucket():
+    fp = np.array([0, 3, 1 << 20, 7, 0b11111 << 20, 1], np.uint64)
+    bucket = np.array([1, 1, 1, 1, 1, 2])
+    i, j = simhash.earliest(bucket, fp)
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1), (0, 2), (0, 3), (0, 4)]
+
+
+def test_similar_documents_against_brute_force(spark):
+    rng = random.Random(8)
+    docs = []
+    for k in range(40):
+        words = rng.choices(WORDS, k=rng.randrange(40, 200))
+        docs.append((10 * k, " ".join(words)))
+        for j in range(k % 4):
+            copy = list(words)
+            for _ in range(1 + j):
+                copy[rng.randrange(len(copy))] = f"new{rng.random()}"
+            docs.append((10 * k + 1 + j, "  ".join(copy).upper() if j == 0 else "\n".join(copy)))
+    docs += [(900, docs[0][1]), (901, None), (902, ""), (903, "two words"), (904, "Two  words"), (None, docs[0][1])]
+    df = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, component long")
+    grams = {d: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for d, t in docs if d is not None for w in [(t or "").lower().split()]}
+    parent = {d: d for d in grams}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sorted(grams):
+        for b in sorted(grams):
+            if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                ra, rb = sorted((root(a), root(b)))
+                parent[rb] = ra
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    want = {d: root(d) for d in grams}
+    # fingerprints of short texts can differ in more than five bits at 0.8: few links are missed, none is invented
+    assert sum(got[d] == want[d] for d in want) >= 0.97 * len(want) and all(want[c] == want[d] for d, c in got.items())
+    assert simhash.similar_documents(df.limit(0)).count() == 0
