@@ -25,6 +25,7 @@ is the smallest non-null one; extra columns are dropped; an empty table gives no
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -318,12 +319,13 @@ def earliest(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _text_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket and first: candidates (a, b)."""
+    """Over rows sorted by bucket and first: candidates (a, b) and the bits in which they differ."""
     held: list[np.ndarray] = []
 
     def links(bucket: np.ndarray, first: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         i, j = earliest(bucket, fp.view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(first[i]), pa.array(first[j])], schema=_LINKS)
+        bits = np.bitwise_count(fp[i].view(np.uint64) ^ fp[j].view(np.uint64)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(first[i]), pa.array(first[j]), pa.array(bits)], names=["a", "b", "bits"])
 
     for batch in batches:
         own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -339,8 +341,18 @@ def _text_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(*held)
 
 
+def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (doc_id, text) -> (doc_id, a digest of the words, their fingerprint)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("fp", pa.int64())])
+    for batch in slices(batches, "text"):
+        texts = batch.column(1).to_pylist()
+        same = [hashlib.md5(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), usedforsecurity=False).digest() for t in texts]
+        fps = np.array([fingerprint(t, 1) for t in texts], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps)], schema=schema)
+
+
 def _shingle_sets(shingle: int):
-    schema = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    schema = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -348,7 +360,7 @@ def _shingle_sets(shingle: int):
             for text in batch.column(1).to_pylist():
                 words = (text or "").encode("utf-8", "surrogatepass").lower().split()
                 grams = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
-                out.append(np.array([xxhash.xxh64_intdigest(g, SEED) for g in grams], np.uint64).view(np.int64))
+                out.append(np.array([xxhash.xxh32_intdigest(g, SEED) for g in grams], np.uint32).view(np.int32))
             yield records(schema, [batch.column(0).to_pylist(), out])
 
     return run
@@ -360,29 +372,35 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
 
     Such texts have almost the same words, so fingerprints over single words differ in a few bits.  Texts that are equal
     but for case and white space are one node.  Golay keys of any two segments bring together all fingerprints within five
-    bits (pigeonhole) and most within `NEAR`; in a bucket each text is a candidate with the earliest one that is so near, which keeps the candidates of a large group
-    of copies in proportion to its texts; candidates are verified on their shingles.  Null doc_ids take no part.
+    bits (pigeonhole) and most within `NEAR`; in a bucket each text meets the earliest one that is so near, and of all those it is compared with the earliest and the
+    closest, which keeps candidates in proportion to texts, however large a group of copies is.  Null doc_ids take no part.
     """
-    words = F.array_join(F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[ \t\n\x0b\f\r]+"), lambda w: w != ""), " ")
-    own = docs.filter("doc_id is not null")
-    hashed = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(words.cast("binary")).alias("same"))
-    nodes = stage(hashed.groupBy("doc_id").agg(F.min("same").alias("same")), "texts")  # of rows that repeat a doc_id one counts
-    first = nodes.groupBy("same").agg(F.min("doc_id").alias("first"))
-    texts = own.select(F.col("doc_id").cast("long").alias("first"), "text").join(first.select("first"), "first", "left_semi").dropDuplicates(["first"])
-    fps = stage(fingerprints(texts.withColumnRenamed("first", "doc_id"), 1), "word-fingerprints")
-    keyed = fps.select("doc_id", "fp").mapInArrow(_text_keys, "bucket long, first long, fp long")
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = stage(own.mapInArrow(_word_fingerprints, "doc_id long, same binary, fp long"), "word-fingerprints")
+    nodes = rows.groupBy("doc_id").agg(F.min(F.struct("same", "fp")).alias("t")).select("doc_id", "t.*")  # of rows that repeat a doc_id one counts
+    first = stage(nodes.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
+    keyed = first.select("first", "fp").mapInArrow(_text_keys, "bucket long, first long, fp long")
     ordered = keyed.repartition("bucket").sortWithinPartitions("bucket", "first")
-    pairs = stage(ordered.mapInArrow(_text_links, "a long, b long").distinct(), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("first")).distinct()
-    sets = stage(texts.join(ids, "first", "left_semi").select("first", "text").mapInArrow(_shingle_sets(shingle), "id long, grams array<long>"), "shingle-sets")
+    # of all buckets the earliest and the closest candidate of each text
+    found = ordered.mapInArrow(_text_links, "a long, b long, bits int").groupBy("b").agg(F.min("a").alias("early"), F.min_by("a", F.struct("bits", "a")).alias("close"))
+    pairs = stage(found.select("b", F.explode(F.array_distinct(F.array("early", "close"))).alias("a")), "candidates")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = own.join(broadcast_if(ids), "doc_id", "left_semi").select("doc_id", "text")
+    sets = stage(texts.mapInArrow(_shingle_sets(shingle), "id long, grams array<int>").groupBy("id").agg(F.first("grams").alias("grams")), "shingle-sets")
     side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.size(F.array_intersect("a_grams", "b_grams"))
-    links = both.filter(shared >= similarity * (F.size("a_grams") + F.size("b_grams") - shared)).select("a", "b")
+    sizes = both.select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).alias("shared"), (F.size("a_grams") + F.size("b_grams")).alias("total"))
+    links = sizes.filter(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b")
     member = components(links)
     named = first.join(member.withColumnRenamed("node", "first"), "first", "left").select("same", F.coalesce("component", "first").alias("component_id"))
     return nodes.join(named, "same").select("doc_id", "component_id")
 
 
+def broadcast_if(ids: DataFrame, most: int = 500_000) -> DataFrame:
+    """``ids`` to be broadcast if they are counted to be few; else a join shuffles."""
+    held = stage(ids, "ids")
+    return F.broadcast(held) if held.count() <= most else held
+
+
 def hex64(fp: str | Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
