@@ -131,7 +131,8 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     two = ranks.select(*KEY, "level", F.col("pos").alias("second"), F.col("rank").alias("r2"))
     placed = stage(runs.join(one, [*KEY, "level", "pos"]).join(two, [*KEY, "level", "second"]).select(*KEY, "pos", "length", "r1", "r2"), "runs")
     interval = ["length", "r1", "r2"]
-    first = placed.groupBy(*interval).agg(F.min(F.struct(*KEY, "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
+    # written, so that the join has two plain sides and Spark may split an interval that much of the corpus shares
+    first = stage(placed.groupBy(*interval).agg(F.min(F.struct(*KEY, "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "intervals")
     return placed.join(first, interval).filter(F.struct(*KEY, "pos") != F.col("first")).select(*KEY, "pos", "length")
 
 
