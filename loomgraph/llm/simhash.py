@@ -289,15 +289,6 @@ def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def _text_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("bucket", pa.int64()), ("first", pa.int64()), ("fp", pa.int64())])
-    for batch in batches:
-        first, fps = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
-        for at in range(0, len(fps), 4096):
-            rows, key = pair_keys(fps[at : at + 4096].view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(first[at + rows]), pa.array(fps[at + rows])], schema=schema)
-
-
 def earliest(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(i, j) for each j with an i before it in its bucket at NEAR bits or less, the earliest; rows sorted by bucket."""
     n = len(bucket)
@@ -318,82 +309,227 @@ def earliest(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found[j], j
 
 
-def _text_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by bucket and first: candidates (a, b) and the bits in which they differ."""
-    held: list[np.ndarray] = []
+#: Bits of a text's mark, in longs; texts per bucket that meet pairwise at once; one text in so many is read for common
+#: shingles, which stand in FEW_HOT of those at least; common shingles that are told apart at most.
+MARK, FEW, SAMPLE, FEW_HOT, MOST_HOT = 8, 50, 16, 3, 1_000_000
+SLACK = 1e-6
+
+
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def shingles(words: list[bytes], shingle: int) -> np.ndarray:
+    """The sorted hashes of the different shingles; fewer words than a shingle are one."""
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], np.uint64).view(np.int64)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    starts = ends - sizes
+    h = np.fromiter([digest(joined[x:y], SEED) for x, y in zip(starts.tolist(), ends[shingle - 1 :].tolist(), strict=False)], np.uint64, len(words) - shingle + 1)
+    return np.unique(h.view(np.int64))
+
+
+def mark(grams: np.ndarray) -> np.ndarray:
+    """Parities of the hashes by their residue: two marks differ in no more bits than two sets have shingles apart."""
+    odd = np.bincount(grams.view(np.uint64) % np.uint64(64 * MARK), minlength=64 * MARK).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
+def _text_key(words: list[bytes]) -> int:
+    """64 bits of a digest of the words."""
+    return int.from_bytes(hashlib.md5(b" ".join(words), usedforsecurity=False).digest()[:8], "big", signed=True)
+
+
+def _shingle_sets(shingle: int):
+    """(k, text) -> (k, grams)."""
+    schema = pa.schema([("k", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            yield records(schema, [batch.column(0).to_pylist(), [shingles(_words(t), shingle) for t in batch.column(1).to_pylist()]])
+
+    return run
+
+
+def prefix(n: int, similarity: float) -> int:
+    """So many shingles of n, the first in an order that all texts share, have one in common with those of each similar set."""
+    return n - int(np.ceil(similarity * n - SLACK)) + 1
+
+
+_FACTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("first", pa.list_(pa.int64()))])
+
 
-    def links(bucket: np.ndarray, first: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        i, j = earliest(bucket, fp.view(np.uint64))
-        bits = np.bitwise_count(fp[i].view(np.uint64) ^ fp[j].view(np.uint64)).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(first[i]), pa.array(first[j]), pa.array(bits)], names=["a", "b", "bits"])
+def _facts(shingle: int, similarity: float, hot: np.ndarray):
+    """(doc_id, version, text) -> the text's key, the size of its set, its mark and its first shingles, the common ones ordered last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            k, n, marks, first = [], [], [], []
+            for text in batch.column(2):
+                words = _words(text.as_py())
+                g = shingles(words, shingle)
+                k.append(_text_key(words))
+                n.append(len(g))
+                marks.append(mark(g))
+                if len(hot):
+                    common = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
+                    g = np.concatenate([g[~common], g[common]])
+                first.append(g[: prefix(len(g), similarity)])
+            yield records(_FACTS, [batch.column(0).to_pylist(), batch.column(1).to_pylist(), k, n, marks, first])
+
+    return run
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of whole buckets, from rows sorted by bucket (the first column)."""
+    held: list[list[pa.Array]] = []
+
+    def columns(parts: list[list[pa.Array]]) -> list[np.ndarray]:
+        whole = [pa.concat_arrays(x) for x in zip(*parts, strict=True)]
+        return [w.flatten().to_numpy(zero_copy_only=False).reshape(-1, MARK) if pa.types.is_list(w.type) else w.to_numpy(zero_copy_only=False) for w in whole]
 
     for batch in batches:
-        own = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if not len(own[0]):
+        bucket = batch.column(0).to_numpy(zero_copy_only=False)
+        if not len(bucket):
             continue
-        if held:
-            own = [np.concatenate(x) for x in zip(held, own, strict=True)]
-        last = int(np.searchsorted(own[0], own[0][-1]))
-        held = [x[last:] for x in own]
-        if last:
-            yield links(*[x[:last] for x in own])
+        last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
+        if last or held and held[0][0][0].as_py() != bucket[0]:
+            yield columns([*held, [c.slice(0, last) for c in batch.columns]])
+            held = []
+        held.append([c.slice(last) for c in batch.columns])
     if held:
-        yield links(*held)
+        yield columns(held)
 
 
-def _word_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of (doc_id, text) -> (doc_id, a digest of the words, their fingerprint)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("same", pa.binary()), ("fp", pa.int64())])
-    for batch in slices(batches, "text"):
-        texts = batch.column(1).to_pylist()
-        same = [hashlib.md5(b" ".join((t or "").encode("utf-8", "surrogatepass").lower().split()), usedforsecurity=False).digest() for t in texts]
-        fps = np.array([fingerprint(t, 1) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array(fps)], schema=schema)
+def _bounds(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+    many = np.flatnonzero(np.diff(cuts) > 1)
+    return zip(cuts[many].tolist(), cuts[many + 1].tolist(), strict=True)
 
 
-def _shingle_sets(shingle: int):
-    schema = pa.schema([("id", pa.int64()), ("grams", pa.list_(pa.int32()))])
+def _meetings(similarity: float):
+    """Over rows (bucket, k, n) sorted by bucket and k: all pairs (a, b) of fitting sizes in a bucket of FEW texts; in a
+    larger one each text with the first, the first with itself too, under the bucket's name."""
+    schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                grams = {b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))}
-                out.append(np.array([xxhash.xxh32_intdigest(g, SEED) for g in grams], np.uint32).view(np.int32))
-            yield records(schema, [batch.column(0).to_pylist(), out])
+        for bucket, k, n in _by_bucket(batches):
+            once = np.ones(len(k), bool)  # copies have one key
+            once[1:] = (bucket[1:] != bucket[:-1]) | (k[1:] != k[:-1])
+            bucket, k, n = bucket[once], k[once], n[once]
+            out: list[list[np.ndarray]] = [[], [], []]
+            valid = []
+            for s, e in _bounds(bucket):
+                if e - s <= FEW:
+                    i, j = np.triu_indices(e - s, 1)
+                    fit = np.minimum(n[s + i], n[s + j]) >= similarity * np.maximum(n[s + i], n[s + j]) - SLACK
+                    i, j = s + i[fit], s + j[fit]
+                else:
+                    i, j = np.full(e - s, s), np.arange(s, e)
+                valid.append(np.full(len(i), e - s > FEW))
+                for x, y in zip(out, (bucket[i], k[i], k[j]), strict=True):
+                    x.append(y)
+            if valid:
+                arrays = [pa.array(np.concatenate(x)) for x in out]
+                arrays[0] = pa.array(np.concatenate(out[0]), mask=~np.concatenate(valid))
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """doc_id, component_id over links of documents whose sets of ``shingle``-word shingles have a Jaccard similarity of
-    ``similarity`` or more.
+def _across(similarity: float):
+    """Over rows (bucket, n, k, component, mark) sorted by bucket and n: pairs (a, b) of different components whose sizes and
+    marks leave it open whether they are similar."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    share = (1 - similarity) / (1 + similarity)
 
-    Such texts have almost the same words, so fingerprints over single words differ in a few bits.  Texts that are equal
-    but for case and white space are one node.  Golay keys of any two segments bring together all fingerprints within five
-    bits (pigeonhole) and most within `NEAR`; in a bucket each text meets the earliest one that is so near, and of all those it is compared with the earliest and the
-    closest, which keeps candidates in proportion to texts, however large a group of copies is.  Null doc_ids take no part.
-    """
-    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stage(own.mapInArrow(_word_fingerprints, "doc_id long, same binary, fp long"), "word-fingerprints")
-    nodes = rows.groupBy("doc_id").agg(F.min(F.struct("same", "fp")).alias("t")).select("doc_id", "t.*")  # of rows that repeat a doc_id one counts
-    first = stage(nodes.groupBy("same").agg(F.min("doc_id").alias("first"), F.min("fp").alias("fp")), "texts")
-    keyed = first.select("first", "fp").mapInArrow(_text_keys, "bucket long, first long, fp long")
-    ordered = keyed.repartition("bucket").sortWithinPartitions("bucket", "first")
-    # of all buckets the earliest and the closest candidate of each text
-    found = ordered.mapInArrow(_text_links, "a long, b long, bits int").groupBy("b").agg(F.min("a").alias("early"), F.min_by("a", F.struct("bits", "a")).alias("close"))
-    pairs = stage(found.select("b", F.explode(F.array_distinct(F.array("early", "close"))).alias("a")), "candidates")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = own.join(broadcast_if(ids), "doc_id", "left_semi").select("doc_id", "text")
-    sets = stage(texts.mapInArrow(_shingle_sets(shingle), "id long, grams array<int>").groupBy("id").agg(F.first("grams").alias("grams")), "shingle-sets")
-    side = lambda c: sets.select(F.col("id").alias(c), F.col("grams").alias(f"{c}_grams"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, n, k, component, marks in _by_bucket(batches):
+            marks = marks.view(np.uint64)
+            for s, e in _bounds(bucket):
+                if (component[s:e] == component[s]).all():
+                    continue
+                low = s + np.searchsorted(n[s:e], similarity * n[s:e] - SLACK)
+                a, b, held = [], [], 0
+                for j in range(s + 1, e):
+                    i = low[j - s] + np.flatnonzero(component[low[j - s] : j] != component[j])
+                    i = i[np.bitwise_count(marks[i] ^ marks[j]).sum(1, dtype=np.int64) <= share * (n[i] + n[j]) + SLACK]
+                    a.append(k[i])
+                    b.append(np.full(len(i), k[j]))
+                    held += len(i)
+                    if held and (held >= CHUNK or j == e - 1):
+                        x, y = np.concatenate(a), np.concatenate(b)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
+                        a, b, held = [], [], 0
+
+    return run
+
+
+def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) that are similar: marks first, then the sets of what is left."""
+    side = lambda t, c, *own: t.select(F.col("k").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in own])
+    marked = pairs.join(side(marks, "a", "n", "mark"), "a").join(side(marks, "b", "n", "mark"), "b")
+    bits = F.expr("aggregate(zip_with(a_mark, b_mark, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    left = stage(marked.filter(bits <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + SLACK).select("a", "b"), "candidates")
+    ids = first.join(left.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k")
+    own = texts.join(broadcast_if(ids), ["doc_id", "version"]).select("k", "text")
+    sets = stage(own.mapInArrow(_shingle_sets(shingle), "k long, grams array<long>").groupBy("k").agg(F.first("grams").alias("grams")), "shingle-sets")
+    both = left.join(side(sets, "a", "grams"), "a").join(side(sets, "b", "grams"), "b")
     sizes = both.select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).alias("shared"), (F.size("a_grams") + F.size("b_grams")).alias("total"))
-    links = sizes.filter(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b")
+    return stage(sizes.filter(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b"), "similar")
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles that many texts of a sample have, sorted.  They only order prefixes: links don't depend on them."""
+    some = texts.filter(f"pmod(version, {SAMPLE}) = 0").select(F.col("version").alias("k"), "text")
+    sets = some.mapInArrow(_shingle_sets(shingle), "k long, grams array<long>").dropDuplicates(["k"])
+    n = sets.select(F.explode("grams").alias("gram")).groupBy("gram").count()
+    found, least = stage(n.filter(F.col("count") >= FEW_HOT), "common"), FEW_HOT
+    while found.filter(F.col("count") >= least).count() > MOST_HOT:
+        least *= 2
+    return np.sort(found.filter(F.col("count") >= least).select("gram").toArrow().column(0).to_numpy())
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, version (a hash of the text), component: texts that are linked by a Jaccard similarity of ``similarity`` or
+    more of their sets of ``shingle``-word shingles have one component.
+
+    Texts that are equal but for case and white space are one node.  Prefixes find all links: of two similar sets in one order of
+    shingles, the first `prefix` of each have one in common.  Common shingles come last in that order, so a bucket is small
+    unless its texts are made of common shingles.  In a bucket of `FEW` texts all pairs are candidates; in a larger one each text is
+    compared with the first, and then all pairs whose texts are not in one component yet, so that a group of copies costs its
+    size and not its square.  No candidate is dropped but by bounds: sizes, and marks, which differ in no more bits than the
+    sets have shingles apart.  Null doc_ids take no part.
+    """
+    own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    kind = "doc_id long, version long, k long, n int, mark array<long>, first array<long>"
+    facts = stage(own.mapInArrow(_facts(shingle, similarity, _common(own, shingle)), kind), "text-facts")
+    rows = facts.select("doc_id", "version", "k").distinct()
+    first = stage(rows.groupBy("k").agg(F.min(F.struct("doc_id", "version")).alias("t")).select("k", "t.*"), "texts")
+    marks = stage(facts.select("k", "n", "mark").dropDuplicates(["k"]), "marks")
+    keyed = facts.select(F.explode("first").alias("bucket"), "k", "n").repartition("bucket").sortWithinPartitions("bucket", "k")
+    met = stage(keyed.mapInArrow(_meetings(similarity), "bucket long, a long, b long").distinct(), "meetings")
+    links = _similar(met.filter("a <> b").select("a", "b").distinct(), marks, own, first, shingle, similarity)
+    large = met.filter("bucket is not null").select("bucket", F.col("b").alias("k"))
     member = components(links)
-    named = first.join(member.withColumnRenamed("node", "first"), "first", "left").select("same", F.coalesce("component", "first").alias("component_id"))
-    return nodes.join(named, "same").select("doc_id", "component_id")
+    if not large.isEmpty():
+        who = large.select("k").distinct().join(member.withColumnRenamed("node", "k"), "k", "left").join(marks, "k")
+        known = who.select("n", "k", F.coalesce("component", "k").alias("component"), "mark")
+        apart = large.join(broadcast_if(known, 100_000), "k").select("bucket", "n", "k", "component", "mark").repartition("bucket").sortWithinPartitions("bucket", "n", "k")
+        more = _similar(apart.mapInArrow(_across(similarity), "a long, b long").distinct(), marks, own, first, shingle, similarity)
+        if not more.isEmpty():
+            member = components(links.union(more))
+    return rows.join(member.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "version", F.coalesce("component", "k").alias("component"))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id of the component) of `similar_texts`; a doc_id that stands for texts of
+    several components is listed with each."""
+    found = stage(similar_texts(docs, shingle, similarity), "similar-texts")
+    ids = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(ids, "component").select("doc_id", "component_id").distinct()
 
 
 def broadcast_if(ids: DataFrame, most: int = 500_000) -> DataFrame:

@@ -242,3 +242,44 @@ def test_similar_documents_against_brute_force(spark):
     # fingerprints of short texts can differ in more than five bits at 0.8: few links are missed, none is invented
     assert sum(got[d] == want[d] for d in want) >= 0.97 * len(want) and all(want[c] == want[d] for d, c in got.items())
     assert simhash.similar_documents(df.limit(0)).count() == 0
+
+
+def linked_by_brute_force(texts):
+    """The smallest number of each text's component at a similarity of 0.8 of five-word shingles."""
+    grams = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for t in texts for w in [t.lower().split()]]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for b in range(len(grams)):
+        for a in range(b):
+            if len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]):
+                ra, rb = sorted((root(a), root(b)))
+                parent[rb] = ra
+    return [root(x) for x in range(len(texts))]
+
+
+def test_similar_documents_compares_all_candidates(spark):
+    """Copies of one text that are not alike among themselves, more than meet at once, and unrelated texts of few different
+    words, whose word fingerprints are close."""
+    rng = random.Random(31)
+    texts = []
+    hub = rng.choices(WORDS, k=300)
+    for _ in range(simhash.FEW + 30):
+        copy = list(hub)
+        for at in range(5, 295, 58):
+            copy[at + rng.randrange(9)] = f"new{rng.random()}"
+        texts.append(" ".join(copy))
+    texts.append(" ".join(hub))
+    few = WORDS[:12]
+    for _ in range(40):
+        words = rng.choices(few, k=200)
+        texts += [" ".join(words), " ".join(words[:-15])]
+    rng.shuffle(texts)
+    want = linked_by_brute_force(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) < len(texts) - 100
