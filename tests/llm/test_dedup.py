@@ -283,3 +283,18 @@ def test_similar_documents_compares_all_candidates(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
     assert [got[k] for k in range(len(texts))] == want and len(set(want)) < len(texts) - 100
+
+
+def test_similar_documents_finds_appended_and_cut(spark):
+    """Short texts with passages appended, and longer ones that are cut: their word fingerprints differ in many bits."""
+    rng = random.Random(32)
+    texts = []
+    for k in range(80):
+        words = rng.choices(WORDS, k=rng.randrange(25, 160))
+        more = rng.choices(WORDS, k=(len(words) - 4) // 4)
+        texts += [" ".join(words), " ".join([*words, *more]) if k % 2 else " ".join(words[: 4 + -(-4 * (len(words) - 4) // 5)])]
+    rng.shuffle(texts)
+    want = linked_by_brute_force(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+    assert [got[k] for k in range(len(texts))] == want and len(set(want)) < len(texts) - 70
