@@ -6,25 +6,34 @@ item gives one key per mask; equal keys are hits.  A hit fixes a diagonal (where
 begin); around it the item's tokens are laid over the document's and compared position by position, and a pair is reported if
 ``min_overlap`` or more of the item's tokens agree, or if ``min_tokens`` of them in a row do.
 
+Masks are sure to hit a run of ``min_tokens`` tokens.  They miss scattered substitutions, so that ``min_overlap`` has seeds of
+its own: if m of an item's n tokens agree on a diagonal, at most n - m of any n - m + 2 positions don't, so two of
+these agree.  The positions of the rarest tokens (counted on a sample, which decides on the cost only) are joined with the
+documents' tokens, and diagonals with two hits are verified.  Nothing at ``min_overlap`` is missed, wherever tokens differ.
+
 The benchmark's keys are broadcast only if their number is counted to be at most ``broadcast_keys``; beyond that the same join
-shuffles.  Documents never meet each other, and hits are compared before anything is shuffled.  Per (document, item) one
-row remains after partial aggregation.
+shuffles.  Documents never meet each other.  Hits of masks are compared before anything is shuffled, of rare tokens only
+ids and diagonals move.  Per (document, item) one row remains after partial aggregation.
 
 Defined cases: tokens are runs of letters and digits, lower-cased, whole texts; null and empty texts have none; items
-with fewer tokens than the masks' span have no window and can't be found; a document or item that is listed twice is
+with fewer than `SHORTEST` tokens are not looked for; a document or item that is listed twice is
 reported once per distinct pair of ids; null ids take no part; extra columns are dropped; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: 1: hashed, 0: ignored.  Eight hashed positions of eleven, ends included; any single substitution and most
-#: pairs within a window leave one of the three whole at some shift.
+from .simhash import broadcast_if
+
+#: 1: hashed, 0: ignored.  Eight hashed positions of eleven, ends included; a run of eleven tokens hits with each.
 MASKS = ("11101100111", "11011011011", "10111111001")
 #: Windows that share one copy of their surroundings.
 STRETCH = 512
+#: Tokens of the shortest item that is looked for; one text in so many is counted for the rarity of tokens.
+SHORTEST, SAMPLE = 6, 32
 
 
 def tokens(text: str) -> Column:
@@ -51,6 +60,23 @@ def windows(hashed: DataFrame, masks: tuple[str, ...], margin: int, *keep: str)
     return starts.withColumn("key", F.explode(_keys(masks))).select(*keep, "base", "part", "q", "key")
 
 
+def diagonals(hashed: DataFrame, items: DataFrame, min_overlap: float, broadcast_keys: int) -> DataFrame:
+    """doc_id, version, item_id, ih, start of each diagonal on which an item's rarest tokens agree as often as they must
+    where ``min_overlap`` of all of its tokens do."""
+    n = F.size("h")
+    least = F.greatest(F.ceil(min_overlap * n - 1e-9), F.lit(1)).cast("int")
+    items = items.filter(n >= SHORTEST).select("item_id", "h", F.xxhash64("h").alias("iv"), (n - least).alias("apart"), F.least(n, n - least + 2).alias("seeds"))
+    placed = items.select("item_id", "iv", "apart", "seeds", F.posexplode("h").alias("item_at", "token"))
+    some = hashed.filter(f"pmod(version, {SAMPLE}) = 0").select(F.explode("h").alias("token"))
+    often = some.join(placed.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("often"))
+    by_rarity = W.partitionBy("item_id", "iv").orderBy(F.coalesce("often", F.lit(0)), "item_at")
+    rare = placed.join(often, "token", "left").withColumn("rank", F.row_number().over(by_rarity)).filter("rank <= seeds")
+    rare = rare.select("token", "item_id", "iv", "item_at", (F.col("seeds") - F.col("apart")).alias("must"))
+    found = hashed.select("doc_id", "version", F.posexplode("h").alias("at", "token")).join(broadcast_if(rare, broadcast_keys), "token")
+    hits = found.groupBy("doc_id", "version", "item_id", "iv", "must", (F.col("at") - F.col("item_at")).alias("start")).agg(F.count("*").alias("n"))
+    return hits.filter("n >= must").select("doc_id", "version", "item_id", "iv", "start").join(items.select("item_id", "iv", F.col("h").alias("ih")), ["item_id", "iv"]).drop("iv")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_overlap: float = 0.6, min_tokens: int = 13, broadcast_keys: int = 500_000) -> DataFrame:
     """doc_id, item_id, start (token of the document at which the item would begin, from 0), matched, item_tokens, overlap
     and window (agreeing tokens in the best ``min_tokens`` positions) for each pair that overlaps."""
@@ -70,9 +96,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...
         narrow = found.select(*row, "key", (F.col("base") + F.col("q")).alias("at")).join(seeds.select("key", "item_id", "item_at"), "key")
         pairs = narrow.select(*row, "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
         hits = pairs.join(items.withColumnRenamed("h", "ih"), "item_id").join(hashed.distinct().withColumnRenamed("h", "part"), row).withColumn("base", F.lit(0))
+    row_hits = hashed.join(broadcast_if(diagonals(hashed, items, min_overlap, broadcast_keys), 50_000), row).withColumnRenamed("h", "part").withColumn("base", F.lit(0))
+    needs = [*row, "item_id", "start", "ih", "part", "base"]
+    hits = hits.select(*needs).unionByName(row_hits.select(*needs))
     # the item laid over the document: 1 where they agree, 0 where not or where the document ends
     over = F.expr("slice(part, greatest(start, 0) - base + 1, greatest(size(ih) + least(start, 0), 0))")
-    laid = hits.select(*row, "item_id", "start", "ih", over.alias("part")).dropDuplicates([*row, "item_id", "start"])
+    laid = hits.select(*row, "item_id", "start", "ih", over.alias("part")).dropDuplicates([*row, "item_id", "start", "ih"])
     agree = F.expr("transform(ih, (x, i) -> if(coalesce(get(part, i + least(start, 0)) = x, false), 1, 0))")
     best_window = F.expr(f"array_max(transform(sequence(0, greatest(size(agree) - {width}, 0)), i -> aggregate(slice(agree, i + 1, {width}), 0, (a, x) -> a + x)))")
     scored = laid.select("doc_id", "item_id", "start", agree.alias("agree")).withColumns({"matched": F.aggregate("agree", F.lit(0), lambda a, x: a + x), "item_tokens": F.size("agree"), "window": best_window})

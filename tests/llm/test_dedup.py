@@ -174,6 +174,32 @@ def test_decontamination(spark):
     assert decontam.contaminated(df.limit(0), bench).count() == 0 == decontam.contaminated(df, bench.limit(0)).count()
 
 
+def test_decontamination_finds_scattered_substitutions(spark):
+    """Items of 6 to 60 tokens, whole and with scattered substitutions, every fifth one for some; brute force decides."""
+    rng = random.Random(33)
+    items = [rng.choices(WORDS, k=n) for n in (6, 7, 8, 9, 10, 11, 12, 15, 15, 20, 20, 25, 30, 38, 38, 50, 60)]
+    docs = []
+    for item in items:
+        copies = [list(item), ["other" if k % 5 == 2 else w for k, w in enumerate(item)], ["other" if k % 5 in (1, 3) else w for k, w in enumerate(item)]]
+        for _ in range(6):
+            gone = set(rng.sample(range(len(item)), rng.randrange(1, len(item) // 2)))
+            copies.append(["other" if k in gone else w for k, w in enumerate(item)])
+        docs += [" ".join([*rng.choices(WORDS, k=rng.randrange(40)), *c, *rng.choices(WORDS, k=rng.randrange(40))]) for c in copies]
+    want = set()
+    for d, text in enumerate(docs):
+        words = text.split()
+        for i, item in enumerate(items):
+            for at in range(1 - len(item), len(words)):
+                agree = [0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(item)]
+                if sum(agree) / len(item) >= 0.6 or any(all(agree[k : k + 13]) for k in range(len(item) - 12)):
+                    want.add((d, i))
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    for keys in (500_000, 0):
+        got = [(r.doc_id, r.item_id) for r in decontam.contaminated(df, bench, broadcast_keys=keys).collect()]
+        assert set(got) == want and len(got) == len(want) > 100
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(700)]
