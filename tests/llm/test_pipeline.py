@@ -76,3 +76,12 @@ def test_empty_corpus(spark, tmp_path):
     spark.createDataFrame([], DDL).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_stage_keeps_texts_that_share_a_doc_id(spark):
+    a, b, c = good(), good(), good()
+    rows = [(1, a), (2, b), (2, c), (3, a), (3, good()), (4, c), (5, b), (5, b), (6, c.upper()), (None, a)]
+    extra = (7, good())
+    df = spark.createDataFrame([(d, t, "en", "s", 7) for d, t in [*rows, extra, extra]], DDL)
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_stage(spark, df, "").collect())
+    assert kept == sorted([(1, a), (2, b), (2, c), rows[4], (0, a), extra])
