@@ -3,6 +3,9 @@ import sys
 
 from pyspark.sql import functions as F
 
+from loomgraph.model import TUNNEL_PAIRS
+from loomgraph.plans import derived
+from loomgraph.plans.queries import QUERIES
 from loomgraph.streaming import feed
 
 
@@ -31,3 +34,21 @@ def test_change_feed(spark, tmp_path):
     events.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     assert told(feed.run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))) == want
+
+
+def test_tunnels_over_all_nodes(spark):
+    """Brute force over each node of the smallest tables."""
+    sf = "/root/testdata/sf0.001"
+    nodes = [r for r in derived.graph(spark, sf).nodes.select("node_id", "kind", "name", "file").collect()]
+    roots = {r.file: r.node_id // 8 for r in nodes if r.kind == "Module"}
+    own = [(roots[root], r) for r in nodes for root in roots if r.file == root or r.file.startswith(f"{root}/")]
+    names = {w: len({r.name for x, r in own if x == w}) for w in roots.values()}
+    want = set()
+    for v, a in own:
+        for w, b in own:
+            if v < w and a.name == b.name:
+                pair = (a.kind, b.kind) if names[v] <= names[w] else (b.kind, a.kind)
+                if pair in TUNNEL_PAIRS:
+                    want.add((v, w, a.node_id, b.node_id))
+    got = [(r.from_wing, r.to_wing, r.from_node, r.to_node) for r in QUERIES["tunnels_whole"](spark, sf).collect()]
+    assert set(got) == want and len(got) == len(want) and {n % 5 for _, _, x, _ in got for n in [x // 8]} == set(range(5))
