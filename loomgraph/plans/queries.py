@@ -281,26 +281,26 @@ _SITES = "SELECT p_partkey * 8 + 4 AS caller_id, CASE p_size % 5 WHEN 0 THEN 'no
 _TARGETS = "SELECT p_partkey * 8 + 4 AS node_id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Trait' WHEN p_partkey % 3 = 1 THEN 'Struct' ELSE 'Function' END AS kind FROM part WHERE p_partkey % 50 < 2"
 
 
-def _sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return derived.query(spark, sf_dir, _SITES, ("part",)), derived.query(spark, sf_dir, _TARGETS, ("part",))
+def _sites(spark: SparkSession, sf_dir: str, targets: str = _TARGETS) -> tuple[DataFrame, DataFrame]:
+    return derived.query(spark, sf_dir, _SITES, ("part",)), derived.query(spark, sf_dir, targets, ("part",))
 
 
 _FOUND = f"WITH sites AS (SELECT DISTINCT * FROM ({_SITES})), targets AS ({_TARGETS}), found AS (SELECT caller_id AS src, callee_name, node_id AS dst FROM sites JOIN targets ON callee_name = name)"
 
 
 @register(f"{_FOUND}, e AS (SELECT *, bool_or(dst <= src) OVER (PARTITION BY src, callee_name) AS early FROM found) SELECT DISTINCT src, dst FROM e WHERE src <> dst AND (NOT early OR dst <= src)")
-def resolve_calls_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve_calls(*_sites(spark, sf_dir), "strict")
+def resolve_calls_strict(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> DataFrame:
+    return resolve.resolve_calls(*_sites(spark, sf_dir, parts), "strict")
 
 
 @register(f"{_FOUND} SELECT DISTINCT src, dst FROM found WHERE src <> dst")
-def resolve_calls_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.resolve_calls(*_sites(spark, sf_dir))
+def resolve_calls_closed(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> DataFrame:
+    return resolve.resolve_calls(*_sites(spark, sf_dir, parts))
 
 
 @register(f"WITH sites AS ({_SITES}), t AS (SELECT name, min(node_id) AS dst FROM ({_TARGETS}) WHERE kind = 'Trait' GROUP BY name) SELECT caller_id AS src, dst, (caller_id % 3)::INT AS seq FROM sites JOIN t ON name = callee_name")
-def resolve_impls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites, targets = _sites(spark, sf_dir)
+def resolve_impls(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> DataFrame:
+    sites, targets = _sites(spark, sf_dir, parts)
     impls = sites.select(F.col("caller_id").alias("impl_id"), F.col("callee_name").alias("trait_name"), (F.col("caller_id") % 3).cast("int").alias("seq"))
     return resolve.resolve_impls(impls, targets)
 
@@ -308,13 +308,31 @@ def resolve_impls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH sites AS ({_SITES}), t AS ({_TARGETS}), f AS (SELECT name, min(node_id) AS dst FROM t WHERE kind = 'Struct' GROUP BY name)
 SELECT caller_id AS src, node_id AS dst, 'References' AS kind FROM sites JOIN t ON name = callee_name WHERE caller_id % 16 = 4
 UNION ALL SELECT caller_id, dst, 'TypeRef' FROM sites JOIN f ON name = callee_name WHERE caller_id % 16 <> 4""")
-def resolve_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sites, targets = _sites(spark, sf_dir)
+def resolve_refs(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> DataFrame:
+    sites, targets = _sites(spark, sf_dir, parts)
     every = F.col("caller_id") % 16 == 4
     refs = sites.select(F.col("caller_id").alias("src"), F.col("callee_name").alias("ref_name"), F.when(every, "References").otherwise("TypeRef").alias("edge_kind"), F.when(~every, F.array(F.lit("Struct"))).alias("target_kinds"))
     return resolve.resolve_refs(refs, targets)
 
 
+#: As above over all parts, without SQL: names that many parts share give groups of all sizes.
+_ALL_TARGETS = _TARGETS.partition(" WHERE ")[0]
+
+
+def _whole(f: Query) -> Query:
+    """The query with all parts as targets."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(spark, sf_dir, _ALL_TARGETS)
+
+    run.__name__ = f"{f.__name__}_whole"
+    return run
+
+
+for _f in (resolve_calls_strict, resolve_calls_closed, resolve_impls, resolve_refs):
+    register()(_whole(_f))
+
+
 # ---- extraction ----------------------------------------------------------------------------------
 
 _LINES = "lines AS (SELECT path, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS text, generate_subscripts(string_split(regexp_replace(content, '\\n$', ''), chr(10)), 1)::INT AS line FROM files)"

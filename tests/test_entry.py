@@ -52,3 +52,22 @@ def test_tunnels_over_all_nodes(spark):
                     want.add((v, w, a.node_id, b.node_id))
     got = [(r.from_wing, r.to_wing, r.from_node, r.to_node) for r in QUERIES["tunnels_whole"](spark, sf).collect()]
     assert set(got) == want and len(got) == len(want) and {n % 5 for _, _, x, _ in got for n in [x // 8]} == set(range(5))
+
+
+def test_resolution_over_all_parts(spark):
+    """Brute force with each part of the smallest tables as a target."""
+    sf = "/root/testdata/sf0.001"
+    parts = derived.table(spark, sf, "part").select("p_partkey", "p_name", "p_size").collect()
+    kind = lambda key: "Trait" if key % 3 == 0 else "Struct" if key % 3 == 1 else "Function"
+    called = {p.p_partkey * 8 + 4: "nobody" if p.p_size % 5 == 0 else p.p_name if p.p_size % 5 == 1 else p.p_name.split(" ")[0] + " widget" for p in parts}
+    have = lambda name, *kinds: [p.p_partkey * 8 + 4 for p in parts if p.p_name == name and (not kinds or kind(p.p_partkey) in kinds)]
+    closed, strict, impls, refs = set(), set(), set(), set()
+    for src, name in called.items():
+        every = have(name)
+        closed |= {(src, d) for d in every if d != src}
+        strict |= {(src, d) for d in ([d for d in every if d <= src] or every) if d != src}
+        impls |= {(src, d, src % 3) for d in sorted(have(name, "Trait"))[:1]}
+        refs |= {(src, d, "References") for d in every} if src % 16 == 4 else {(src, d, "TypeRef") for d in sorted(have(name, "Struct"))[:1]}
+    for query, want in {"resolve_calls_closed": closed, "resolve_calls_strict": strict, "resolve_impls": impls, "resolve_refs": refs}.items():
+        got = [tuple(r) for r in QUERIES[f"{query}_whole"](spark, sf).collect()]
+        assert set(got) == want and len(got) == len(want) > 0
