@@ -309,9 +309,9 @@ def earliest(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return found[j], j
 
 
-#: Bits of a text's mark, in longs; texts per bucket that meet pairwise at once; one text in so many is read for common
+#: Longs of a text's mark, and of a candidate's wide one; texts per bucket that meet pairwise at once; one text in so many is read for common
 #: shingles, which stand in FEW_HOT of those at least; common shingles that are told apart at most.
-MARK, FEW, SAMPLE, FEW_HOT, MOST_HOT = 8, 50, 16, 3, 1_000_000
+MARK, WIDE, FEW, SAMPLE, FEW_HOT, MOST_HOT = 8, 128, 50, 16, 3, 1_000_000
 SLACK = 1e-6
 
 
@@ -331,9 +331,9 @@ def shingles(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def mark(grams: np.ndarray) -> np.ndarray:
+def mark(grams: np.ndarray, size: int = MARK) -> np.ndarray:
     """Parities of the hashes by their residue: two marks differ in no more bits than two sets have shingles apart."""
-    odd = np.bincount(grams.view(np.uint64) % np.uint64(64 * MARK), minlength=64 * MARK).astype(np.uint8) & 1
+    odd = np.bincount(grams.view(np.uint64) % np.uint64(64 * size), minlength=64 * size).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
@@ -342,13 +342,17 @@ def _text_key(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.md5(b" ".join(words), usedforsecurity=False).digest()[:8], "big", signed=True)
 
 
+_SETS = "k long, n int, mark array<long>, grams array<long>"
+
+
 def _shingle_sets(shingle: int):
-    """(k, text) -> (k, grams)."""
-    schema = pa.schema([("k", pa.int64()), ("grams", pa.list_(pa.int64()))])
+    """(k, text) -> (k, n, mark, grams), the mark a wide one."""
+    schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            yield records(schema, [batch.column(0).to_pylist(), [shingles(_words(t), shingle) for t in batch.column(1).to_pylist()]])
+            sets = [shingles(_words(t), shingle) for t in batch.column(1).to_pylist()]
+            yield records(schema, [batch.column(0).to_pylist(), [len(g) for g in sets], [mark(g, WIDE) for g in sets], sets])
 
     return run
 
@@ -468,14 +472,19 @@ def _across(similarity: float):
 
 
 def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar: marks first, then the sets of what is left."""
+    """The pairs (a, b) that are similar: marks first, then wide marks (long texts fill the others), then the sets of what is left."""
     side = lambda t, c, *own: t.select(F.col("k").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in own])
-    marked = pairs.join(side(marks, "a", "n", "mark"), "a").join(side(marks, "b", "n", "mark"), "b")
     bits = F.expr("aggregate(zip_with(a_mark, b_mark, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    left = stage(marked.filter(bits <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + SLACK).select("a", "b"), "candidates")
+
+    def open_by(p: DataFrame, t: DataFrame) -> DataFrame:
+        marked = p.join(side(t, "a", "n", "mark"), "a").join(side(t, "b", "n", "mark"), "b")
+        return stage(marked.filter(bits <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + SLACK).select("a", "b"), "candidates")
+
+    left = open_by(pairs, marks)
     ids = first.join(left.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k")
     own = texts.join(broadcast_if(ids), ["doc_id", "version"]).select("k", "text")
-    sets = stage(own.mapInArrow(_shingle_sets(shingle), "k long, grams array<long>").groupBy("k").agg(F.first("grams").alias("grams")), "shingle-sets")
+    sets = stage(own.mapInArrow(_shingle_sets(shingle), _SETS).groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "mark", "grams")]), "shingle-sets")
+    left = open_by(left, sets)
     both = left.join(side(sets, "a", "grams"), "a").join(side(sets, "b", "grams"), "b")
     sizes = both.select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).alias("shared"), (F.size("a_grams") + F.size("b_grams")).alias("total"))
     return stage(sizes.filter(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b"), "similar")
@@ -484,7 +493,7 @@ def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, first: DataFr
 def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     """Shingles that many texts of a sample have, sorted.  They only order prefixes: links don't depend on them."""
     some = texts.filter(f"pmod(version, {SAMPLE}) = 0").select(F.col("version").alias("k"), "text")
-    sets = some.mapInArrow(_shingle_sets(shingle), "k long, grams array<long>").dropDuplicates(["k"])
+    sets = some.mapInArrow(_shingle_sets(shingle), _SETS).select("k", "grams").dropDuplicates(["k"])
     n = sets.select(F.explode("grams").alias("gram")).groupBy("gram").count()
     found, least = stage(n.filter(F.col("count") >= FEW_HOT), "common"), FEW_HOT
     while found.filter(F.col("count") >= least).count() > MOST_HOT:
