@@ -38,6 +38,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `stage` wrote and of which no plan reads any more."""
+    for table in tables:
+        sc = table.sparkSession.sparkContext
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold_of(doc_id: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n

@@ -30,12 +30,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import records, slices, stage
+from .common import discard, records, slices, stage
 
 #: Bit offset and width of the segments, and the ordered pairs (exact, decoded).
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
@@ -232,7 +233,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     """(node, component) of all nodes in ``links``; a component's id is its smallest node.
 
     Alternating large-star and small-star steps: each node's larger neighbours are linked to its smallest
-    neighbour, then its smaller ones, until nothing changes.  The number of links never grows.
+    neighbour, then its smaller ones, until nothing changes.  The number of links never grows.  Should ``max_rounds`` (far beyond
+    the logarithm of any table's size) not do, an error is raised: there is no partial result.
     """
     edges = stage(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct(), "links")
     now = None
@@ -243,9 +245,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e"))
         new = stage(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).filter("u <> v").distinct(), "links")
-        edges, before, now = new, now, new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        before, now = now, new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        discard(edges)
+        edges = new
         if now == before:
             break
+    else:
+        raise RuntimeError(f"components did not converge in {max_rounds} rounds")
     roots = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
@@ -264,54 +270,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_rows: int = 100_00
 
 # ---- similar texts ---------------------------------------------------------------------------------------
 
-#: Bits by which the word fingerprints of candidates differ at most.  With five errors over three segments, two segments have two
-#: or less each, and segments at distance two share a codeword: up to five bits all meet, of those at six about nine in ten.
-NEAR = 8
-
-
-def pair_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) for each two segments and all of their codewords."""
-    words = []
-    for at, width in SEGMENTS:
-        part = (fps >> np.uint64(at)).astype(np.int64) & ((1 << width) - 1)
-        near = np.stack([decode(part), *(decode(part ^ (1 << k)) for k in range(width))], axis=1)
-        near.sort(axis=1)
-        new = np.ones(near.shape, bool)
-        new[:, 1:] = near[:, 1:] != near[:, :-1]
-        near[~new] = -1
-        order = np.argsort(near < 0, axis=1, kind="stable")  # the real ones first: six at most
-        words.append(np.take_along_axis(near, order, 1)[:, : max(1, int(new.sum(1).max(initial=1)))])
-    rows, out = [], []
-    for p, (a, b) in enumerate(PAIRS):
-        r, i, j = np.nonzero((words[a] >= 0)[:, :, None] & (words[b] >= 0)[:, None, :])
-        rows.append(r)
-        out.append((p << 24) | (words[a][r, i] << 12) | words[b][r, j])
-    return np.concatenate(rows), np.concatenate(out)
-
-
-def earliest(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) for each j with an i before it in its bucket at NEAR bits or less, the earliest; rows sorted by bucket."""
-    n = len(bucket)
-    new = np.ones(n, bool)
-    new[1:] = bucket[1:] != bucket[:-1]
-    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    place = np.arange(n) - start
-    found = np.full(n, -1, np.int64)
-    todo = np.flatnonzero(place > 0)
-    k = 0  # compare all with the k-th of their bucket; who has found one is done
-    while len(todo):
-        i = start[todo] + k
-        hit = np.bitwise_count(fp[i] ^ fp[todo]) <= NEAR
-        found[todo[hit]] = i[hit]
-        k += 1
-        todo = todo[~hit & (place[todo] > k)]
-    j = np.flatnonzero(found >= 0)
-    return found[j], j
-
-
-#: Longs of a text's mark, and of a candidate's wide one; texts per bucket that meet pairwise at once; one text in so many is read for common
-#: shingles, which stand in FEW_HOT of those at least; common shingles that are told apart at most.
-MARK, WIDE, FEW, SAMPLE, FEW_HOT, MOST_HOT = 8, 128, 50, 16, 3, 1_000_000
+#: Longs of the smallest mark; texts of a bucket that all meet at once; one text in so many is read for common shingles, which
+#: stand in FEW_HOT of those at least; common shingles that are told apart at most; rows of a block of a bucket.
+MARK, FEW, SAMPLE, FEW_HOT, MOST_HOT, BLOCK = 8, 50, 16, 3, 1_000_000, 4096
 SLACK = 1e-6
 
 
@@ -331,28 +292,34 @@ def shingles(words: list[bytes], shingle: int) -> np.ndarray:
     return np.unique(h.view(np.int64))
 
 
-def mark(grams: np.ndarray, size: int = MARK) -> np.ndarray:
-    """Parities of the hashes by their residue: two marks differ in no more bits than two sets have shingles apart."""
-    odd = np.bincount(grams.view(np.uint64) % np.uint64(64 * size), minlength=64 * size).astype(np.uint8) & 1
+def mark(grams: np.ndarray) -> np.ndarray:
+    """Parities of the hashes by their residue, a bit or two for each shingle: two marks of one length differ in no more bits
+    than two sets have shingles apart, and half of a mark's longs over the other half are the mark of half the length."""
+    bits = 64 * max(MARK, 1 << max(0, (len(grams) - 1).bit_length() - 6))
+    odd = np.bincount(grams.view(np.uint64) & np.uint64(bits - 1), minlength=bits).astype(np.uint8) & 1
     return np.packbits(odd).view(np.int64)
 
 
+def folded(marks: np.ndarray, longs: int) -> np.ndarray:
+    while marks.shape[-1] > longs:
+        half = marks.shape[-1] // 2
+        marks = marks[..., :half] ^ marks[..., half:]
+    return marks
+
+
 def _text_key(words: list[bytes]) -> int:
     """64 bits of a digest of the words."""
     return int.from_bytes(hashlib.md5(b" ".join(words), usedforsecurity=False).digest()[:8], "big", signed=True)
 
 
-_SETS = "k long, n int, mark array<long>, grams array<long>"
-
-
 def _shingle_sets(shingle: int):
-    """(k, text) -> (k, n, mark, grams), the mark a wide one."""
-    schema = pa.schema([("k", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("grams", pa.list_(pa.int64()))])
+    """(k, text) -> (k, grams)."""
+    schema = pa.schema([("k", pa.int64()), ("grams", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = [shingles(_words(t), shingle) for t in batch.column(1).to_pylist()]
-            yield records(schema, [batch.column(0).to_pylist(), [len(g) for g in sets], [mark(g, WIDE) for g in sets], sets])
+            sets = [shingles(_words(t.as_py()), shingle) for t in batch.column(1)]
+            yield records(schema, [batch.column(0).to_pylist(), sets])
 
     return run
 
@@ -362,143 +329,161 @@ def prefix(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - SLACK)) + 1
 
 
-_FACTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("first", pa.list_(pa.int64()))])
+_FACTS = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("k", pa.int64()), ("n", pa.int32()), ("mark", pa.list_(pa.int64())), ("rare", pa.list_(pa.int64())), ("common", pa.list_(pa.int64()))])
+_FACTS_DDL = "doc_id long, version long, k long, n int, mark array<long>, rare array<long>, common array<long>"
 
 
 def _facts(shingle: int, similarity: float, hot: np.ndarray):
-    """(doc_id, version, text) -> the text's key, the size of its set, its mark and its first shingles, the common ones ordered last."""
+    """(doc_id, version, text) -> the text's key, the size of its set, its mark, and the rare and the common ones of its first shingles,
+    in an order that has the common ones last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            k, n, marks, first = [], [], [], []
+            out: list[list] = [[] for _ in range(5)]
             for text in batch.column(2):
                 words = _words(text.as_py())
                 g = shingles(words, shingle)
-                k.append(_text_key(words))
-                n.append(len(g))
-                marks.append(mark(g))
-                if len(hot):
-                    common = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g
-                    g = np.concatenate([g[~common], g[common]])
-                first.append(g[: prefix(len(g), similarity)])
-            yield records(_FACTS, [batch.column(0).to_pylist(), batch.column(1).to_pylist(), k, n, marks, first])
+                known = hot[np.minimum(np.searchsorted(hot, g), len(hot) - 1)] == g if len(hot) else np.zeros(len(g), bool)
+                rare, many = g[~known], prefix(len(g), similarity)
+                for column, value in zip(out, (_text_key(words), len(g), mark(g), rare[:many], g[known][: max(0, many - len(rare))]), strict=True):
+                    column.append(value)
+            yield records(_FACTS, [batch.column(0).to_pylist(), batch.column(1).to_pylist(), *out])
 
     return run
 
 
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
-    """The columns of whole buckets, from rows sorted by bucket (the first column)."""
-    held: list[list[pa.Array]] = []
-
-    def columns(parts: list[list[pa.Array]]) -> list[np.ndarray]:
-        whole = [pa.concat_arrays(x) for x in zip(*parts, strict=True)]
-        return [w.flatten().to_numpy(zero_copy_only=False).reshape(-1, MARK) if pa.types.is_list(w.type) else w.to_numpy(zero_copy_only=False) for w in whole]
-
-    for batch in batches:
-        bucket = batch.column(0).to_numpy(zero_copy_only=False)
-        if not len(bucket):
-            continue
-        last = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on in the next batch
-        if last or held and held[0][0][0].as_py() != bucket[0]:
-            yield columns([*held, [c.slice(0, last) for c in batch.columns]])
-            held = []
-        held.append([c.slice(last) for c in batch.columns])
-    if held:
-        yield columns(held)
-
-
-def _bounds(bucket: np.ndarray) -> Iterator[tuple[int, int]]:
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    many = np.flatnonzero(np.diff(cuts) > 1)
-    return zip(cuts[many].tolist(), cuts[many + 1].tolist(), strict=True)
-
-
 def _meetings(similarity: float):
     """Over rows (bucket, k, n) sorted by bucket and k: all pairs (a, b) of fitting sizes in a bucket of FEW texts; in a
-    larger one each text with the first, the first with itself too, under the bucket's name."""
+    larger one each text with the first, the first with itself too, under the bucket's name.  Of a bucket that goes on in the
+    next batch FEW rows are held, or the first one if it is larger."""
     schema = pa.schema([("bucket", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
+    def stars(bucket: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(a), pa.array(b)], schema=schema)
+
+    def pairs(bucket: np.ndarray, k: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Whole buckets."""
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+        sizes = np.diff(cuts)
+        for m in np.unique(sizes[(sizes > 1) & (sizes <= FEW)]).tolist():  # buckets of one size at a time
+            s = cuts[:-1][sizes == m]
+            i, j = np.triu_indices(m, 1)
+            i, j = (s[:, None] + i).ravel(), (s[:, None] + j).ravel()
+            fit = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - SLACK
+            i, j = i[fit], j[fit]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(i), pa.int64()), pa.array(k[i]), pa.array(k[j])], schema=schema)
+        large = np.repeat(sizes > FEW, sizes)
+        if large.any():
+            yield stars(bucket[large], np.repeat(k[cuts[:-1]], sizes)[large], k[large])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, k, n in _by_bucket(batches):
-            once = np.ones(len(k), bool)  # copies have one key
-            once[1:] = (bucket[1:] != bucket[:-1]) | (k[1:] != k[:-1])
-            bucket, k, n = bucket[once], k[once], n[once]
-            out: list[list[np.ndarray]] = [[], [], []]
-            valid = []
-            for s, e in _bounds(bucket):
-                if e - s <= FEW:
-                    i, j = np.triu_indices(e - s, 1)
-                    fit = np.minimum(n[s + i], n[s + j]) >= similarity * np.maximum(n[s + i], n[s + j]) - SLACK
-                    i, j = s + i[fit], s + j[fit]
-                else:
-                    i, j = np.full(e - s, s), np.arange(s, e)
-                valid.append(np.full(len(i), e - s > FEW))
-                for x, y in zip(out, (bucket[i], k[i], k[j]), strict=True):
-                    x.append(y)
-            if valid:
-                arrays = [pa.array(np.concatenate(x)) for x in out]
-                arrays[0] = pa.array(np.concatenate(out[0]), mask=~np.concatenate(valid))
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        star: tuple[int, int, int] | None = None  # bucket, first and last k of a large bucket that may go on
+        for batch in batches:
+            rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns, strict=True)]
+            if star and len(rows[0]):
+                more = int(np.searchsorted(rows[0], star[0], "right"))
+                k = rows[1][:more]
+                k = k[np.concatenate([[star[2]], k[:-1]]) != k] if more else k
+                if len(k):
+                    yield stars(np.full(len(k), star[0]), np.full(len(k), star[1]), k)
+                    star = (star[0], star[1], int(k[-1]))
+                rows = [c[more:] for c in rows]
+            if not len(rows[0]):
+                held = rows
+                continue
+            star = None
+            once = np.ones(len(rows[0]), bool)  # copies have one key
+            once[1:] = (np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)
+            rows = [c[once] for c in rows]
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            yield from pairs(*[c[:last] for c in rows])
+            held = [c[last:] for c in rows]
+            if len(held[0]) > FEW:
+                yield from pairs(*held)
+                star, held = (int(held[0][0]), int(held[1][0]), int(held[1][-1])), [c[:0] for c in held]
+        yield from pairs(*held)
 
     return run
 
 
 def _across(similarity: float):
-    """Over rows (bucket, n, k, component, mark) sorted by bucket and n: pairs (a, b) of different components whose sizes and
-    marks leave it open whether they are similar."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    """(minor rows, rows) of a block of a bucket, columns k, n, component, minor, mark -> pairs (a, b) of a minor row and a row of another
+    component whose sizes and marks leave it open whether they are similar."""
     share = (1 - similarity) / (1 + similarity)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, n, k, component, marks in _by_bucket(batches):
-            marks = marks.view(np.uint64)
-            for s, e in _bounds(bucket):
-                if (component[s:e] == component[s]).all():
-                    continue
-                low = s + np.searchsorted(n[s:e], similarity * n[s:e] - SLACK)
-                a, b, held = [], [], 0
-                for j in range(s + 1, e):
-                    i = low[j - s] + np.flatnonzero(component[low[j - s] : j] != component[j])
-                    i = i[np.bitwise_count(marks[i] ^ marks[j]).sum(1, dtype=np.int64) <= share * (n[i] + n[j]) + SLACK]
-                    a.append(k[i])
-                    b.append(np.full(len(i), k[j]))
-                    held += len(i)
-                    if held and (held >= CHUNK or j == e - 1):
-                        x, y = np.concatenate(a), np.concatenate(b)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=schema)
-                        a, b, held = [], [], 0
-
-    return run
+    def run(minor: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n", kind="stable")
+        k, n, component, loose = (rows[c].to_numpy() for c in ("k", "n", "component", "minor"))
+        longs = rows["mark"].map(len).to_numpy()  # grows with n
+        stacks = {int(x): np.stack(rows["mark"].to_numpy()[longs == x]).view(np.uint64) for x in np.unique(longs)}
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for own, size, group, m in zip(minor["k"], minor["n"], minor["component"], minor["mark"], strict=True):
+            m = np.asarray(m).view(np.uint64)
+            low, high = np.searchsorted(n, similarity * size - SLACK), np.searchsorted(n, size / similarity + SLACK, "right")
+            for length, stack in stacks.items():
+                first = int(np.searchsorted(longs, length))
+                i = np.arange(max(low, first), min(high, first + len(stack)))
+                i = i[(component[i] != group) & (~loose[i] | (k[i] > own))]
+                both = min(length, len(m))
+                apart = np.bitwise_count(folded(stack[i - first], both) ^ folded(m, both)).sum(1, dtype=np.int64)
+                i = i[apart <= share * (n[i] + size) + SLACK]
+                a.append(np.minimum(k[i], own))
+                b.append(np.maximum(k[i], own))
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+    return lambda minor, rows: run(minor, rows) if len(minor) and len(rows) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+
+def _apart(large: DataFrame, member: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (bucket, k) of one bucket that are in different components and may be similar.  Of a bucket all rows that
+    aren't in its largest component are compared with all rows: in blocks of about BLOCK by BLOCK rows, a task each."""
+    own = large.join(member.withColumnRenamed("node", "k"), "k", "left").select("bucket", "k", F.coalesce("component", "k").alias("component"))
+    parts = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all")).filter("n_major < n_all")
+    blocks, pieces = (F.ceil(c / BLOCK).cast("int") for c in (F.col("n_all") - F.col("n_major"), F.col("n_all")))
+    sizes = sizes.select("bucket", "major", blocks.alias("blocks"), pieces.alias("pieces"))
+    rows = stage(own.join(broadcast_if(sizes), "bucket").join(marks, "k").withColumn("minor", F.col("component") != F.col("major")), "open-buckets")
+    at = lambda salt, n: F.pmod(F.xxhash64("k", F.lit(salt)), n).cast("int")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    what = ("bucket", "k", "n", "component", "minor", "mark")
+    minor = rows.filter("minor").withColumn("block", at(1, F.col("blocks"))).select(*what, "block", every("pieces").alias("piece"))
+    all_rows = rows.withColumn("piece", at(2, F.col("pieces"))).select(*what, every("blocks").alias("block"), "piece")
+    task = ("bucket", "block", "piece")
+    return minor.groupBy(*task).cogroup(all_rows.groupBy(*task)).applyInPandas(_across(similarity), "a long, b long").distinct()
 
 
 def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar: marks first, then wide marks (long texts fill the others), then the sets of what is left."""
+    """The pairs (a, b) that are similar: by sizes and marks first, then by the sets of what these leave open."""
     side = lambda t, c, *own: t.select(F.col("k").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in own])
-    bits = F.expr("aggregate(zip_with(a_mark, b_mark, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-
-    def open_by(p: DataFrame, t: DataFrame) -> DataFrame:
-        marked = p.join(side(t, "a", "n", "mark"), "a").join(side(t, "b", "n", "mark"), "b")
-        return stage(marked.filter(bits <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + SLACK).select("a", "b"), "candidates")
-
-    left = open_by(pairs, marks)
+    half = lambda c: f"transform(sequence(1, size({c}_mark) div 2), i -> {c}_mark[i - 1] ^ {c}_mark[i - 1 + size({c}_mark) div 2])"
+    same = lambda c, d: f"if(size({c}_mark) > size({d}_mark), {half(c)}, {c}_mark)"
+    bits = F.expr(f"aggregate(zip_with({same('a', 'b')}, {same('b', 'a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    marked = pairs.join(side(marks, "a", "n", "mark"), "a").join(side(marks, "b", "n", "mark"), "b")
+    # of two sets that fit, the marks have one length or one is twice the other
+    fit = marked.filter(F.least("a_n", "b_n") >= similarity * F.greatest("a_n", "b_n") - SLACK)
+    left = stage(fit.filter(bits <= (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + SLACK).select("a", "b"), "candidates")
     ids = first.join(left.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k")
     own = texts.join(broadcast_if(ids), ["doc_id", "version"]).select("k", "text")
-    sets = stage(own.mapInArrow(_shingle_sets(shingle), _SETS).groupBy("k").agg(*[F.first(c).alias(c) for c in ("n", "mark", "grams")]), "shingle-sets")
-    left = open_by(left, sets)
-    both = left.join(side(sets, "a", "grams"), "a").join(side(sets, "b", "grams"), "b")
+    sets = stage(own.mapInArrow(_shingle_sets(shingle), "k long, grams array<long>").groupBy("k").agg(F.first("grams").alias("grams")), "shingle-sets")
+    both = left.join(side(sets, "b", "grams"), "b").join(side(sets, "a", "grams"), "a")
     sizes = both.select("a", "b", F.size(F.array_intersect("a_grams", "b_grams")).alias("shared"), (F.size("a_grams") + F.size("b_grams")).alias("total"))
-    return stage(sizes.filter(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b"), "similar")
+    found = stage(sizes.filter(F.col("shared") >= similarity * (F.col("total") - F.col("shared"))).select("a", "b"), "similar")
+    discard(left, sets)
+    return found
 
 
 def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     """Shingles that many texts of a sample have, sorted.  They only order prefixes: links don't depend on them."""
     some = texts.filter(f"pmod(version, {SAMPLE}) = 0").select(F.col("version").alias("k"), "text")
-    sets = some.mapInArrow(_shingle_sets(shingle), _SETS).select("k", "grams").dropDuplicates(["k"])
+    sets = some.mapInArrow(_shingle_sets(shingle), "k long, grams array<long>").dropDuplicates(["k"])
     n = sets.select(F.explode("grams").alias("gram")).groupBy("gram").count()
     found, least = stage(n.filter(F.col("count") >= FEW_HOT), "common"), FEW_HOT
     while found.filter(F.col("count") >= least).count() > MOST_HOT:
         least *= 2
-    return np.sort(found.filter(F.col("count") >= least).select("gram").toArrow().column(0).to_numpy())
+    hot = np.sort(found.filter(F.col("count") >= least).select("gram").toArrow().column(0).to_numpy())
+    discard(found)
+    return hot
 
 
 def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -508,26 +493,28 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     Texts that are equal but for case and white space are one node.  Prefixes find all links: of two similar sets in one order of
     shingles, the first `prefix` of each have one in common.  Common shingles come last in that order, so a bucket is small
     unless its texts are made of common shingles.  In a bucket of `FEW` texts all pairs are candidates; in a larger one each text is
-    compared with the first, and then all pairs whose texts are not in one component yet, so that a group of copies costs its
-    size and not its square.  No candidate is dropped but by bounds: sizes, and marks, which differ in no more bits than the
-    sets have shingles apart.  Null doc_ids take no part.
+    compared with the first, and then what isn't in the bucket's largest component yet with all of it, so that a group of copies costs its
+    size and not its square.  Buckets of common shingles are never gathered: their first text is an aggregate, and what is compared
+    later goes in blocks of bounded size.  No candidate is dropped but by bounds: sizes, and marks, which differ in no more bits
+    than the sets have shingles apart.  Null doc_ids take no part.
     """
     own = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
-    kind = "doc_id long, version long, k long, n int, mark array<long>, first array<long>"
-    facts = stage(own.mapInArrow(_facts(shingle, similarity, _common(own, shingle)), kind), "text-facts")
-    rows = facts.select("doc_id", "version", "k").distinct()
+    facts = stage(own.mapInArrow(_facts(shingle, similarity, _common(own, shingle)), _FACTS_DDL), "text-facts")
+    rows = stage(facts.select("doc_id", "version", "k").distinct(), "text-keys")
     first = stage(rows.groupBy("k").agg(F.min(F.struct("doc_id", "version")).alias("t")).select("k", "t.*"), "texts")
-    marks = stage(facts.select("k", "n", "mark").dropDuplicates(["k"]), "marks")
-    keyed = facts.select(F.explode("first").alias("bucket"), "k", "n").repartition("bucket").sortWithinPartitions("bucket", "k")
+    one = facts.join(broadcast_if(first.select("doc_id", "version")), ["doc_id", "version"], "left_semi")
+    marks = stage(one.select("k", "n", "mark").dropDuplicates(["k"]), "marks")
+    keyed = one.select(F.explode("rare").alias("bucket"), "k", "n").repartition("bucket").sortWithinPartitions("bucket", "k")
     met = stage(keyed.mapInArrow(_meetings(similarity), "bucket long, a long, b long").distinct(), "meetings")
-    links = _similar(met.filter("a <> b").select("a", "b").distinct(), marks, own, first, shingle, similarity)
-    large = met.filter("bucket is not null").select("bucket", F.col("b").alias("k"))
-    member = components(links)
+    common = one.select(F.explode("common").alias("bucket"), "k").distinct()
+    leads = common.groupBy("bucket").agg(F.min("k").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
+    stars = stage(common.join(broadcast_if(leads), "bucket").select("bucket", "a", F.col("k").alias("b")), "stars")
+    discard(facts)
+    large = met.filter("bucket is not null").union(stars)
+    links = _similar(met.select("a", "b").union(stars.select("a", "b")).filter("a <> b").distinct(), marks, own, first, shingle, similarity)
+    member = stage(components(links), "members")
     if not large.isEmpty():
-        who = large.select("k").distinct().join(member.withColumnRenamed("node", "k"), "k", "left").join(marks, "k")
-        known = who.select("n", "k", F.coalesce("component", "k").alias("component"), "mark")
-        apart = large.join(broadcast_if(known, 100_000), "k").select("bucket", "n", "k", "component", "mark").repartition("bucket").sortWithinPartitions("bucket", "n", "k")
-        more = _similar(apart.mapInArrow(_across(similarity), "a long, b long").distinct(), marks, own, first, shingle, similarity)
+        more = _similar(_apart(large.select("bucket", F.col("b").alias("k")), member, marks, similarity), marks, own, first, shingle, similarity)
         if not more.isEmpty():
             member = components(links.union(more))
     return rows.join(member.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "version", F.coalesce("component", "k").alias("component"))
