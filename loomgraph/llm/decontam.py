@@ -2,22 +2,25 @@
 
 A mask marks which of a window's token positions are hashed; the others are ignored, so that a substitution there doesn't
 hide the window.  Each token becomes a 64-bit hash once; each window of a document and each window of a benchmark
-item gives one key per mask; equal keys are hits.  A hit fixes a diagonal (where in the document the item would
-begin); around it the item's tokens are laid over the document's and compared position by position, and a pair is reported if
-``min_overlap`` or more of the item's tokens agree, or if ``min_tokens`` of them in a row do.
+item gives one key per mask; equal keys are hits.  A hit fixes a diagonal: where in the document the item would
+begin.  The item's tokens are laid over the document's on that diagonal and compared position by position, and a pair is reported
+if ``min_overlap`` or more of the item's tokens agree, or if ``min_tokens`` of them in a row do.
 
-Masks are sure to hit a run of ``min_tokens`` tokens.  They miss scattered substitutions, so that ``min_overlap`` has seeds of
-its own: if m of an item's n tokens agree on a diagonal, at most n - m of any n - m + 2 positions don't, so two of
-these agree.  The positions of the rarest tokens (counted on a sample, which decides on the cost only) are joined with the
-documents' tokens, and diagonals with two hits are verified.  Nothing at ``min_overlap`` is missed, wherever tokens differ.
+`MASKS` are sure to hit a run of ``min_tokens`` tokens.  They miss scattered substitutions, so that ``min_overlap`` has a mask of
+its own, two neighbours: if at most u of an item's n tokens don't agree on a diagonal, at most u of any g pairs without a token in
+common don't, so g - u of these agree.  The rarest u + 2 of the pairs (or all, if there are u + 1; counted on a sample,
+which decides on the cost only) are seeds, and a diagonal with that many hits is verified.  Where an item has too few pairs for its u, single
+tokens are its seeds in the same way.  Nothing at ``min_overlap`` is missed, wherever tokens differ.
 
-The benchmark's keys are broadcast only if their number is counted to be at most ``broadcast_keys``; beyond that the same join
-shuffles.  Documents never meet each other.  Hits of masks are compared before anything is shuffled, of rare tokens only
-ids and diagonals move.  Per (document, item) one row remains after partial aggregation.
+One pass over the documents makes all keys.  The benchmark's seeds are rows of four numbers; they are broadcast only
+if they are counted to be at most ``broadcast_keys``, and beyond that the same join shuffles, with the same results.  Only ids and
+diagonals move; tokens are read again for the documents and items of diagonals that have enough hits, in
+pieces of `PIECE` tokens, so neither a long document nor a long item is carried by its rows.  Documents never meet each other.
 
 Defined cases: tokens are runs of letters and digits, lower-cased, whole texts; null and empty texts have none; items
-with fewer than `SHORTEST` tokens are not looked for; a document or item that is listed twice is
-reported once per distinct pair of ids; null ids take no part; extra columns are dropped; empty tables give no rows.
+with fewer than ``min_item_tokens`` tokens are not looked for (they are common language); an item_id with several texts is reported by the
+best of them, items with one text each; a document or item that is listed twice is reported once per distinct pair
+of ids; null ids take no part; extra columns are dropped; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,14 +29,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import stage
 from .simhash import broadcast_if
 
 #: 1: hashed, 0: ignored.  Eight hashed positions of eleven, ends included; a run of eleven tokens hits with each.
 MASKS = ("11101100111", "11011011011", "10111111001")
-#: Windows that share one copy of their surroundings.
-STRETCH = 512
-#: Tokens of the shortest item that is looked for; one text in so many is counted for the rarity of tokens.
-SHORTEST, SAMPLE = 6, 32
+#: Windows that share one copy of their tokens; tokens that are compared in one row; one text in so many is counted for rarity.
+STRETCH, PIECE, SAMPLE = 512, 512, 32
 
 
 def tokens(text: str) -> Column:
@@ -42,70 +44,85 @@ def tokens(text: str) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _keys(masks: tuple[str, ...]) -> Column:
-    """One key per mask of the window at ``q`` (from 0) of the token hashes ``part``."""
-    return F.array(*[F.xxhash64(F.lit(k), *[F.expr(f"part[q + {i}]") for i, bit in enumerate(m) if bit == "1"]) for k, m in enumerate(masks)])
+def _key(mask: str, number: int) -> Column:
+    """The key of the window at ``q`` (from 0) of ``part``; null where the window doesn't fit."""
+    hashed = ", ".join(f"get(part, q + {i})" for i, bit in enumerate(mask) if bit == "1")
+    return F.expr(f"if(q + {len(mask)} <= size(part), xxhash64({number}, {hashed}), null)")
 
 
-def windows(hashed: DataFrame, masks: tuple[str, ...], margin: int, *keep: str) -> DataFrame:
-    """One row per window and mask of ``h``: keep, base, part, q, key.  The window begins at token base + q (from 0).
-    ``part`` holds the tokens from ``base`` on, ``margin`` tokens around the windows of one stretch at least: rows of a long
-    text carry its neighbourhood, not the text."""
-    span = len(masks[0])
-    long_enough = hashed.filter(F.size("h") >= span).withColumn("last", F.size("h") - span)
-    stretch = long_enough.withColumn("c", F.explode(F.expr(f"sequence(0, last div {STRETCH})")))
-    base = F.expr(f"greatest(c * {STRETCH} - {margin}, 0)")
-    parts = stretch.withColumn("base", base).select(*keep, "base", "c", "last", F.expr(f"slice(h, base + 1, c * {STRETCH} + {STRETCH + span + margin} - base)").alias("part"))
-    starts = parts.withColumn("q", F.explode(F.expr(f"sequence(c * {STRETCH} - base, least(c * {STRETCH} + {STRETCH - 1}, last) - base)")))
-    return starts.withColumn("key", F.explode(_keys(masks))).select(*keep, "base", "part", "q", "key")
+def windows(hashed: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
+    """keep, at, number, key: one row for each place of ``h`` and each mask that fits there."""
+    span = max(map(len, masks))
+    stretch = hashed.filter(F.size("h") > 0).withColumn("c", F.explode(F.expr(f"sequence(0, (size(h) - 1) div {STRETCH})")))
+    parts = stretch.select(*keep, "c", F.expr(f"slice(h, c * {STRETCH} + 1, {STRETCH + span - 1})").alias("part"))
+    places = parts.withColumn("q", F.explode(F.expr(f"sequence(0, least({STRETCH}, size(part)) - 1)")))
+    keys = places.select(*keep, (F.col("c") * STRETCH + F.col("q")).alias("at"), F.posexplode(F.array(*[_key(m, k) for k, m in enumerate(masks)])).alias("number", "key"))
+    return keys.filter("key is not null")
 
 
-def diagonals(hashed: DataFrame, items: DataFrame, min_overlap: float, broadcast_keys: int) -> DataFrame:
-    """doc_id, version, item_id, ih, start of each diagonal on which an item's rarest tokens agree as often as they must
-    where ``min_overlap`` of all of its tokens do."""
+def item_seeds(items: DataFrame, docs: DataFrame, masks: tuple[str, ...], min_overlap: float) -> DataFrame:
+    """key, iv, item_at, need of items (iv, h): need is null where one hit decides for a verification, else so many hits of
+    the item do.  ``masks`` end with the mask of pairs and that of single tokens."""
+    pair, single = len(masks) - 2, len(masks) - 1
     n = F.size("h")
-    least = F.greatest(F.ceil(min_overlap * n - 1e-9), F.lit(1)).cast("int")
-    items = items.filter(n >= SHORTEST).select("item_id", "h", F.xxhash64("h").alias("iv"), (n - least).alias("apart"), F.least(n, n - least + 2).alias("seeds"))
-    placed = items.select("item_id", "iv", "apart", "seeds", F.posexplode("h").alias("item_at", "token"))
-    some = hashed.filter(f"pmod(version, {SAMPLE}) = 0").select(F.explode("h").alias("token"))
-    often = some.join(placed.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("often"))
-    by_rarity = W.partitionBy("item_id", "iv").orderBy(F.coalesce("often", F.lit(0)), "item_at")
-    rare = placed.join(often, "token", "left").withColumn("rank", F.row_number().over(by_rarity)).filter("rank <= seeds")
-    rare = rare.select("token", "item_id", "iv", "item_at", (F.col("seeds") - F.col("apart")).alias("must"))
-    found = hashed.select("doc_id", "version", F.posexplode("h").alias("at", "token")).join(broadcast_if(rare, broadcast_keys), "token")
-    hits = found.groupBy("doc_id", "version", "item_id", "iv", "must", (F.col("at") - F.col("item_at")).alias("start")).agg(F.count("*").alias("n"))
-    return hits.filter("n >= must").select("doc_id", "version", "item_id", "iv", "start").join(items.select("item_id", "iv", F.col("h").alias("ih")), ["item_id", "iv"]).drop("iv")
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_overlap: float = 0.6, min_tokens: int = 13, broadcast_keys: int = 500_000) -> DataFrame:
+    apart = n - F.greatest(F.ceil(min_overlap * n - 1e-9), F.lit(1)).cast("int")  # tokens that needn't agree
+    every = windows(items.withColumns({"n": n, "apart": apart}), masks, "iv", "n", "apart")
+    use = F.when(F.expr("n div 2 > apart"), pair).otherwise(single)
+    own = every.filter((F.col("number") == use) & ((F.col("number") == single) | (F.col("at") % 2 == 0)))
+    some = docs.filter(f"pmod(version, {SAMPLE}) = 0").select(tokens("text").alias("h"))
+    often = windows(some, masks).filter(F.col("number") >= pair).join(broadcast_if(own.select("key").distinct()), "key").groupBy("key").agg(F.count("*").alias("often"))
+    ranked = own.join(often, "key", "left").withColumn("rank", F.row_number().over(W.partitionBy("iv").orderBy(F.coalesce("often", F.lit(0)), "at")))
+    rare = ranked.filter("rank <= apart + 2").withColumn("need", F.count("*").over(W.partitionBy("iv")) - F.col("apart"))
+    runs = every.filter(F.col("number") < pair).select("key", "iv", F.col("at").alias("item_at"), F.lit(None).cast("int").alias("need"))
+    return runs.unionByName(rare.select("key", "iv", F.col("at").alias("item_at"), F.col("need").cast("int").alias("need")))
+
+
+def _pieces(hashed: DataFrame, *keep: str) -> DataFrame:
+    """keep, c, part: ``h`` in pieces of PIECE tokens."""
+    each = hashed.filter(F.size("h") > 0).withColumn("c", F.explode(F.expr(f"sequence(0, (size(h) - 1) div {PIECE})")))
+    return each.select(*keep, "c", F.expr(f"slice(h, c * {PIECE} + 1, {PIECE})").alias("part"))
+
+
+def agreement(diagonals: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, version, iv, start, places: the places of the item's tokens that agree on each diagonal (doc_id, version, iv, start)."""
+    row = ["doc_id", "version"]
+    sizes = items.select("iv", F.size("h").alias("n"))
+    laid = diagonals.join(broadcast_if(sizes), "iv").withColumn("ic", F.explode(F.expr(f"sequence(0, (n - 1) div {PIECE})")))
+    # a piece of the item lies over two of the document at most
+    first = F.floor((F.col("start") + F.col("ic") * PIECE) / PIECE).cast("int")
+    laid = laid.withColumn("c", F.explode(F.array(first, first + 1))).filter("c >= 0").select(*row, "iv", "start", "ic", "c")
+    laid = laid.join(broadcast_if(_pieces(items, "iv").withColumnsRenamed({"c": "ic", "part": "own"}), 20_000), ["iv", "ic"])
+    hit = docs.join(broadcast_if(diagonals.select(*row).distinct()), row, "left_semi").select(*row, tokens("text").alias("h"))
+    met = _pieces(hit, *row).join(broadcast_if(laid, 10_000), [*row, "c"])
+    shift = F.expr(f"start + ic * {PIECE} - c * {PIECE}")
+    same = F.expr("filter(transform(own, (x, i) -> if(i + shift >= 0 and get(part, i + shift) = x, i, null)), i -> i is not null)")
+    places = met.withColumn("shift", shift.cast("int")).select(*row, "iv", "start", "ic", "c", F.transform(same, lambda i: i + F.col("ic") * PIECE).alias("places"))
+    once = places.groupBy(*row, "iv", "start", "ic", "c").agg(F.first("places").alias("places"))  # of repeated rows
+    return once.groupBy(*row, "iv", "start").agg(F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...] = MASKS, min_overlap: float = 0.6, min_tokens: int = 13, min_item_tokens: int = 6, broadcast_keys: int = 500_000) -> DataFrame:
     """doc_id, item_id, start (token of the document at which the item would begin, from 0), matched, item_tokens, overlap
     and window (agreeing tokens in the best ``min_tokens`` positions) for each pair that overlaps."""
-    if len({len(m) for m in masks}) != 1 or any(m[0] != "1" or m[-1] != "1" for m in masks):
-        raise ValueError("masks must have one length and begin and end with 1")
-    span, width = len(masks[0]), min_tokens
-    items = benchmark.filter("item_id is not null").select("item_id", tokens("text").alias("h")).distinct()
-    n_keys, longest = items.agg(F.sum(F.greatest(F.size("h") - (span - 1), F.lit(0)) * len(masks)), F.max(F.size("h"))).first()
-    seeds = windows(items, masks, longest or 0, "item_id", "h").select("key", "item_id", (F.col("base") + F.col("q")).alias("item_at"), F.col("h").alias("ih"))
-
-    row = ["doc_id", "version"]  # rows that share a doc_id but not the text stay apart until the end
-    hashed = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), tokens("text").alias("h"))
-    found = windows(hashed, masks, longest or 0, *row)
-    if (n_keys or 0) <= broadcast_keys:
-        hits = found.join(F.broadcast(seeds), "key").withColumn("start", F.col("base") + F.col("q") - F.col("item_at"))
-    else:  # only ids and positions move by key; the tokens of documents with hits join afterwards
-        narrow = found.select(*row, "key", (F.col("base") + F.col("q")).alias("at")).join(seeds.select("key", "item_id", "item_at"), "key")
-        pairs = narrow.select(*row, "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
-        hits = pairs.join(items.withColumnRenamed("h", "ih"), "item_id").join(hashed.distinct().withColumnRenamed("h", "part"), row).withColumn("base", F.lit(0))
-    row_hits = hashed.join(broadcast_if(diagonals(hashed, items, min_overlap, broadcast_keys), 50_000), row).withColumnRenamed("h", "part").withColumn("base", F.lit(0))
-    needs = [*row, "item_id", "start", "ih", "part", "base"]
-    hits = hits.select(*needs).unionByName(row_hits.select(*needs))
-    # the item laid over the document: 1 where they agree, 0 where not or where the document ends
-    over = F.expr("slice(part, greatest(start, 0) - base + 1, greatest(size(ih) + least(start, 0), 0))")
-    laid = hits.select(*row, "item_id", "start", "ih", over.alias("part")).dropDuplicates([*row, "item_id", "start", "ih"])
-    agree = F.expr("transform(ih, (x, i) -> if(coalesce(get(part, i + least(start, 0)) = x, false), 1, 0))")
-    best_window = F.expr(f"array_max(transform(sequence(0, greatest(size(agree) - {width}, 0)), i -> aggregate(slice(agree, i + 1, {width}), 0, (a, x) -> a + x)))")
-    scored = laid.select("doc_id", "item_id", "start", agree.alias("agree")).withColumns({"matched": F.aggregate("agree", F.lit(0), lambda a, x: a + x), "item_tokens": F.size("agree"), "window": best_window})
-    scored = scored.withColumn("overlap", F.col("matched") / F.col("item_tokens"))
+    if any(m[0] != "1" or m[-1] != "1" or len(m) > min_tokens for m in masks):
+        raise ValueError("masks must begin and end with 1 and fit in min_tokens")
+    known = benchmark.filter("item_id is not null").select("item_id", tokens("text").alias("h")).filter(F.size("h") >= min_item_tokens).select("item_id", F.xxhash64("h").alias("iv"), "h")
+    items = stage(known.select("iv", "h").dropDuplicates(["iv"]), "items")
+    names = stage(known.select("item_id", "iv").distinct(), "item-ids")
+    own = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), "text")  # rows that share a doc_id but not the text stay apart until the end
+    every = (*masks, "11", "1")
+    seeds = stage(item_seeds(items, own, every, min_overlap), "seeds")
+
+    single = seeds.filter("need is not null").join(items.select("iv", F.size("h").alias("n")), "iv").filter(f"n div 2 <= n - greatest(int(ceil({min_overlap} * n - 1e-9)), 1)")
+    used = every[: -1 if single.isEmpty() else None]  # single tokens are seeds of odd thresholds or items only
+    hashed = own.select("doc_id", "version", tokens("text").alias("h"))
+    met = windows(hashed, used, "doc_id", "version").join(broadcast_if(seeds, broadcast_keys), "key")
+    hits = met.groupBy("doc_id", "version", "iv", (F.col("at") - F.col("item_at")).alias("start")).agg(F.bool_or(F.col("need").isNull()).alias("run"), F.count("need").alias("n"), F.max("need").alias("need"))
+    diagonals = stage(hits.filter("run or n >= need").select("doc_id", "version", "iv", "start"), "diagonals")
+
+    laid = agreement(diagonals, own, items)
+    window = F.expr(f"coalesce(array_max(transform(places, (p, i) -> aggregate(sequence(0, {min_tokens - 1}), 0, (s, j) -> if(coalesce(get(places, i + j) < p + {min_tokens}, false), s + 1, s)))), 0)")
+    scored = laid.join(broadcast_if(items.select("iv", F.size("h").alias("item_tokens"))), "iv").select("doc_id", "iv", "start", F.size("places").alias("matched"), "item_tokens", window.alias("window"))
+    scored = scored.withColumn("overlap", F.col("matched") / F.col("item_tokens")).filter((F.col("overlap") >= min_overlap - 1e-9) | (F.col("window") >= min_tokens))
     best = F.max_by(F.struct("start", "matched", "item_tokens", "overlap", "window"), F.struct("matched", "window", -F.col("start")))
-    pairs = scored.drop("agree").groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
-    return pairs.filter((F.col("overlap") >= min_overlap) | (F.col("window") >= width))
+    return scored.join(broadcast_if(names), "iv").groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

@@ -203,6 +203,23 @@ def test_decontamination_finds_scattered_substitutions(spark):
         assert set(got) == want and len(got) == len(want) > 100
 
 
+def test_decontamination_with_long_items_and_items_of_two_texts(spark):
+    """The same rows whether seeds are broadcast or not; an item longer than any piece, laid over repeated rows of a document."""
+    rng = random.Random(34)
+    long = [f"t{rng.randrange(3000)}" for _ in range(20_000)]
+    changed = [w if k % 3 else f"o{k}" for k, w in enumerate(long)]
+    a, b = rng.choices(WORDS, k=20), rng.choices(WORDS, k=20)
+    docs = [(1, " ".join(["before"] * 700 + changed)), (1, " ".join(["before"] * 700 + changed)), (2, " ".join(a)), (3, " ".join(["x", *b, "y"])), (4, " ".join(long[9000:9012])), (5, " ".join(long[9000:9013]))]
+    items = [(10, " ".join(long)), (11, " ".join(a)), (11, " ".join(b)), (12, " ".join(b)), (13, "five words are not enough"), (13, "five words are not enough")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for keys in (500_000, 0):
+        got = {(r.doc_id, r.item_id): (r.start, r.matched, r.item_tokens, r.window) for r in decontam.contaminated(df, bench, broadcast_keys=keys).collect()}
+        assert got.keys() == {(1, 10), (2, 11), (3, 11), (3, 12), (5, 10)}
+        assert got[1, 10][:3] == (700, sum(k % 3 > 0 for k in range(20_000)), 20_000) and got[1, 10][3] < 13
+        assert got[5, 10] == (-9000, 13, 20_000, 13) and got[3, 11] == got[3, 12] == (1, 20, 20, 13)
+
+
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(700)]
