@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import slices, stage
+from .common import discard, slices, stage
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("version", pa.int64()), ("pos", pa.int32()), ("line", pa.binary()), ("runs", pa.list_(pa.int32()))])
 _LINES_DDL = "doc_id long, version long, pos int, line binary, runs array<int>"
@@ -37,17 +37,17 @@ KEY = ["doc_id", "version"]
 
 def shortest_runs(words: list[int], min_words: int) -> list[list[int]]:
     """For each line the lengths of the runs that start there: the shortest with ``min_words`` words, and each
-    run that is the shortest with its last line."""
+    run that is the shortest with its last line.  Two runs for each line of the text at most, all in all."""
     n = len(words)
     total = np.concatenate([[0], np.cumsum(words)])
     runs: list[list[int]] = [[] for _ in range(n)]
-    ends = np.searchsorted(total, total[:-1] + min_words)  # the first prefix that is long enough
-    for i, e in enumerate(ends.tolist()):
+    ends = np.searchsorted(total, total[:-1] + min_words).tolist()  # the first prefix that is long enough
+    for i, e in enumerate(ends):
         if e <= n:
             runs[i].append(e - i)
     starts = np.searchsorted(total, total[1:] - min_words, side="right") - 1
     for e, s in enumerate(starts.tolist()):
-        if s >= 0 and e + 1 - s not in runs[s]:
+        if s >= 0 and ends[s] != e + 1:
             runs[s].append(e + 1 - s)
     return runs
 
@@ -112,6 +112,7 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
         shared = pairs.groupBy("rank", "ahead").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rank").alias("r1"), F.col("ahead").alias("r2"))
         named = ranked(shared, ["r1", "r2"], "pair-ranks")
         level = stage(pairs.withColumnsRenamed({"rank": "r1", "ahead": "r2"}).join(named, ["r1", "r2"]).select(*KEY, "pos", "rank"), "suffix-ranks")
+        discard(pairs, named)
         if level.isEmpty():
             break
         levels.append(level)
@@ -133,22 +134,24 @@ def later_copies(docs: DataFrame, min_words: int = 50) -> DataFrame:
     interval = ["length", "r1", "r2"]
     # written, so that the join has two plain sides and Spark may split an interval that much of the corpus shares
     first = stage(placed.groupBy(*interval).agg(F.min(F.struct(*KEY, "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "intervals")
+    discard(lines, *levels)
     return placed.join(first, interval).filter(F.struct(*KEY, "pos") != F.col("first")).select(*KEY, "pos", "length")
 
 
-def _without(text: pd.Series, cut: pd.Series) -> pd.Series:
-    """The texts without the lines of the runs (pos, length, pos, length, ...)."""
+def _without(text: pd.Series, cut: pd.Series) -> pd.DataFrame:
+    """The texts without the lines of the runs (pos, length, pos, length, ...), and how many lines went.  Runs overlap; what they
+    cover is summed up once for a text, so a text of many lines in long runs costs its lines and its runs."""
 
-    def one(t: str, runs: np.ndarray | None) -> str:
+    def one(t: str, runs: np.ndarray | None) -> tuple[str, int]:
         if runs is None:
-            return t
+            return t, 0
         lines = t.split("\n")
-        keep = np.ones(len(lines), bool)
-        for pos, length in np.asarray(runs).reshape(-1, 2).tolist():
-            keep[pos : pos + length] = False
-        return "\n".join([lines[i] for i in np.flatnonzero(keep).tolist()])
+        pos, length = np.asarray(runs, np.int64).reshape(-1, 2).T
+        open_runs = np.bincount(pos, minlength=len(lines) + 1) - np.bincount(pos + length, minlength=len(lines) + 1)
+        keep = np.cumsum(open_runs)[: len(lines)] == 0
+        return "\n".join([lines[i] for i in np.flatnonzero(keep).tolist()]), int(len(lines) - keep.sum())
 
-    return pd.Series([one(t, c) for t, c in zip(text, cut, strict=True)], dtype=object)
+    return pd.DataFrame([one(t, c) for t, c in zip(text, cut, strict=True)], columns=["text", "n_removed"])
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -156,9 +159,9 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     copies = later_copies(docs, min_words).groupBy(*KEY).agg(F.collect_set(F.struct("pos", "length")).alias("cut"))
     others = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     keyed = docs.select(F.struct(*others).alias("row"), F.coalesce("text", F.lit("")).alias("text"), _key().alias("k1"), _version().alias("k2"))
-    named = copies.select(F.col("doc_id").alias("c1"), F.col("version").alias("c2"), "cut")
-    joined = keyed.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    gone = F.array_distinct(F.flatten(F.transform("cut", lambda c: F.sequence(c["pos"], c["pos"] + c["length"] - 1))))
     flat = F.flatten(F.transform("cut", lambda c: F.array(c["pos"], c["length"])))
-    without = F.pandas_udf(_without, "string")
-    return joined.select("row.*", without("text", flat).alias("text"), F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.when(F.col("cut").isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_removed"))
+    named = copies.select(F.col("doc_id").alias("c1"), F.col("version").alias("c2"), flat.alias("cut"))
+    joined = keyed.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
+    without = F.pandas_udf(_without, "text string, n_removed long")
+    n_lines = F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines")
+    return joined.select("row", n_lines, without("text", "cut").alias("left")).select("row.*", F.col("left.text").alias("text"), "n_lines", F.col("left.n_removed").alias("n_removed"))

@@ -142,6 +142,16 @@ def test_line_dedup_against_brute_force(spark):
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_very_many_lines(spark):
+    """Wordless lines before and after the words: every run is long, and two copies of all of it meet."""
+    words = prose(50)
+    before, after = "\n" * 100_000, "\n" * 30_000
+    docs = [(1, before + words + after), (2, "x\n" + before + words + after + "y"), (3, before + words), (4, "\n" * 50_000)]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in linededup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: (docs[0][1], 130_001, 0), 2: ("x\ny", 130_002, 130_000), 3: ("", 100_001, 100_001), 4: (docs[3][1], 50_001, 0)}
+    assert sum(map(len, linededup.shortest_runs([0] * 1000 + [50] + [0] * 1000, 50))) == 2001
+
+
 def test_planted_passage_goes_and_clean_lines_stay(spark):
     passage = "\n".join(prose(20) for _ in range(4))
     docs = [(k, f"{prose(30)}\n{passage}\n{prose(9)}") for k in range(5)]
