@@ -54,19 +54,23 @@ def _byte_letters() -> dict[int, str]:
 class Ids(dict):
     """word -> its ids as little-endian 32-bit integers.  White space always ends a token of the vocabulary in use, so the ids of
     a text are those of its words, one after another.  A word of the Latin blocks is lower-cased, cut into runs of letters, digits
-    and marks, and these go to the tokenizer's model; any other word goes through the whole tokenizer."""
+    and marks, and these go to the tokenizer's model; any other word, and one that holds an added token's text, goes through the whole
+    tokenizer, which gives that text the added token's id."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.letters, self.parts = self.tokenizer.model, _byte_letters(), {}
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.lstrip or t.rstrip or t.normalized or len(t.content.split()) != 1 for t in added):
+            raise ValueError("added tokens that take or hold white space can't be found word by word")
+        self.added = tuple(t.content for t in added)
 
     def __missing__(self, word: str) -> bytes:
         if not word:
             found = b""
-        elif max(word) < "\u0250" and "'" not in word and "\u0130" not in word:
+        elif max(word) < "\u0250" and "'" not in word and "\u0130" not in word and not any(map(word.__contains__, self.added)):
             found = b"".join(map(self.part, _PART.findall(word.lower())))
         else:
             found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()

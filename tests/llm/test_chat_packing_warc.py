@@ -76,7 +76,7 @@ def test_no_conversations(spark):
     assert chat.read_back(chat.render(chat.fold_events(chat.as_events(df)))).count() == 0
 
 
-DOCS = [(1, "a cat's İ test, 12 x² été 日本語"), (2, None), (3, ""), (3, ""), (4, "word " * 30_000), (None, "no id"), (6, "<|endoftext|> don't I'm foo_bar::baz")] + [(k, f"document {k} " * (k % 97)) for k in range(10, 400)]
+DOCS = [(1, "a cat's İ test, 12 x² été 日本語"), (2, None), (3, ""), (3, ""), (4, "word " * 30_000), (None, "no id"), (6, "<|endoftext|> don't I'm foo_bar::baz"), (7, "a<|endoftext|>b <|ENDOFTEXT|> x\t<|startoftext|><|endoftext|>'s <|endoftext |>")] + [(k, f"document {k} " * (k % 97)) for k in range(10, 400)]
 
 
 def test_packing_is_whole_and_full(spark):
@@ -85,7 +85,6 @@ def test_packing_is_whole_and_full(spark):
     path = tokenizer("word_bpe_49k.json")
     pieces = packing.pack(spark.createDataFrame([(d, t, 1) for d, t in DOCS], "doc_id long, text string, offset int").coalesce(2), path, max_tokens=1024, min_tier=128).collect()
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     want = sorted((d or 0, np.array([*e.ids, 2], "<u4").tobytes()) for (d, _), e in zip(DOCS, tok.encode_batch([t or "" for _, t in DOCS], add_special_tokens=False), strict=True))
     sequences, docs = defaultdict(list), defaultdict(list)
     for p in pieces:
