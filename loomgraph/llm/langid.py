@@ -6,8 +6,8 @@ rows are counted once by language; each round of expectation-maximisation sums,
 how often a piece is expected in each language, first under equal probabilities.  A round returns at most languages x pieces
 sums per task; they are added up by key, so what reaches the driver is the model and doesn't grow with the corpus.
 
-Words are runs of letters, lower-cased; a word of more than `CHUNK` letters is scored as consecutive parts of that many.  All
-words of a text count.
+Words are runs of letters, lower-cased, of any length; all words of a text count.  Words of up to `SHORT` letters go through the
+forward algorithm many at a time, longer ones each alone, in logarithms, with the same sums.
 
 Defined cases: a null text or one without letters is ``und`` with score 0; rows with null lang teach nothing; ties go
 to the alphabetically first language; with no labelled row everything is ``und``; repeated rows are predicted each;
@@ -17,6 +17,7 @@ extra columns are dropped.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,9 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import Numbered, records, slices, stage
 
-WORD = re.compile(r"[^\W\d_]+")
+#: What the pattern's \w holds beside letters, decimal digits and the underscore: other numbers.
+_NUMBERS = "".join(x for x in map(chr, range(sys.maxunicode + 1)) if x.isnumeric() and not x.isalpha() and not x.isdecimal())
+WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 START = "▁"
-CHUNK = 31
+SHORT = 31
 #: A letter that no piece covers; also what a piece unseen in a language counts at least.
 UNKNOWN = 1e-7
 #: Keeps products of probabilities near one: each letter of a word multiplies by it.
@@ -49,7 +52,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if WORD.fullmatch(p.removeprefix(START)) and len(p) <= CHUNK + 1)
+    return sorted(p for p in pieces if WORD.fullmatch(p.removeprefix(START)))
 
 
 class Lattice:
@@ -57,7 +60,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str]) -> None:
         self.n, self.longest = len(pieces), max(map(len, pieces))
-        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(CHUNK + 3)], np.uint64)
+        self.powers = np.array([pow(_BASE, k, 1 << 64) for k in range(self.longest + 1)], np.uint64)
         self.hashes = np.zeros(self.n + 1, np.uint64)
         for k, p in enumerate(pieces):
             h = 0
@@ -133,11 +136,48 @@ class Lattice:
                     sums[:, c] += np.bincount(k[hit], got[:, c], self.n)
 
 
+    # ---- a long word, in logarithms ----
+
+    def ends(self, word: str) -> np.ndarray:
+        """The piece that ends with each letter of the marked word (rows), by its length less one."""
+        codes = np.concatenate([[ord(START)], np.frombuffer(word.encode("utf-32-le"), np.uint32)]).astype(np.uint64)
+        h, out = np.zeros(len(codes), np.uint64), np.full((len(codes), self.longest), self.n, np.int32)
+        for d in range(min(self.longest, len(codes))):
+            h = h[: len(codes) - d] * np.uint64(_BASE) + codes[d:] + np.uint64(1)
+            out[d:, d] = self.find(h)
+        return out
+
+    def _chain(self, pieces: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Log of the sums over all segmentations of the first 0, 1, 2, ... letters, where row j has the pieces that join letter j
+        with up to ``longest`` letters behind."""
+        logs, scale = np.zeros((len(pieces) + 1, p.shape[1])), SCALE ** np.arange(1, self.longest + 1)[:, None]
+        for j, k in enumerate(pieces, 1):
+            d = min(j, self.longest)
+            behind = np.exp(logs[j - d : j][::-1] - logs[j - 1])
+            logs[j] = logs[j - 1] + np.log(UNKNOWN * SCALE + (behind * p[k[:d]] * scale[:d]).sum(0))
+        return logs
+
+    def forward_long(self, word: str, p: np.ndarray) -> np.ndarray:
+        return self._chain(self.ends(word), p)[-1]
+
+    def expected_long(self, word: str, counts: np.ndarray, p: np.ndarray, sums: np.ndarray) -> None:
+        """`expected` of one word (counts by language)."""
+        ends = self.ends(word)
+        size = len(ends)
+        starts = np.full_like(ends, self.n)  # the same pieces by their first letter, last letter first
+        for d in range(min(self.longest, size)):
+            starts[d:, d] = ends[d:, d][::-1]
+        alpha, beta = self._chain(ends, p), self._chain(starts, p)[::-1]
+        for d in range(min(self.longest, size)):
+            k = ends[d:, d]
+            hit = np.flatnonzero(k < self.n)
+            got = np.exp(alpha[hit] + beta[hit + d + 1] - alpha[-1]) * p[k[hit]] * SCALE ** (d + 1) * counts
+            for c in range(len(counts)):
+                sums[:, c] += np.bincount(k[hit], got[:, c], self.n)
+
+
 def words_of(text: str) -> list[str]:
-    found = WORD.findall(text.lower())
-    if max(map(len, found), default=0) <= CHUNK:
-        return found
-    return [w[k : k + CHUNK] for w in found for k in range(0, len(w), CHUNK)]
+    return WORD.findall(text.lower())
 
 
 def by_length(words: list[str]) -> dict[int, list[int]]:
@@ -182,10 +222,14 @@ def _expectation(lattice: Broadcast, model: Broadcast, langs: list[str]):
         for batch in batches:
             lang = np.array([column[x] for x in batch.column(0).to_pylist()])
             words, n = batch.column(1).to_pylist(), batch.column(2).to_numpy()
-            for own in by_length(words).values():
+            for size, own in by_length(words).items():
                 counts = np.zeros((len(own), len(langs)))
                 counts[np.arange(len(own)), lang[own]] = n[own]
-                pieces.expected([words[k] for k in own], counts, p, sums)
+                if size <= SHORT:
+                    pieces.expected([words[k] for k in own], counts, p, sums)
+                else:
+                    for k, c in zip(own, counts, strict=True):
+                        pieces.expected_long(words[k], c, p, sums)
         piece, k = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(sums[piece, k])], names=["lang", "piece", "n"])
 
@@ -246,15 +290,21 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         scores, langs = held.value.scores, held.value.langs
         for batch in slices(batches, "text"):
             scores.room()
-            numbers = [scores.numbers(words_of(t or "")) for t in batch.column(1).to_pylist()]
+            numbers, long = [], {}
+            for at, t in enumerate(batch.column(1).to_pylist()):
+                words = words_of(t or "")
+                if max(map(len, words), default=0) > SHORT:  # these aren't remembered
+                    long[at] = [w for w in words if len(w) > SHORT]
+                    words = [w for w in words if len(w) <= SHORT]
+                numbers.append(scores.numbers(words))
             scores.settle()
             pred, score = [], []
-            for k in numbers:
-                if not len(k) or not langs:
+            for at, k in enumerate(numbers):
+                if not langs or not len(k) and at not in long:
                     pred.append("und")
                     score.append(0.0)
                     continue
-                total = scores.table[k].sum(0)
+                total = scores.table[k].sum(0) + sum(scores.lattice.forward_long(w, scores.p) for w in long.get(at, ()))
                 odds = np.exp(total - total.max())
                 best = int(np.argmax(total))
                 pred.append(langs[best])

@@ -44,15 +44,80 @@ def test_expected_counts_are_whole():
     assert np.allclose(sums[:, 0], [3 * (0.2**3 + 0.2**2) / z, 3 * 0.2**3 / z, 3 * 0.2**2 / z, 3 * (0.2**3 + 0.2**2) / z, 3 * 0.2**2 / z], rtol=1e-4)
 
 
+def test_long_words_have_the_same_sums():
+    """Any length through the logarithms; very long words neither vanish nor overflow."""
+    rng = np.random.default_rng(3)
+    pieces = sorted({"▁", "▁a", "a", "ab", "b", "▁ab", "ba", "abab", "bbbb"})
+    lattice = langid.Lattice(pieces)
+    p = np.vstack([rng.random((len(pieces), 3)), np.zeros((1, 3))])
+    for word in ("a", "zabbaz", "abab" * 7):
+        assert np.allclose(lattice.forward_long(word, p), lattice.forward([word], p)[0])
+        counts, one, two = np.array([2.0, 0.0, 1.5]), np.zeros((len(pieces), 3)), np.zeros((len(pieces), 3))
+        lattice.expected([word], counts[None], p, one)
+        lattice.expected_long(word, counts, p, two)
+        assert np.allclose(one, two)
+    for p in (p, np.vstack([np.full((len(pieces), 3), 1e-6), np.zeros((1, 3))])):
+        few, more, many = (lattice.forward_long("abz" * k, p) for k in (10, 20, 2000))
+        assert np.isfinite(many).all() and np.allclose(many, few + 199 * (more - few))
+        sums = np.zeros((len(pieces), 3))
+        lattice.expected_long("abba" * 1000, np.ones(3), p, sums)
+        letters = sums.T @ np.array([len(x.removeprefix("▁")) for x in pieces])
+        assert np.isfinite(sums).all() and (letters <= 4000 + 1e-6).all()
+
+
+def test_letters():
+    assert [langid.words_of(x) for x in ("½ ² Ⅷ ① ٣ 4 _", "Été_x²日本ªʰ½y", "e\u0301")] == [[], ["été", "x", "日本ªʰ", "y"], ["e"]]
+
+
+def test_prediction_against_brute_force(spark):
+    """Counts, two rounds of expectation-maximisation and posteriors by enumerating the segmentations of short words."""
+    from functools import cache
+
+    langs, texts = ["de", "en"], {0: ("en", "the that a"), 1: ("de", "der das da"), 2: ("en", "at tea"), 3: ("de", "dir rad"), 4: (None, "the der at")}
+    path = tokenizer("piece_bpe_32k.model")
+    pieces = set(langid.vocabulary(path))
+
+    @cache
+    def cuts(word):
+        return [[]] if not word else [[word[:k], *rest] for k in range(1, len(word) + 1) for rest in cuts(word[k:])]
+
+    def prob(parts, p):
+        return np.prod([p.get(x, 0.0) * (x in pieces) + (langid.UNKNOWN if len(x) == 1 else 0.0) for x in parts])
+
+    model = {lang: dict.fromkeys(pieces, 1 / len(pieces)) for lang in langs}
+    for _ in range(2):
+        new = {}
+        for lang in langs:
+            sums = dict.fromkeys(pieces, 0.0)
+            for own, text in texts.values():
+                for word in text.split() if own == lang else ():
+                    ways = [(parts, prob(parts, model[lang])) for parts in cuts(langid.START + word)]
+                    z = sum(w for _, w in ways)
+                    for parts, _ in ways:
+                        for i, x in enumerate(parts):
+                            if x in pieces:  # what the piece itself, and not the unknown letter, adds
+                                sums[x] += np.prod([model[lang].get(y, 0.0) if j == i else prob([y], model[lang]) for j, y in enumerate(parts)]) / z
+            total = max(sum(sums.values()), 1)
+            raw = {x: max(v / total, langid.UNKNOWN) for x, v in sums.items()}
+            whole = sum(raw.values())
+            new[lang] = {x: v / whole for x, v in raw.items()}
+        model = new
+    df = spark.createDataFrame([(k, text, lang) for k, (lang, text) in texts.items()], "doc_id long, text string, lang string")
+    for r in langid.predict(df, langid.train(df, path)).collect():
+        logs = np.array([sum(np.log(sum(prob(parts, model[lang]) for parts in cuts(langid.START + w))) for w in texts[r.doc_id][1].split()) for lang in langs])
+        odds = np.exp(logs - logs.max())
+        assert r.lang_pred == langs[int(np.argmax(logs))] and np.isclose(r.score, odds.max() / odds.sum(), rtol=1e-6)
+
+
 def test_language(spark):
     rows = [(k, " ".join(RNG.choices(EN if k % 2 else DE, k=30)), "en" if k % 2 else "de", 0.0) for k in range(80)]
-    odd = [(200, None, "en", 0.0), (201, "", None, 0.0), (202, "12 !?", "de", 0.0), (203, "wasser " * 20_000, None, 0.0), (204, "THE People and the Water", None, 0.0), (205, "x" * 5000, "en", 0.0), (None, "der die und das", None, 0.0)]
+    odd = [(200, None, "en", 0.0), (201, "", None, 0.0), (202, "12 !?", "de", 0.0), (203, "wasser " * 20_000, None, 0.0), (204, "THE People and the Water", None, 0.0), (205, "x" * 5000, "en", 0.0), (206, "½ ² Ⅷ ①", "en", 0.0), (207, "wasser" * 50_000 + " das", None, 0.0), (None, "der die und das", None, 0.0)]
     df = spark.createDataFrame(rows + odd, "doc_id long, text string, lang string, score double")
     model = langid.train(df.filter("doc_id < 40"), tokenizer("piece_bpe_32k.model"))
     got = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(df, model).collect()}
     assert all(got[k][0] == lang for k, _, lang, _ in rows)
-    assert got[200] == got[201] == got[202] == ("und", 0.0)
-    assert (got[203][0], got[204][0], got[None][0]) == ("de", "en", "de")
+    assert got[200] == got[201] == got[202] == got[206] == ("und", 0.0)
+    assert (got[203][0], got[204][0], got[207][0], got[None][0]) == ("de", "en", "de", "de")
     assert all(0 <= s <= 1 for _, s in got.values())
     nothing = langid.train(df.limit(0), tokenizer("piece_bpe_32k.model"))
     assert {r.lang_pred for r in langid.predict(df, nothing).collect()} == {"und"}
