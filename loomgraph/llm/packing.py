@@ -40,7 +40,7 @@ PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long,
 #: Tokens that a block holds at most, but for one document more.
 BLOCK_TOKENS = 1 << 21
 #: Words, and parts of words, whose ids a worker remembers at most.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 _PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 

@@ -34,7 +34,7 @@ STOP = frozenset("the of and to in is it that for on was as with be by this at f
 LABELLERS = ("symbols", "bars", "capitals", "shouts", "stop_words", "word_length", "variety", "echoes", "lines", "sentences")
 #: Labellers that only ever detect faults; when they abstain they found none.  What the others don't judge tells nothing.
 DETECTORS = np.array([name not in ("stop_words", "word_length", "sentences") for name in LABELLERS])
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _BYTES = {name: np.frombuffer(chars, np.uint8) for name, chars in (("symbols", b"#$%&*@^~"), ("bars", b"|<>{}[]\\_="), ("shouts", b"!?"), ("stops", b"."), ("capitals", bytes(range(65, 91))), ("small", bytes(range(97, 123))))}
 
 
