@@ -162,6 +162,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     flat = F.flatten(F.transform("cut", lambda c: F.array(c["pos"], c["length"])))
     named = copies.select(F.col("doc_id").alias("c1"), F.col("version").alias("c2"), flat.alias("cut"))
     joined = keyed.join(named, (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2")), "left")
-    without = F.pandas_udf(_without, "text string, n_removed long")
+    # so that a filter on n_removed doesn't move below and run the function a second time
+    without = F.pandas_udf(_without, "text string, n_removed long").asNondeterministic()
     n_lines = F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines")
     return joined.select("row", n_lines, without("text", "cut").alias("left")).select("row.*", F.col("left.text").alias("text"), "n_lines", F.col("left.n_removed").alias("n_removed"))
