@@ -87,11 +87,11 @@ def agreement(diagonals: DataFrame, docs: DataFrame, items: DataFrame) -> DataFr
     """doc_id, version, iv, start, places: the places of the item's tokens that agree on each diagonal (doc_id, version, iv, start)."""
     row = ["doc_id", "version"]
     sizes = items.select("iv", F.size("h").alias("n"))
-    laid = diagonals.join(broadcast_if(sizes), "iv").withColumn("ic", F.explode(F.expr(f"sequence(0, (n - 1) div {PIECE})")))
+    laid = diagonals.join(broadcast_if(sizes, name=None), "iv").withColumn("ic", F.explode(F.expr(f"sequence(0, (n - 1) div {PIECE})")))
     # a piece of the item lies over two of the document at most
     first = F.floor((F.col("start") + F.col("ic") * PIECE) / PIECE).cast("int")
     laid = laid.withColumn("c", F.explode(F.array(first, first + 1))).filter("c >= 0").select(*row, "iv", "start", "ic", "c")
-    laid = laid.join(broadcast_if(_pieces(items, "iv").withColumnsRenamed({"c": "ic", "part": "own"}), 20_000), ["iv", "ic"])
+    laid = laid.join(broadcast_if(_pieces(items, "iv").withColumnsRenamed({"c": "ic", "part": "own"}), 20_000, None), ["iv", "ic"])
     hit = docs.join(broadcast_if(diagonals.select(*row).distinct()), row, "left_semi").select(*row, tokens("text").alias("h"))
     met = _pieces(hit, *row).join(broadcast_if(laid, 10_000), [*row, "c"])
     shift = F.expr(f"start + ic * {PIECE} - c * {PIECE}")
@@ -116,13 +116,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, masks: tuple[str, ...
     single = seeds.filter("need is not null").join(items.select("iv", F.size("h").alias("n")), "iv").filter(f"n div 2 <= n - greatest(int(ceil({min_overlap} * n - 1e-9)), 1)")
     used = every[: -1 if single.isEmpty() else None]  # single tokens are seeds of odd thresholds or items only
     hashed = own.select("doc_id", "version", tokens("text").alias("h"))
-    met = windows(hashed, used, "doc_id", "version").join(broadcast_if(seeds, broadcast_keys), "key")
+    met = windows(hashed, used, "doc_id", "version").join(broadcast_if(seeds, broadcast_keys, None), "key")
     hits = met.groupBy("doc_id", "version", "iv", (F.col("at") - F.col("item_at")).alias("start")).agg(F.bool_or(F.col("need").isNull()).alias("run"), F.count("need").alias("n"), F.max("need").alias("need"))
     diagonals = stage(hits.filter("run or n >= need").select("doc_id", "version", "iv", "start"), "diagonals")
 
     laid = agreement(diagonals, own, items)
     window = F.expr(f"coalesce(array_max(transform(places, (p, i) -> aggregate(sequence(0, {min_tokens - 1}), 0, (s, j) -> if(coalesce(get(places, i + j) < p + {min_tokens}, false), s + 1, s)))), 0)")
-    scored = laid.join(broadcast_if(items.select("iv", F.size("h").alias("item_tokens"))), "iv").select("doc_id", "iv", "start", F.size("places").alias("matched"), "item_tokens", window.alias("window"))
+    scored = laid.join(broadcast_if(items.select("iv", F.size("h").alias("item_tokens")), name=None), "iv").select("doc_id", "iv", "start", F.size("places").alias("matched"), "item_tokens", window.alias("window"))
     scored = scored.withColumn("overlap", F.col("matched") / F.col("item_tokens")).filter((F.col("overlap") >= min_overlap - 1e-9) | (F.col("window") >= min_tokens))
     best = F.max_by(F.struct("start", "matched", "item_tokens", "overlap", "window"), F.struct("matched", "window", -F.col("start")))
-    return scored.join(broadcast_if(names), "iv").groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+    return scored.join(broadcast_if(names, name=None), "iv").groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -108,11 +109,13 @@ def suffix_ranks(lines: DataFrame) -> list[DataFrame]:
     while 2 ** len(levels) <= longest:
         h = 2 ** (len(levels) - 1)
         ahead = F.max("rank").over(W.partitionBy(*KEY).orderBy("pos").rangeBetween(h, h))
-        pairs = stage(levels[-1].withColumn("ahead", ahead).filter("ahead is not null"), "suffix-pairs")
+        # kept while it is read twice; what an executor loses is made again from the level before
+        pairs = levels[-1].withColumn("ahead", ahead).filter("ahead is not null").persist(StorageLevel.DISK_ONLY)
         shared = pairs.groupBy("rank", "ahead").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rank").alias("r1"), F.col("ahead").alias("r2"))
         named = ranked(shared, ["r1", "r2"], "pair-ranks")
         level = stage(pairs.withColumnsRenamed({"rank": "r1", "ahead": "r2"}).join(named, ["r1", "r2"]).select(*KEY, "pos", "rank"), "suffix-ranks")
-        discard(pairs, named)
+        pairs.unpersist()
+        discard(named)
         if level.isEmpty():
             break
         levels.append(level)

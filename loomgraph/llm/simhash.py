@@ -502,7 +502,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     facts = stage(own.mapInArrow(_facts(shingle, similarity, _common(own, shingle)), _FACTS_DDL), "text-facts")
     rows = stage(facts.select("doc_id", "version", "k").distinct(), "text-keys")
     first = stage(rows.groupBy("k").agg(F.min(F.struct("doc_id", "version")).alias("t")).select("k", "t.*"), "texts")
-    one = facts.join(broadcast_if(first.select("doc_id", "version")), ["doc_id", "version"], "left_semi")
+    one = facts.join(broadcast_if(first.select("doc_id", "version"), name=None), ["doc_id", "version"], "left_semi")
     marks = stage(one.select("k", "n", "mark").dropDuplicates(["k"]), "marks")
     keyed = one.select(F.explode("rare").alias("bucket"), "k", "n").repartition("bucket").sortWithinPartitions("bucket", "k")
     met = stage(keyed.mapInArrow(_meetings(similarity), "bucket long, a long, b long").distinct(), "meetings")
@@ -528,9 +528,10 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     return found.join(ids, "component").select("doc_id", "component_id").distinct()
 
 
-def broadcast_if(ids: DataFrame, most: int = 500_000) -> DataFrame:
-    """``ids`` to be broadcast if they are counted to be few; else a join shuffles."""
-    held = stage(ids, "ids")
+def broadcast_if(ids: DataFrame, most: int = 500_000, name: str | None = "ids") -> DataFrame:
+    """``ids`` to be broadcast if they are counted to be few; else a join shuffles.  They are written first, unless ``name`` is None
+    because they are columns of a table that is."""
+    held = stage(ids, name) if name else ids
     return F.broadcast(held) if held.count() <= most else held
 
 
