@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -62,6 +64,14 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
         step = max(1, min(n, n * SLICE_BYTES // size))
         for at in range(0, n, step):
             yield batch.slice(at, step)
+    trim()
+
+
+def trim() -> None:
+    """Give what a task has freed back to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # another C library keeps it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def records(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:

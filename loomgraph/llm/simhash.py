@@ -271,8 +271,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bucket_rows: int = 100_00
 # ---- similar texts ---------------------------------------------------------------------------------------
 
 #: Longs of the smallest mark; texts of a bucket that all meet at once; one text in so many is read for common shingles, which
-#: stand in FEW_HOT of those at least; common shingles that are told apart at most; rows of a block of a bucket.
-MARK, FEW, SAMPLE, FEW_HOT, MOST_HOT, BLOCK = 8, 50, 16, 3, 1_000_000, 4096
+#: stand in FEW_HOT of those at least; common shingles that are told apart at most; rows of a block of a bucket; candidates of a row
+#: that are verified before its others are looked at again.
+MARK, FEW, SAMPLE, FEW_HOT, MOST_HOT, BLOCK, NEAREST = 8, 50, 16, 3, 1_000_000, 4096, 2
 SLACK = 1e-6
 
 
@@ -407,54 +408,65 @@ def _meetings(similarity: float):
     return run
 
 
-def _across(similarity: float):
-    """(minor rows, rows) of a block of a bucket, columns k, n, component, minor, mark -> pairs (a, b) of a minor row and a row of another
-    component whose sizes and marks leave it open whether they are similar."""
+def _across(similarity: float, low: int, high: int):
+    """(minor rows, rows) of a block of a bucket, columns k, n, component, mark -> pairs (a, b) of a minor row and a row of another
+    component whose sizes and marks leave it open whether they are similar: of a minor row's candidates, nearest marks
+    first, the ones from ``low`` to ``high``; and a row without b if there are more."""
     share = (1 - similarity) / (1 + similarity)
 
     def run(minor: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n", kind="stable")
-        k, n, component, loose = (rows[c].to_numpy() for c in ("k", "n", "component", "minor"))
+        k, n, component = (rows[c].to_numpy() for c in ("k", "n", "component"))
         longs = rows["mark"].map(len).to_numpy()  # grows with n
         stacks = {int(x): np.stack(rows["mark"].to_numpy()[longs == x]).view(np.uint64) for x in np.unique(longs)}
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        a, b, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], False
         for own, size, group, m in zip(minor["k"], minor["n"], minor["component"], minor["mark"], strict=True):
-            m = np.asarray(m).view(np.uint64)
-            low, high = np.searchsorted(n, similarity * size - SLACK), np.searchsorted(n, size / similarity + SLACK, "right")
+            m, open_rows, distances = np.asarray(m).view(np.uint64), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            first, last = np.searchsorted(n, similarity * size - SLACK), np.searchsorted(n, size / similarity + SLACK, "right")
             for length, stack in stacks.items():
-                first = int(np.searchsorted(longs, length))
-                i = np.arange(max(low, first), min(high, first + len(stack)))
-                i = i[(component[i] != group) & (~loose[i] | (k[i] > own))]
+                base = int(np.searchsorted(longs, length))
+                i = np.arange(max(first, base), min(last, base + len(stack)))
                 both = min(length, len(m))
-                apart = np.bitwise_count(folded(stack[i - first], both) ^ folded(m, both)).sum(1, dtype=np.int64)
-                i = i[apart <= share * (n[i] + size) + SLACK]
-                a.append(np.minimum(k[i], own))
-                b.append(np.maximum(k[i], own))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    return lambda minor, rows: run(minor, rows) if len(minor) and len(rows) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
-
-
-def _apart(large: DataFrame, member: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of rows (bucket, k) of one bucket that are in different components and may be similar.  Of a bucket all rows that
-    aren't in its largest component are compared with all rows: in blocks of about BLOCK by BLOCK rows, a task each."""
-    own = large.join(member.withColumnRenamed("node", "k"), "k", "left").select("bucket", "k", F.coalesce("component", "k").alias("component"))
-    parts = own.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    sizes = parts.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("major"), F.max("n").alias("n_major"), F.sum("n").alias("n_all")).filter("n_major < n_all")
-    blocks, pieces = (F.ceil(c / BLOCK).cast("int") for c in (F.col("n_all") - F.col("n_major"), F.col("n_all")))
-    sizes = sizes.select("bucket", "major", blocks.alias("blocks"), pieces.alias("pieces"))
-    rows = stage(own.join(broadcast_if(sizes), "bucket").join(marks, "k").withColumn("minor", F.col("component") != F.col("major")), "open-buckets")
+                apart = np.bitwise_count(folded(stack[i - base], both) ^ folded(m, both)).sum(1, dtype=np.int64)
+                fit = (apart <= share * (n[i] + size) + SLACK) & (k[i] != own)
+                open_rows.append(i[fit])
+                distances.append(apart[fit])
+            i = np.concatenate(open_rows)
+            i = i[np.lexsort((k[i], np.concatenate(distances)))]
+            other = component[i] != group
+            found = i[low:high][other[low:high]]
+            more |= bool(other[high:].any())
+            a.append(np.minimum(k[found], own))
+            b.append(np.maximum(k[found], own))
+        out = pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}, dtype="Int64")
+        return pd.concat([out, pd.DataFrame({"a": [0], "b": [None]}, dtype="Int64")]) if more else out
+
+    return lambda minor, rows: run(minor, rows) if len(minor) and len(rows) else pd.DataFrame({"a": [], "b": []}, dtype="Int64")
+
+
+def _apart(large: DataFrame, leads: DataFrame, member: DataFrame, marks: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
+    """What `_across` gives for the rows (bucket, k) of buckets that hold more than one component.  All rows that aren't in the
+    component of their bucket's lead are compared with all rows: in blocks of about BLOCK by BLOCK rows, a task each."""
+    named = member.withColumnRenamed("node", "k")
+    own = large.join(named, "k", "left").select("bucket", "k", F.coalesce("component", "k").alias("component"))
+    major = leads.join(named, "k", "left").select("bucket", F.coalesce("component", "k").alias("major"))
+    own = own.join(broadcast_if(major), "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    sizes = own.groupBy("bucket").agg(F.count_if("minor").alias("n_minor"), F.count("*").alias("n_all")).filter("n_minor > 0")
+    blocks, pieces = (F.ceil(F.col(c) / BLOCK).cast("int").alias(name) for c, name in (("n_minor", "blocks"), ("n_all", "pieces")))
+    rows = stage(own.join(broadcast_if(sizes.select("bucket", blocks, pieces)), "bucket").join(marks, "k"), "open-buckets")
     at = lambda salt, n: F.pmod(F.xxhash64("k", F.lit(salt)), n).cast("int")
     every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
-    what = ("bucket", "k", "n", "component", "minor", "mark")
+    what = ("bucket", "k", "n", "component", "mark")
     minor = rows.filter("minor").withColumn("block", at(1, F.col("blocks"))).select(*what, "block", every("pieces").alias("piece"))
     all_rows = rows.withColumn("piece", at(2, F.col("pieces"))).select(*what, every("blocks").alias("block"), "piece")
     task = ("bucket", "block", "piece")
-    return minor.groupBy(*task).cogroup(all_rows.groupBy(*task)).applyInPandas(_across(similarity), "a long, b long").distinct()
+    found = stage(minor.groupBy(*task).cogroup(all_rows.groupBy(*task)).applyInPandas(_across(similarity, low, high), "a long, b long").distinct(), "apart")
+    discard(rows)
+    return found
 
 
 def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) that are similar: by sizes and marks first, then by the sets of what these leave open."""
+    """The pairs (a, b) that are similar, of pairs (a, b): by sizes and marks first, then by the sets of what these leave open."""
     side = lambda t, c, *own: t.select(F.col("k").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in own])
     half = lambda c: f"transform(sequence(1, size({c}_mark) div 2), i -> {c}_mark[i - 1] ^ {c}_mark[i - 1 + size({c}_mark) div 2])"
     same = lambda c, d: f"if(size({c}_mark) > size({d}_mark), {half(c)}, {c}_mark)"
@@ -493,8 +505,9 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     Texts that are equal but for case and white space are one node.  Prefixes find all links: of two similar sets in one order of
     shingles, the first `prefix` of each have one in common.  Common shingles come last in that order, so a bucket is small
     unless its texts are made of common shingles.  In a bucket of `FEW` texts all pairs are candidates; in a larger one each text is
-    compared with the first, and then what isn't in the bucket's largest component yet with all of it, so that a group of copies costs its
-    size and not its square.  Buckets of common shingles are never gathered: their first text is an aggregate, and what is compared
+    compared with the first, and then what isn't in the bucket's largest component yet with all of it: first its two nearest candidates,
+    then, if these left it in another component than some further candidate, the next eight, and so on by fours, to the last one.  So a
+    group of copies costs about its size and not its square, and no candidate is left out.  Buckets of common shingles are never gathered: their first text is an aggregate, and what is compared
     later goes in blocks of bounded size.  No candidate is dropped but by bounds: sizes, and marks, which differ in no more bits
     than the sets have shingles apart.  Null doc_ids take no part.
     """
@@ -513,10 +526,19 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     large = met.filter("bucket is not null").union(stars)
     links = _similar(met.select("a", "b").union(stars.select("a", "b")).filter("a <> b").distinct(), marks, own, first, shingle, similarity)
     member = stage(components(links), "members")
-    if not large.isEmpty():
-        more = _similar(_apart(large.select("bucket", F.col("b").alias("k")), member, marks, similarity), marks, own, first, shingle, similarity)
+    large = stage(large.select("bucket", F.col("b").alias("k")).distinct(), "large-buckets")
+    parts = large.join(member.withColumnRenamed("node", "k"), "k", "left").groupBy("bucket", F.coalesce("component", "k").alias("component")).agg(F.count("*").alias("n"), F.min("k").alias("k"))
+    leads = stage(parts.groupBy("bucket").agg(F.max_by("k", F.struct("n", "k")).alias("k")), "leads")  # of each bucket's largest component, for good
+    low, high = 0, NEAREST
+    while True:
+        found = _apart(large, leads, member, marks, similarity, low, high)
+        more = _similar(found.filter("b is not null"), marks, own, first, shingle, similarity)
         if not more.isEmpty():
-            member = components(links.union(more))
+            links = links.union(more)
+            member = stage(components(links), "members")
+        if found.filter("b is null").isEmpty():
+            break
+        low, high = high, 4 * high + NEAREST
     return rows.join(member.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "version", F.coalesce("component", "k").alias("component"))
 
 
