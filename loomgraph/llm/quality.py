@@ -3,11 +3,12 @@
 Ten heuristic labellers vote good, bad or abstain on each whole text.  The votes of all documents are counted by pattern (at
 most 3**10 of them, whatever the corpus' size), and expectation-maximisation over the counted patterns estimates each
 labeller's accuracy and each pattern's posterior, without gold labels.  The posteriors of a bounded sample of documents (at most
-about ``max_rows``, drawn by a hash of doc_id and text) then train a hashed linear scorer over words and word
+about ``max_rows`` different texts, drawn by a hash of the text, copies once) then train a hashed linear scorer over words and word
 shapes, averaged over a text's words, and how repetitive it is as a whole; it scores every document.
 
 Defined cases: null, empty and white texts have no words, score 0 and are rejected; texts of under five words are voted on by
-no labeller and get the scorer's opinion; repeated rows are scored each; extra columns are dropped; an empty
+no labeller and get the scorer's opinion; the variety of words is judged from 50 words on, stop words and sentences are missed from 20 and
+100 words on, repeated lines from four lines on; repeated rows are scored each; extra columns are dropped; an empty
 table gives no rows.
 """
 
@@ -35,6 +36,8 @@ LABELLERS = ("symbols", "bars", "capitals", "shouts", "stop_words", "word_length
 #: Labellers that only ever detect faults; when they abstain they found none.  What the others don't judge tells nothing.
 DETECTORS = np.array([name not in ("stop_words", "word_length", "sentences") for name in LABELLERS])
 REMEMBERED = 150_000
+#: Words of a stretch in which the different ones are counted.
+STRETCH = 500
 _BYTES = {name: np.frombuffer(chars, np.uint8) for name, chars in (("symbols", b"#$%&*@^~"), ("bars", b"|<>{}[]\\_="), ("shouts", b"!?"), ("stops", b"."), ("capitals", bytes(range(65, 91))), ("small", bytes(range(97, 123))))}
 
 
@@ -43,6 +46,15 @@ def _above(x: float, bad: float) -> int:
     return BAD if x > bad else ABSTAIN
 
 
+def variety(words: list[str]) -> float:
+    """The share of different words, on the mean over stretches of STRETCH words, so that it doesn't fall with a text's length."""
+    n = len(words)
+    if n <= STRETCH:
+        return len(set(words)) / max(1, n)
+    whole = n - n % STRETCH
+    return sum(len(set(words[k : k + STRETCH])) for k in range(0, whole, STRETCH)) / whole
+
+
 def votes(text: str | None) -> list[int]:
     """The labellers' votes on a text."""
     words = (text or "").split()
@@ -61,7 +73,7 @@ def votes(text: str | None) -> list[int]:
         _above(count["shouts"] / n, 0.2),
         GOOD if 0.08 <= stops <= 0.6 else BAD if stops < 0.02 and n >= 20 else ABSTAIN,
         GOOD if 3 <= length <= 8 else BAD if length > 12 or length < 2 else ABSTAIN,
-        _above(-len(set(lower)) / n, -0.12) if 50 <= n < 2000 else ABSTAIN,
+        _above(-variety(lower), -0.12) if n >= 50 else ABSTAIN,
         _above(sum(map(eq, lower, lower[1:])) / n, 0.3),
         _above(-len(set(lines)) / len(lines), -0.5) if len(lines) >= 4 else ABSTAIN,
         ABSTAIN if n < 20 else GOOD if 0.01 <= count["stops"] / n <= 0.3 else BAD if not count["stops"] and n >= 100 else ABSTAIN,
@@ -160,8 +172,8 @@ def facts(words: list[str]) -> list[str]:
     """Features of a text as a whole: how often a word follows itself, and how varied the words are, in steps."""
     n = len(words)
     again = sum(map(eq, words, words[1:])) / n
-    variety = len(set(words)) / n if n >= 50 else 1.0
-    return [f"again {min(9, int(20 * again))}", f"variety {int(9 * variety)}"]
+    varied = variety(words) if n >= 50 else 1.0
+    return [f"again {min(9, int(20 * again))}", f"variety {int(9 * varied)}"]
 
 
 def fact_slots(words: list[str], bits: int) -> list[int]:
@@ -212,9 +224,9 @@ def train(docs: DataFrame, *, max_rows: int = 6000, bits: int = 16) -> Scorer:
     """The scorer of a corpus (doc_id, text); no gold label is used."""
     counted = {r["pattern"]: r["count"] for r in patterns(docs).groupBy("pattern").count().collect()}
     labels, n = fit_labels(counted), sum(counted.values())
-    drawn = docs.select("doc_id", "text").filter("text is not null")
+    drawn = docs.filter("text is not null").select(F.xxhash64("text").alias("h"), "text")
     if n > max_rows:
-        drawn = drawn.filter(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) < ((1 << 63) - 1) * max_rows // n)
+        drawn = drawn.filter(F.shiftrightunsigned("h", 1) < ((1 << 63) - 1) * max_rows // n)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, tuple[int, int]] = {}
@@ -233,11 +245,11 @@ def train(docs: DataFrame, *, max_rows: int = 6000, bits: int = 16) -> Scorer:
                 slot, share = np.concatenate([slot, np.array(whole, np.int32)]), np.concatenate([n / (len(words) + DAMPING), np.ones(len(whole))])
                 for column, value in zip(out, (doc, slot, share.astype(np.float32), encoded(votes(text))), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.float32())), pa.array(out[3], pa.int32())], names=["doc_id", "slots", "shares", "pattern"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int32())), pa.array(out[2], pa.list_(pa.float32())), pa.array(out[3], pa.int32())], names=["h", "slots", "shares", "pattern"])
 
-    rows = drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(features, "doc_id long, slots array<int>, shares array<float>, pattern int").toArrow().combine_chunks()
+    rows = drawn.mapInArrow(features, "h long, slots array<int>, shares array<float>, pattern int").dropDuplicates(["h"]).toArrow().combine_chunks()
     slot, share, pattern = (rows.column(k) for k in ("slots", "shares", "pattern"))
-    order = sorted(range(rows.num_rows), key=lambda k: (rows.column("doc_id")[k].as_py() or 0, pattern[k].as_py(), k))
+    order = np.argsort(rows.column("h").to_numpy()).tolist()
     return fit_scorer([(slot[k].values.to_numpy(), share[k].values.to_numpy().astype(float), labels.posterior(pattern[k].as_py())) for k in order], bits)
 
 
