@@ -444,13 +444,23 @@ def _across(similarity: float, low: int, high: int):
     return lambda minor, rows: run(minor, rows) if len(minor) and len(rows) else pd.DataFrame({"a": [], "b": []}, dtype="Int64")
 
 
-def _apart(large: DataFrame, leads: DataFrame, member: DataFrame, marks: DataFrame, similarity: float, low: int, high: int) -> DataFrame:
-    """What `_across` gives for the rows (bucket, k) of buckets that hold more than one component.  All rows that aren't in the
-    component of their bucket's lead are compared with all rows: in blocks of about BLOCK by BLOCK rows, a task each."""
-    named = member.withColumnRenamed("node", "k")
-    own = large.join(named, "k", "left").select("bucket", "k", F.coalesce("component", "k").alias("component"))
-    major = leads.join(named, "k", "left").select("bucket", F.coalesce("component", "k").alias("major"))
-    own = own.join(broadcast_if(major), "bucket").withColumn("minor", F.col("component") != F.col("major"))
+def _buckets(large: DataFrame, member: DataFrame) -> DataFrame:
+    """bucket, k, lead of the rows (bucket, k), where lead is a row of the bucket's largest component.  Of buckets that hold the same rows, as
+    those of a passage's shingles do, one stays."""
+    own = large.join(member.withColumnRenamed("node", "k"), "k", "left").select("bucket", "k", F.coalesce("component", "k").alias("component"))
+    h = F.xxhash64("k")
+    parts = own.groupBy("bucket", "component").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(h, 20)).alias("s"))
+    whole = parts.groupBy("bucket").agg(F.max_by("k", F.struct("n", "k")).alias("lead"), F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.sum("s").alias("s"))
+    kept = whole.groupBy("n", "x", "s").agg(F.min(F.struct("bucket", "lead")).alias("b")).select("b.*")
+    return stage(large.join(broadcast_if(kept), "bucket").select("bucket", "k", "lead"), "large-buckets")
+
+
+def _apart(large: DataFrame, member: DataFrame, marks: DataFrame, similarity: float, low: int, high: int) -> tuple[DataFrame, DataFrame]:
+    """What `_across` gives for the rows (bucket, k, lead) of buckets that hold more than one component, and these rows.  All rows that
+    aren't in the component of their bucket's lead are compared with all rows: in blocks of about BLOCK by BLOCK rows, a task each."""
+    names = member.select(F.col("node").alias("k"), "component"), member.select(F.col("node").alias("lead"), F.col("component").alias("major"))
+    own = large.join(names[0], "k", "left").join(names[1], "lead", "left").select("bucket", "k", "lead", F.coalesce("component", "k").alias("component"), F.coalesce("major", "lead").alias("major"))
+    own = own.withColumn("minor", F.col("component") != F.col("major")).drop("major")
     sizes = own.groupBy("bucket").agg(F.count_if("minor").alias("n_minor"), F.count("*").alias("n_all")).filter("n_minor > 0")
     blocks, pieces = (F.ceil(F.col(c) / BLOCK).cast("int").alias(name) for c, name in (("n_minor", "blocks"), ("n_all", "pieces")))
     rows = stage(own.join(broadcast_if(sizes.select("bucket", blocks, pieces)), "bucket").join(marks, "k"), "open-buckets")
@@ -461,8 +471,7 @@ def _apart(large: DataFrame, leads: DataFrame, member: DataFrame, marks: DataFra
     all_rows = rows.withColumn("piece", at(2, F.col("pieces"))).select(*what, every("blocks").alias("block"), "piece")
     task = ("bucket", "block", "piece")
     found = stage(minor.groupBy(*task).cogroup(all_rows.groupBy(*task)).applyInPandas(_across(similarity, low, high), "a long, b long").distinct(), "apart")
-    discard(rows)
-    return found
+    return found, rows.select("bucket", "k", "lead")
 
 
 def _similar(pairs: DataFrame, marks: DataFrame, texts: DataFrame, first: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -526,12 +535,10 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     large = met.filter("bucket is not null").union(stars)
     links = _similar(met.select("a", "b").union(stars.select("a", "b")).filter("a <> b").distinct(), marks, own, first, shingle, similarity)
     member = stage(components(links), "members")
-    large = stage(large.select("bucket", F.col("b").alias("k")).distinct(), "large-buckets")
-    parts = large.join(member.withColumnRenamed("node", "k"), "k", "left").groupBy("bucket", F.coalesce("component", "k").alias("component")).agg(F.count("*").alias("n"), F.min("k").alias("k"))
-    leads = stage(parts.groupBy("bucket").agg(F.max_by("k", F.struct("n", "k")).alias("k")), "leads")  # of each bucket's largest component, for good
+    large = _buckets(large.select("bucket", F.col("b").alias("k")).distinct(), member)
     low, high = 0, NEAREST
     while True:
-        found = _apart(large, leads, member, marks, similarity, low, high)
+        found, large = _apart(large, member, marks, similarity, low, high)
         more = _similar(found.filter("b is not null"), marks, own, first, shingle, similarity)
         if not more.isEmpty():
             links = links.union(more)
