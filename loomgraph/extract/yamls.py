@@ -43,7 +43,7 @@ def _load(content: str):
 
     try:
         return yaml.safe_load(content)
-    except yaml.YAMLError:
+    except (yaml.YAMLError, ValueError, TypeError, KeyError, RecursionError):  # impossible dates, odd keys, deep nesting: the file is skipped
         return None
 
 
@@ -81,7 +81,8 @@ def ansible(path: str, content: str) -> list[dict]:
         place = "/".join(parts[2:])
         if place in ("tasks/main.yml", "handlers/main.yml"):
             kind = "Task" if parts[2] == "tasks" else "Handler"
-            for i, task in enumerate(_load(content) if isinstance(_load(content), list) else []):
+            tasks = _load(content)
+            for i, task in enumerate(tasks if isinstance(tasks, list) else []):
                 if isinstance(task, dict) and _name(task.get("name")):
                     out.append(symbol(path, i + 1, kind, task["name"], i + 1, parent=(role, 0), analyzer="ansible"))
                     if kind == "Task":

@@ -11,19 +11,24 @@ from ..model import HUBLESS_KINDS, NOISE_NAMES, Graph
 from ..scratch import written
 
 
+#: Rows of ids that are broadcast at most.
+SMALL = 500_000
+
+
 def traverse(edges: DataFrame, start: DataFrame, direction: str = "outgoing", max_depth: int = 5) -> DataFrame:
     """(node_id, depth) of what is reachable from the rows of ``start`` (node_id) over edges of all kinds, the start
-    itself excluded.  A round joins the frontier with the edges and drops what was seen; both are written, so a
-    plan never grows; the rounds end with the frontier."""
+    itself excluded.  The different hops are written once.  A round joins the frontier with them and drops what was seen; a
+    frontier that is counted to be small is broadcast, so that a round reads the hops and shuffles what it found.  Each frontier is written, so
+    a plan never grows; the rounds end with the frontier."""
     if direction not in ("outgoing", "incoming"):
         raise ValueError(f"no such direction: {direction}")
     here, there = ("src", "dst") if direction == "outgoing" else ("dst", "src")
-    hops = edges.select(F.col(here).alias("node_id"), F.col(there).alias("next")).distinct()
-    seen = start.select("node_id").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
+    hops = written(edges.select(F.col(here).alias("node_id"), F.col(there).alias("next")).filter(F.col(here) != F.col(there)).distinct(), "hops")
+    frontier = seen = written(start.select("node_id").distinct().withColumn("depth", F.lit(0)), "frontier")
+    small = lambda t: F.broadcast(t) if t.count() <= SMALL else t
     for depth in range(1, max_depth + 1):
-        found = frontier.select("node_id").join(hops, "node_id").select(F.col("next").alias("node_id")).distinct()
-        frontier = written(found.join(seen, "node_id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        found = hops.join(small(frontier.select("node_id")), "node_id").select(F.col("next").alias("node_id")).distinct()
+        frontier = written(found.join(small(seen.select("node_id")), "node_id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.union(frontier)
@@ -82,13 +87,17 @@ def merge(a: Graph, b: Graph) -> Graph:
 
 
 def ids(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
-    """Consecutive ids in order of (group, order) without sorting all rows in one task: numbers within a group, and
-    for each group the rows of the groups before it, from a running sum over groups alone."""
-    sizes = rows.groupBy(*group).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(*group).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    own = F.row_number().over(W.partitionBy(*group).orderBy(*order)) - 1
-    first = sizes.select(*group, before.alias("_before"))
-    return rows.withColumn("_own", own).join(first, group).withColumn(name, (F.col("_before") + F.col("_own")).cast("long")).drop("_before", "_own")
+    """Consecutive ids in order of (group, order), by a distributed sort: a row's number within its partition and the rows of the
+    partitions before, of which there is one number each."""
+    at = F.monotonically_increasing_id()
+    columns = rows.columns
+    sorted_rows = written(rows.orderBy(*group, *order).select(*columns, F.shiftright(at, 33).alias("_part"), at.bitwiseAND((1 << 33) - 1).alias("_at")), "sorted")
+    before, n = [], 0
+    for part, size in sorted(sorted_rows.groupBy("_part").count().collect()):
+        before.append((part, n))
+        n += size
+    offsets = rows.sparkSession.createDataFrame(before or [(0, 0)], "_part long, _before long")
+    return sorted_rows.join(F.broadcast(offsets), "_part").select(*columns, (F.col("_before") + F.col("_at")).cast("long").alias(name))
 
 
 def room(g: Graph, prefix: str) -> DataFrame:

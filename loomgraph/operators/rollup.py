@@ -15,13 +15,13 @@ def common_prefix(paths: DataFrame, column: str = "file") -> DataFrame:
     """One row (prefix): the longest common directory of all paths.  The first and the last path in component order
     have the prefix that all have, so two rows decide it."""
     own = C.parts(F.col(column))
-    ends = paths.agg(F.min(own).alias("a"), F.max(own).alias("b"))
+    rooted = F.coalesce(F.bool_and(F.col(column).startswith("/")), F.lit(False))
+    ends = paths.agg(F.min(own).alias("a"), F.max(own).alias("b"), rooted.alias("rooted"))
     # the file itself is no directory, even if it is the only one
     dirs = F.slice("a", 1, F.greatest(F.size("a") - 1, F.lit(0)))
     same = F.aggregate(F.sequence(F.lit(0), F.size(dirs)), F.lit(0), lambda n, i: F.when((n == i) & (F.get(dirs, i) == F.get(F.col("b"), i)), n + 1).otherwise(n))
     text = F.concat(F.when(F.col("rooted"), "/").otherwise(""), F.array_join(F.slice(dirs, 1, same), "/"))
-    rooted = paths.agg(F.coalesce(F.bool_and(F.col(column).startswith("/")), F.lit(False)).alias("rooted"))
-    return ends.crossJoin(rooted).select(F.coalesce(text, F.lit("")).alias("prefix"))
+    return ends.select(F.coalesce(text, F.lit("")).alias("prefix"))
 
 
 def with_rel(nodes: DataFrame) -> DataFrame:

@@ -15,6 +15,21 @@ def members(nodes: DataFrame, wings: DataFrame) -> DataFrame:
     return joined.select("wing_id", "node_id", "name", "kind")
 
 
+def tunnel_classes(nodes: DataFrame, wings: DataFrame) -> DataFrame:
+    """from_wing, to_wing, name, from_kind, to_kind, from_node and to_node (the first of each side), from_nodes and to_nodes (how many), one
+    row for all tunnels between the nodes of a wing, name and kind and those of another: what `tunnels` has a row for each pair of, with a size
+    that doesn't grow with the square of a name's nodes.  Members are the nodes of that wing, name and kind."""
+    pairs = nodes.sparkSession.createDataFrame(list(TUNNEL_PAIRS), "small_kind string, large_kind string")
+    own = members(nodes, wings).filter("name <> ''").groupBy("wing_id", "name", "kind").agg(F.min("node_id").alias("node"), F.count("*").alias("nodes"))
+    names = own.groupBy("wing_id").agg(F.countDistinct("name").alias("n"))
+    side = lambda p: own.join(names, "wing_id").select("name", *[F.col(c).alias(f"{p}_{c}") for c in ("wing_id", "kind", "node", "nodes", "n")])
+    found = side("from").join(side("to"), "name").filter("from_wing_id < to_wing_id")
+    small = F.col("from_n") <= F.col("to_n")
+    found = found.withColumns({"small_kind": F.when(small, F.col("from_kind")).otherwise(F.col("to_kind")), "large_kind": F.when(small, F.col("to_kind")).otherwise(F.col("from_kind"))})
+    kept = found.join(F.broadcast(pairs), ["small_kind", "large_kind"])
+    return kept.select(F.col("from_wing_id").alias("from_wing"), F.col("to_wing_id").alias("to_wing"), "name", "from_kind", "to_kind", "from_node", "to_node", "from_nodes", "to_nodes")
+
+
 def tunnels(nodes: DataFrame, wings: DataFrame) -> DataFrame:
     """from_wing, to_wing, from_node, to_node, reason: nodes of two wings with one name and kinds that fit.  The test of the
     kinds goes from the wing with fewer different names (the first, if equal) to the other."""

@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..engine import languages
 from ..extract import code, text, yamls
 from ..functions import columns as C
-from ..model import DEFINITION_KINDS, LANGUAGES, NOISE_NAMES, SCAN_PRUNED, TRANSPARENT_DIRS, WATCH_IGNORED, Graph
+from ..model import DEFINITION_KINDS, LANGUAGES, NOISE_NAMES, SCAN_PRUNED, TRANSPARENT_DIRS, TUNNEL_PAIRS, WATCH_IGNORED, Graph
 from ..operators import changes, lookup, resolve, rollup, wings
 from ..operators import graph as G
 from ..scratch import new_path, written
@@ -115,11 +114,11 @@ def nodes_by_file(g: Graph) -> DataFrame:
 
 
 @on_graph("""
-, p AS (SELECT DISTINCT string_split(file, '/')[2:] AS parts FROM nodes WHERE file LIKE '/src/Brand#1%'),
+, p AS (SELECT DISTINCT string_split(file, '/')[2:] AS parts FROM nodes),
 e AS (SELECT min(parts) AS a, max(parts) AS b FROM p)
 SELECT '/' || array_to_string(a[1:(SELECT coalesce(max(i), 0) FROM (SELECT unnest(range(1, len(a))) AS i) WHERE a[1:i] = b[1:i])], '/') AS prefix FROM e""")
 def common_prefix(g: Graph) -> DataFrame:
-    return rollup.common_prefix(g.nodes.filter("file like '/src/Brand#1%'"))
+    return rollup.common_prefix(g.nodes)
 
 
 @on_graph(f"SELECT node_id, kind, file FROM nodes WHERE name = '{SYMBOL}'")
@@ -278,29 +277,29 @@ def loc_display(g: Graph) -> DataFrame:
 
 #: Parts call parts by name; some names are nobody's.
 _SITES = "SELECT p_partkey * 8 + 4 AS caller_id, CASE p_size % 5 WHEN 0 THEN 'nobody' WHEN 1 THEN p_name ELSE split_part(p_name, ' ', 1) || ' widget' END AS callee_name FROM part"
-_TARGETS = "SELECT p_partkey * 8 + 4 AS node_id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Trait' WHEN p_partkey % 3 = 1 THEN 'Struct' ELSE 'Function' END AS kind FROM part WHERE p_partkey % 50 < 2"
+_TARGETS = "SELECT p_partkey * 8 + 4 AS node_id, p_name AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Trait' WHEN p_partkey % 3 = 1 THEN 'Struct' ELSE 'Function' END AS kind FROM part"
 
 
-def _sites(spark: SparkSession, sf_dir: str, targets: str = _TARGETS) -> tuple[DataFrame, DataFrame]:
-    return derived.query(spark, sf_dir, _SITES, ("part",)), derived.query(spark, sf_dir, targets, ("part",))
+def _sites(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return derived.query(spark, sf_dir, _SITES, ("part",)), derived.query(spark, sf_dir, _TARGETS, ("part",))
 
 
 _FOUND = f"WITH sites AS (SELECT DISTINCT * FROM ({_SITES})), targets AS ({_TARGETS}), found AS (SELECT caller_id AS src, callee_name, node_id AS dst FROM sites JOIN targets ON callee_name = name)"
 
 
 @register(f"{_FOUND}, e AS (SELECT *, bool_or(dst <= src) OVER (PARTITION BY src, callee_name) AS early FROM found) SELECT DISTINCT src, dst FROM e WHERE src <> dst AND (NOT early OR dst <= src)")
-def resolve_calls_strict(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> DataFrame:
-    return resolve.resolve_calls(*_sites(spark, sf_dir, parts), "strict")
+def resolve_calls_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve_calls(*_sites(spark, sf_dir), "strict")
 
 
 @register(f"{_FOUND} SELECT DISTINCT src, dst FROM found WHERE src <> dst")
-def resolve_calls_closed(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> DataFrame:
-    return resolve.resolve_calls(*_sites(spark, sf_dir, parts))
+def resolve_calls_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve_calls(*_sites(spark, sf_dir))
 
 
 @register(f"WITH sites AS ({_SITES}), t AS (SELECT name, min(node_id) AS dst FROM ({_TARGETS}) WHERE kind = 'Trait' GROUP BY name) SELECT caller_id AS src, dst, (caller_id % 3)::INT AS seq FROM sites JOIN t ON name = callee_name")
-def resolve_impls(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> DataFrame:
-    sites, targets = _sites(spark, sf_dir, parts)
+def resolve_impls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites, targets = _sites(spark, sf_dir)
     impls = sites.select(F.col("caller_id").alias("impl_id"), F.col("callee_name").alias("trait_name"), (F.col("caller_id") % 3).cast("int").alias("seq"))
     return resolve.resolve_impls(impls, targets)
 
@@ -308,31 +307,13 @@ def resolve_impls(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> Da
 @register(f"""WITH sites AS ({_SITES}), t AS ({_TARGETS}), f AS (SELECT name, min(node_id) AS dst FROM t WHERE kind = 'Struct' GROUP BY name)
 SELECT caller_id AS src, node_id AS dst, 'References' AS kind FROM sites JOIN t ON name = callee_name WHERE caller_id % 16 = 4
 UNION ALL SELECT caller_id, dst, 'TypeRef' FROM sites JOIN f ON name = callee_name WHERE caller_id % 16 <> 4""")
-def resolve_refs(spark: SparkSession, sf_dir: str, parts: str = _TARGETS) -> DataFrame:
-    sites, targets = _sites(spark, sf_dir, parts)
+def resolve_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sites, targets = _sites(spark, sf_dir)
     every = F.col("caller_id") % 16 == 4
     refs = sites.select(F.col("caller_id").alias("src"), F.col("callee_name").alias("ref_name"), F.when(every, "References").otherwise("TypeRef").alias("edge_kind"), F.when(~every, F.array(F.lit("Struct"))).alias("target_kinds"))
     return resolve.resolve_refs(refs, targets)
 
 
-#: As above over all parts, without SQL: names that many parts share give groups of all sizes.
-_ALL_TARGETS = _TARGETS.partition(" WHERE ")[0]
-
-
-def _whole(f: Query) -> Query:
-    """The query with all parts as targets."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return f(spark, sf_dir, _ALL_TARGETS)
-
-    run.__name__ = f"{f.__name__}_whole"
-    return run
-
-
-for _f in (resolve_calls_strict, resolve_calls_closed, resolve_impls, resolve_refs):
-    register()(_whole(_f))
-
-
 # ---- extraction ----------------------------------------------------------------------------------
 
 _LINES = "lines AS (SELECT path, unnest(string_split(regexp_replace(content, '\\n$', ''), chr(10))) AS text, generate_subscripts(string_split(regexp_replace(content, '\\n$', ''), chr(10)), 1)::INT AS line FROM files)"
@@ -423,20 +404,6 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs(spark, sf_dir, "markdown", text.markdown_links)
 
 
-@register("""SELECT page_id, trim(regexp_extract(html, '<h1[^>]*>([^<]*)', 1)) AS title, len(regexp_extract_all(html, '<a href="([^"]*)"', 1))::INT AS links FROM pages""")
-def extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = derived.table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.trim(F.regexp_extract("html", "<h1[^>]*>([^<]*)", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("links"))
-
-
-_CALLS = "SELECT p_partkey * 8 + 4 AS caller_id, 'base::' || split_part(p_name, ' ', 1) || CASE p_size % 3 WHEN 0 THEN '::new' WHEN 1 THEN '.inner.run' ELSE '' END AS callee FROM part"
-
-
-@register(f"WITH c AS ({_CALLS}) SELECT DISTINCT caller_id, string_split(string_split(callee, '::')[-1], '.')[-1] AS callee_name FROM c")
-def extract_call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derived.query(spark, sf_dir, _CALLS, ("part",)).select("caller_id", C.last_segment(F.col("callee")).alias("callee_name")).distinct()
-
-
 _YAML = """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'roles/r' || s_suppkey || '/tasks/main.yml' WHEN 1 THEN 'roles/r' || s_suppkey || '/defaults/main.yml' WHEN 2 THEN 'playbooks/p' || s_suppkey || '.yml' ELSE 'api' || s_suppkey || '/openapi.yaml' END AS path,
 CASE s_suppkey % 4 WHEN 0 THEN '- name: Install ' || s_name || chr(10) || '  notify: restart' || chr(10) || '  shell: "{{ port }}"' WHEN 1 THEN 'port: 1' || chr(10) || 'host: x'
 WHEN 2 THEN '- name: deploy' || chr(10) || '  roles: [r' || (s_suppkey - 2) || ', r0]' ELSE 'paths:' || chr(10) || '  /a/' || s_suppkey || ':' || chr(10) || '    get: {}' || chr(10) || 'components: {schemas: {S' || s_suppkey || ': {}}}' END AS content FROM supplier"""
@@ -500,11 +467,6 @@ def schema_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.files(spark, sf_dir, "code").select("path", C.schema_parser(F.col("path")).alias("parser"))
 
 
-@register("SELECT * FROM (VALUES ('Rust', 6), ('Python', 4), ('TypeScript', 6), ('JavaScript', 4), ('Go', 5), ('C', 5), ('C++', 5), ('C#', 6), ('Kotlin', 6), ('Java', 6)) t(language, covered)")
-def languages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages(spark).select("language", "covered")
-
-
 # ---- change and persistence ----------------------------------------------------------------------
 
 _BEFORE = "SELECT '/e/' || user_id || '/' || event_type AS path, CAST(min(event_id) AS STRING) AS content FROM events WHERE event_id % 3 <> 0 GROUP BY user_id, event_type"
@@ -528,28 +490,32 @@ def remove_file(g: Graph) -> DataFrame:
 
 
 @on_graph("""
-, small AS (SELECT * FROM nodes WHERE kind IN ('Module', 'File')), pair AS (SELECT * FROM edges WHERE kind = 'Contains' AND src % 8 = 0),
-top AS (SELECT 1 + greatest((SELECT max(node_id) FROM small), (SELECT max(edge_id) FROM pair)) AS n)
-SELECT node_id, name FROM small UNION ALL SELECT node_id + n, name FROM small, top""")
+, top AS (SELECT 1 + greatest((SELECT max(node_id) FROM nodes), (SELECT max(edge_id) FROM edges)) AS n)
+SELECT 'node' AS part, node_id AS id, CAST(NULL AS BIGINT) AS src, CAST(NULL AS BIGINT) AS dst, name FROM nodes UNION ALL SELECT 'node', node_id + n, NULL, NULL, name FROM nodes, top
+UNION ALL SELECT 'edge', edge_id, src, dst, kind FROM edges UNION ALL SELECT 'edge', edge_id + n, src + n, dst + n, kind FROM edges, top""")
 def merge_wing(g: Graph) -> DataFrame:
-    small = g.but(nodes=g.nodes.filter("kind in ('Module', 'File')"), edges=g.edges.filter("kind = 'Contains' and src % 8 = 0"))
-    return G.merge(small, small).nodes.select("node_id", "name")
+    """The graph merged with itself: nodes and moved edges."""
+    both = G.merge(g, g)
+    none = F.lit(None).cast("long")
+    nodes = both.nodes.select(F.lit("node").alias("part"), F.col("node_id").alias("id"), none.alias("src"), none.alias("dst"), "name")
+    return nodes.union(both.edges.select(F.lit("edge"), "edge_id", "src", "dst", "kind"))
 
 
-@on_graph("""
-, wings AS (SELECT row_number() OVER (ORDER BY r_regionkey)::INT - 1 AS wing_id, '/' || r_name AS root FROM region),
-m AS (SELECT wing_id, node_id, name, kind FROM nodes JOIN wings ON file = root OR starts_with(file, root || '/') WHERE kind = 'Struct' AND node_id % 40 = 3)
-SELECT a.wing_id AS from_wing, b.wing_id AS to_wing, a.node_id AS from_node, b.node_id AS to_node, 'shared type: ' || a.name AS reason FROM m a JOIN m b ON a.name = b.name AND a.wing_id < b.wing_id""")
-def tunnels(g: Graph) -> DataFrame:
-    regions = g.nodes.filter("kind = 'Module'").select((F.col("node_id") / 8).cast("int").alias("wing_id"), F.col("file").alias("root"))
-    return wings.tunnels(g.nodes.filter("kind = 'Struct' and node_id % 40 = 3"), regions)
+def _regions(g: Graph) -> DataFrame:
+    return g.nodes.filter("kind = 'Module'").select((F.col("node_id") / 8).cast("int").alias("wing_id"), F.col("file").alias("root"))
 
 
-@on_graph()
-def tunnels_whole(g: Graph) -> DataFrame:
-    """All nodes, where `tunnels` and its SQL take one struct in five.  Pairs grow with the square of a name's nodes."""
-    regions = g.nodes.filter("kind = 'Module'").select((F.col("node_id") / 8).cast("int").alias("wing_id"), F.col("file").alias("root"))
-    return wings.tunnels(g.nodes, regions)
+@on_graph(f"""
+, wings AS (SELECT row_number() OVER (ORDER BY r_regionkey)::INT - 1 AS wing_id, '/' || r_name AS root FROM region),
+m AS (SELECT wing_id, name, kind, min(node_id) AS node, count(*) AS nodes FROM nodes JOIN wings ON file = root OR starts_with(file, root || '/') WHERE name <> '' GROUP BY ALL),
+s AS (SELECT wing_id, count(DISTINCT name) AS n FROM m GROUP BY wing_id),
+p AS (SELECT * FROM (VALUES {", ".join(str(p) for p in TUNNEL_PAIRS)}) t(small_kind, large_kind)),
+j AS (SELECT a.wing_id AS from_wing, b.wing_id AS to_wing, a.name, a.kind AS from_kind, b.kind AS to_kind, a.node AS from_node, b.node AS to_node, a.nodes AS from_nodes, b.nodes AS to_nodes, x.n <= y.n AS small
+  FROM m a JOIN m b ON a.name = b.name AND a.wing_id < b.wing_id JOIN s x ON x.wing_id = a.wing_id JOIN s y ON y.wing_id = b.wing_id)
+SELECT j.* EXCLUDE (small) FROM j JOIN p ON CASE WHEN small THEN from_kind ELSE to_kind END = small_kind AND CASE WHEN small THEN to_kind ELSE from_kind END = large_kind""")
+def tunnels(g: Graph) -> DataFrame:
+    """Classes of tunnels between regions over all nodes."""
+    return wings.tunnel_classes(g.nodes, _regions(g))
 
 
 @register()

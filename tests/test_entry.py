@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.model import TUNNEL_PAIRS
 from loomgraph.plans import derived
-from loomgraph.plans.queries import QUERIES
+from loomgraph.operators import wings
+from loomgraph.plans.queries import QUERIES, _regions
 from loomgraph.streaming import feed
 
 
@@ -39,7 +40,8 @@ def test_change_feed(spark, tmp_path):
 def test_tunnels_over_all_nodes(spark):
     """Brute force over each node of the smallest tables."""
     sf = "/root/testdata/sf0.001"
-    nodes = [r for r in derived.graph(spark, sf).nodes.select("node_id", "kind", "name", "file").collect()]
+    g = derived.graph(spark, sf)
+    nodes = [r for r in g.nodes.select("node_id", "kind", "name", "file").collect()]
     roots = {r.file: r.node_id // 8 for r in nodes if r.kind == "Module"}
     own = [(roots[root], r) for r in nodes for root in roots if r.file == root or r.file.startswith(f"{root}/")]
     names = {w: len({r.name for x, r in own if x == w}) for w in roots.values()}
@@ -50,8 +52,10 @@ def test_tunnels_over_all_nodes(spark):
                 pair = (a.kind, b.kind) if names[v] <= names[w] else (b.kind, a.kind)
                 if pair in TUNNEL_PAIRS:
                     want.add((v, w, a.node_id, b.node_id))
-    got = [(r.from_wing, r.to_wing, r.from_node, r.to_node) for r in QUERIES["tunnels_whole"](spark, sf).collect()]
+    got = [(r.from_wing, r.to_wing, r.from_node, r.to_node) for r in wings.tunnels(g.nodes, _regions(g)).collect()]
     assert set(got) == want and len(got) == len(want) and {n % 5 for _, _, x, _ in got for n in [x // 8]} == set(range(5))
+    classes = QUERIES["tunnels"](spark, sf).collect()
+    assert sum(r.from_nodes * r.to_nodes for r in classes) == len(want) and {(r.from_wing, r.to_wing, r.from_node, r.to_node) for r in classes} <= want
 
 
 def test_resolution_over_all_parts(spark):
@@ -69,5 +73,5 @@ def test_resolution_over_all_parts(spark):
         impls |= {(src, d, src % 3) for d in sorted(have(name, "Trait"))[:1]}
         refs |= {(src, d, "References") for d in every} if src % 16 == 4 else {(src, d, "TypeRef") for d in sorted(have(name, "Struct"))[:1]}
     for query, want in {"resolve_calls_closed": closed, "resolve_calls_strict": strict, "resolve_impls": impls, "resolve_refs": refs}.items():
-        got = [tuple(r) for r in QUERIES[f"{query}_whole"](spark, sf).collect()]
+        got = [tuple(r) for r in QUERIES[query](spark, sf).collect()]
         assert set(got) == want and len(got) == len(want) > 0
