@@ -114,9 +114,17 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """The records with payload_bytes and payload_digest, computed from the stored bytes where they lie."""
+    """The records with payload_bytes and payload_digest, computed from the stored bytes where they lie.  A record whose
+    header declares another digest or another length ends the job."""
     facts = verified(spark, path).select("sha256", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    return parsed(spark.read.parquet(f"{path}/headers")).drop("header").join(facts, "sha256")
+    found = parsed(spark.read.parquet(f"{path}/headers")).join(facts, "sha256")
+    # the header's own words: the digest, the payload's length, and that of the record's block
+    http = F.substring_index(F.col("header").cast("string"), CRLF * 2, -2)
+    lengths = F.regexp_extract_all(F.col("header").cast("string"), F.lit(r"(?md)^Content-Length: (\d+)\r$"), F.lit(1))
+    block = F.octet_length(http) + F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
+    true = (F.col("declared_digest") == F.col("payload_digest")) & (F.get(lengths, F.lit(0)).cast("long") == block) & (F.get(lengths, F.lit(1)).cast("long") == F.col("payload_bytes"))
+    told = F.when(F.coalesce(true, F.lit(False)), F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("a header that doesn't fit its payload "), F.hex("sha256"))))
+    return found.withColumn("payload_digest", told).drop("header")
 
 
 def export_warc(spark: SparkSession, path: str, to: str, records_per_file: int = 2000) -> None:
