@@ -1,17 +1,18 @@
 """Exact top-k search by integer inner product over KD-trees.
 
-Vectors are dealt into shards of about ``shard_rows`` rows.  In a shard a KD-tree splits at the median of its widest
+Vectors are dealt into shards of about ``shard_rows`` rows: cells that are cut at the medians of a bounded sample's widest axes, so that a
+shard's box is tight too, and large cells dealt further by a hash.  In a shard a KD-tree splits at the median of its widest
 axis and each node keeps the tight box around its vectors.  The best inner product that a box can hold is the sum
 of max(q * low, q * high) over the axes; the traversal visits nodes best first by that bound and ends when the bound
 is below the kth best score so far.
 
-Two rounds keep the shards from each searching alone: a query first runs in one shard, and its kth score there goes
-with it to the other shards, where whatever cannot reach it is skipped: whole shards by their own box, nodes by
-theirs.  Queries travel in blocks of bounded size.
+Two rounds keep the shards from each searching alone: a query first runs in its own shard, and its kth score there goes
+with it to the other shards whose box may reach it; there nodes are skipped by their boxes in the same way.  Boxes are tested
+before any vector moves.  A shard's tree is built once in a round, and queries stream past it.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part, neither as
 query nor as candidate; vectors of different lengths are never compared; a query's own vec_id is no candidate (so no
-repeated row of it either); repeated rows are candidates each, ties of score go to the smaller vec_id; null vec_ids
+repeated row of it either); a vec_id that has several vectors asks with each of them, one that repeats a vector asks once with it; repeated rows are candidates each, ties of score go to the smaller vec_id; null vec_ids
 take no part; fewer than k candidates give fewer rows; no rows give no rows.  Scores are exact while
 |component| < 2**28 after scaling and sums stay below 2**63.
 """
@@ -19,14 +20,16 @@ take no part; fewer than k candidates give fewer rows; no rows give no rows.  Sc
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import stage
+from .common import records, stage
 
 LEAF = 256
 
@@ -100,48 +103,177 @@ def scaled(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     return embeddings.filter(usable).select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: F.floor(x.cast("double") * F.lit(float(scale))).cast("long")).alias("v"))
 
 
-_FOUND = "query_id long, score long, vec_id long"
+def splits(sample: np.ndarray, cells: int) -> list[tuple[int, int, int, int]]:
+    """(axis, cut, below, above) of a tree that cuts a sample at medians of widest axes into about ``cells`` cells; a negative
+    number -c - 1 below or above is cell c."""
+    nodes: list[tuple[int, int, int, int]] = []
+    count = 0
 
+    def cut(rows: np.ndarray, want: int) -> int:
+        nonlocal count
+        own = sample[rows]
+        axis = int(np.argmax(own.max(0) - own.min(0))) if len(rows) else 0
+        values = np.sort(own[:, axis]) if len(rows) else own[:0, 0]
+        if want < 2 or len(rows) < 2 or values[0] == values[-1]:
+            count += 1
+            return -count
+        at = int(values[len(values) // 2])
+        at = at if at > values[0] else int(values[np.searchsorted(values, at, "right")])
+        k = len(nodes)
+        nodes.append((axis, at, 0, 0))
+        low = own[:, axis] < at
+        nodes[k] = (axis, at, cut(rows[low], want // 2), cut(rows[~low], want - want // 2))
+        return k
 
-def _run(shard: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
-    if not len(shard) or not len(queries):
-        return pd.DataFrame({"query_id": [], "score": [], "vec_id": []}, dtype="int64")
-    tree = Tree(shard["vec_id"].to_numpy(np.int64), np.stack(shard["v"].to_numpy()).astype(np.int64))
-    out: list[tuple[int, int, int]] = []
-    for q, v, least in zip(queries["query_id"].tolist(), queries["qv"], queries["least"], strict=True):
-        out += [(q, s, i) for s, i in tree.search(q, np.asarray(v, np.int64), k, None if pd.isna(least) else int(least))]
-    return pd.DataFrame(out, columns=["query_id", "score", "vec_id"], dtype="int64")
+    cut(np.arange(len(sample)), cells)
+    return nodes
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def cell_of(vectors: np.ndarray, nodes: list[tuple[int, int, int, int]]) -> np.ndarray:
+    out, todo = np.zeros(len(vectors), np.int32), [(np.arange(len(vectors)), 0 if nodes else -1)]
+    while todo:
+        rows, k = todo.pop()
+        if k < 0:
+            out[rows] = -k - 1
+        elif len(rows):
+            axis, at, below, above = nodes[k]
+            low = vectors[rows, axis] < at
+            todo += [(rows[low], below), (rows[~low], above)]
+    return out
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 8192, query_block: int = 8192) -> DataFrame:
+#: A shard's name.
+SHARD = ["dim", "cell", "sub"]
+_FOUND = "query_id long, version long, score long, vec_id long"
+_FOUND_SCHEMA = pa.schema([("query_id", pa.int64()), ("version", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64())])
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _runs(batch: pa.RecordBatch, columns: int) -> list[tuple[int, int]]:
+    """The stretches of rows that are equal in the first columns."""
+    keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(columns)])
+    cuts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1, [batch.num_rows]]).tolist()
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
+def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (dim, cell, sub, v) -> dim, cell, sub, low, high: the boxes of stretches of rows of a shard."""
+    for batch in batches:
+        for s, e in _runs(batch, 3) if batch.num_rows else ():
+            own = _matrix(batch.column(3).slice(s, e - s))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(s, 1) for k in range(3)], pa.array([own.min(0)], pa.list_(pa.int64())), pa.array([own.max(0)], pa.list_(pa.int64()))], names=["dim", "cell", "sub", "low", "high"])
+
+
+def _search(k: int):
+    """Over rows (dim, cell, sub, query, id, version, least, v) sorted so that a shard's vectors come before its queries: its tree is built
+    once, and the queries stream past it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, tree = None, [], None
+        for batch in batches:
+            for s, e in _runs(batch, 4) if batch.num_rows else ():
+                part = batch.slice(s, e - s)
+                name = tuple(part.column(c)[0].as_py() for c in range(3))
+                if name != shard:
+                    shard, held, tree = name, [], None
+                ids, vectors = part.column(4).to_numpy(zero_copy_only=False), _matrix(part.column(7))
+                if not part.column(3)[0].as_py():
+                    held.append((ids, vectors))
+                    continue
+                if tree is None and held:
+                    tree, held = Tree(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])), []
+                out: list[tuple[int, int, int, int]] = []
+                for q, version, least, v in zip(ids.tolist(), part.column(5).to_pylist(), part.column(6).to_pylist(), vectors, strict=True):
+                    out += [(q, version, score, i) for score, i in tree.search(q, v, k, least)] if tree else []
+                if out:
+                    yield records(_FOUND_SCHEMA, [list(c) for c in zip(*out, strict=True)])
+
+    return run
+
+
+def _answers(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, version, score, vec_id of queries (SHARD, query_id, version, least, qv) in their shards."""
+    none = F.lit(None).cast("long")
+    rows = table.join(queries.select(*SHARD).distinct(), SHARD, "left_semi").select(*SHARD, F.lit(0).alias("query"), F.col("vec_id").alias("id"), none.alias("version"), none.alias("least"), "v")
+    asked = queries.select(*SHARD, F.lit(1).alias("query"), F.col("query_id").alias("id"), "version", "least", F.col("qv").alias("v"))
+    return rows.union(asked).repartition(*SHARD).sortWithinPartitions(*SHARD, "query").mapInArrow(_search(k), _FOUND)
+
+
+def reach(queries: DataFrame, boxes: DataFrame, block: int = 32_768) -> DataFrame:
+    """query_id, version, least and SHARD of the shards but the query's own (dim, cell, sub) whose box may hold a score of ``least`` or more.
+    Boxes go to the tasks in blocks of at most about ``block``; only names and numbers come out."""
+    schema = pa.schema([("query_id", pa.int64()), ("version", pa.int64()), ("least", pa.int64()), ("dim", pa.int32()), ("cell", pa.int32()), ("sub", pa.int32())])
+
+    def tests(names: np.ndarray, low: list[np.ndarray], high: list[np.ndarray]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s, e in _runs(batch, 1) if batch.num_rows else ():  # of one dim
+                    part = batch.slice(s, e - s)
+                    own = np.flatnonzero(names[:, 0] == part.column(0)[0].as_py())
+                    if not len(own):
+                        continue
+                    q = _matrix(part.column(6)).astype(float)
+                    bound = np.maximum(q, 0) @ np.stack([high[i] for i in own]).astype(float).T + np.minimum(q, 0) @ np.stack([low[i] for i in own]).astype(float).T
+                    least = np.array([-np.inf if x is None else x for x in part.column(5).to_pylist()], float)
+                    home = np.stack([part.column(c).to_numpy(zero_copy_only=False) for c in (1, 2)], 1)
+                    away = (names[own][None, :, 1:] != home[:, None]).any(2)
+                    at, box = np.nonzero(away & (bound + np.abs(bound) * 1e-9 + 1 >= least[:, None]))  # sums are rounded: a little is added
+                    if len(at):
+                        at, shard = pa.array(at), names[own[box]]
+                        yield pa.RecordBatch.from_arrays([part.column(3).take(at), part.column(4).take(at), part.column(5).take(at), *[pa.array(shard[:, c].astype(np.int32)) for c in range(3)]], schema=schema)
+
+        return run
+
+    blocks = max(1, -(-boxes.count() // block))
+    asked = queries.select(*SHARD, "query_id", "version", "least", "qv").sortWithinPartitions("dim")
+    out = None
+    for b in range(blocks):
+        own = boxes.filter(F.pmod(F.xxhash64(*SHARD), F.lit(blocks)) == b).toArrow().combine_chunks()
+        names = np.stack([own.column(c).to_numpy() for c in SHARD], 1)
+        low, high = ([x.values.to_numpy() for x in own.column(c)] for c in ("low", "high"))
+        found = asked.mapInArrow(tests(names, low, high), "query_id long, version long, least long, dim int, cell int, sub int")
+        out = found if out is None else out.union(found)
+    return out.distinct()
+
+
+def shards_of(vectors: DataFrame, shard_rows: int, sample_rows: int) -> DataFrame:
+    """vec_id, v, version (a hash of v) and SHARD: cells cut at the medians of a sample of at most about ``sample_rows`` vectors, and a
+    cell of more than ``shard_rows`` vectors dealt by a hash, so that equal vectors fill many shards."""
+    rows = vectors.withColumns({"dim": F.size("v"), "version": F.xxhash64("v")})
+    sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}
+    n = sum(sizes.values())
+    drawn = rows.filter(F.shiftrightunsigned(F.xxhash64("vec_id", F.lit("draw")), 1) < ((1 << 63) - 1) * min(sample_rows, n) // max(1, n)) if n > sample_rows else rows
+    held: dict[int, list] = {}
+    for dim, v in drawn.select("dim", "v").toArrow().to_pandas().itertuples(index=False):
+        held.setdefault(int(dim), []).append(v)
+    trees = {dim: splits(np.stack(own), min(max(1, -(-sizes[dim] // shard_rows)), max(1, len(own) // 16))) for dim, own in held.items()}
+
+    def cells(v: pd.Series) -> pd.Series:
+        out = np.zeros(len(v), np.int32)
+        dims = v.map(len).to_numpy()
+        for dim in np.unique(dims).tolist():
+            out[dims == dim] = cell_of(np.stack(v.to_numpy()[dims == dim]), trees.get(dim, []))
+        return pd.Series(out)
+
+    celled = stage(rows.withColumn("cell", F.pandas_udf(cells, "int")("v")), "kd-cells")
+    parts = celled.groupBy("dim", "cell").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("parts"))  # as many as the sample has cells
+    sub = F.pmod(F.xxhash64("vec_id", "version"), F.col("parts")).cast("int")
+    dealt = celled.join(F.broadcast(parts), ["dim", "cell"]).withColumn("sub", sub).select("vec_id", "v", "version", *SHARD)
+    return stage(dealt.repartition(*SHARD).sortWithinPartitions(*SHARD), "kd-shards")
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 10, shard_rows: int = 8192, sample_rows: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k best; ``vectors`` as `scaled` gives them.  A task holds
-    one shard and one block of queries."""
-    all_rows = vectors.withColumn("dim", F.size("v"))
-    shards = max(1, -(-all_rows.count() // shard_rows))
-    table = stage(all_rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), "kd-shards")
-    queries = stage(table.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), "dim", F.col("shard").alias("home")).dropDuplicates(["query_id", "dim"]), "kd-queries")
-    blocks = max(1, -(-queries.count() // query_block))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    by_block = table.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    task = ["dim", "shard", "block"]
-    search = lambda s, q: _run(s, q, k)
-
-    # round 1: at home
-    first = queries.withColumn("least", F.lit(None).cast("long")).withColumn("shard", F.col("home"))
-    at_home = stage(by_block.groupBy(*task).cogroup(first.groupBy(*task)).applyInPandas(search, _FOUND), "kd-home")
-    kth = at_home.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("score")).select("query_id", F.when(F.col("n") >= k, F.col("score")).alias("least"))
-
-    # round 2: the other shards whose box may hold more.  A shard's box is two vectors; the boxes are joined
-    # by shard number, so that a query meets each shard once and no pair of vectors is formed here.
-    axes = table.select("dim", "shard", F.posexplode("v").alias("axis", "x")).groupBy("dim", "shard", "axis").agg(F.min("x").alias("low"), F.max("x").alias("high"))
-    boxes = axes.groupBy("dim", "shard").agg(F.array_sort(F.collect_list(F.struct("axis", "low", "high"))).alias("box"))
-    bound = F.aggregate(F.zip_with("qv", "box", lambda q, b: F.greatest(q * b["low"], q * b["high"])), F.lit(0).cast("long"), lambda a, x: a + x)
-    away = queries.join(kth, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).filter("shard <> home")
-    away = away.join(boxes, ["dim", "shard"]).filter(F.col("least").isNull() | (bound >= F.col("least"))).select("query_id", "qv", *task, "least")
-    afar = by_block.groupBy(*task).cogroup(away.groupBy(*task)).applyInPandas(search, _FOUND)
-    return _best(at_home.union(afar), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    one shard's tree and a batch of queries."""
+    table = shards_of(vectors, shard_rows, sample_rows)
+    queries = stage(table.filter(is_query).select(F.col("vec_id").alias("query_id"), "version", F.col("v").alias("qv"), *SHARD).dropDuplicates(["query_id", "version"]), "kd-queries")
+    at_home = stage(_answers(table, queries.withColumn("least", F.lit(None).cast("long")), k), "kd-home")
+    kth = at_home.groupBy("query_id", "version").agg(F.count("*").alias("n"), F.min("score").alias("score")).select("query_id", "version", F.when(F.col("n") >= k, F.col("score")).alias("least"))
+    boxes = stage(table.select(*SHARD, "v").mapInArrow(_boxes, "dim int, cell int, sub int, low array<long>, high array<long>"), "kd-boxes")
+    away = stage(reach(queries.join(kth, ["query_id", "version"], "left"), boxes), "kd-away")
+    found = at_home.union(_answers(table, away.join(queries.select("query_id", "version", "qv"), ["query_id", "version"]), k))
+    order = W.partitionBy("query_id", "version").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

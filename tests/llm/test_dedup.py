@@ -233,18 +233,33 @@ def test_decontamination_with_long_items_and_items_of_two_texts(spark):
 def test_top_k_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [float(x) for x in rng.normal(size=6)]) for k in range(700)]
-    rows += [(700 + k, rows[k % 3][1]) for k in range(40)] + [(800, None), (801, []), (802, [1.0, None]), (803, [float("nan")] * 6), (804, [float("inf")] * 6), (900, [1.0, 2.0]), (901, [2.0, 2.0]), (None, rows[0][1]), (500, rows[0][1])]
-    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, shard int")
+    rows += [(700 + k, rows[k % 3][1]) for k in range(240)] + [(1800, None), (1801, []), (1802, [1.0, None]), (1803, [float("nan")] * 6), (1804, [float("inf")] * 6), (1900, [1.0, 2.0]), (1901, [2.0, 2.0]), (None, rows[0][1]), (500, rows[0][1]), (600, rows[600][1])]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, cell int")
     usable = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
-    want = set()
-    for q, qv in {i: v for i, v in usable if i % 100 == 0 and i != 500}.items():
-        found = sorted((-int(qv @ v), i) for i, v in usable if i != q and len(v) == len(qv))[:10]
-        want |= {(q, r, i, -s) for r, (s, i) in enumerate(found, 1)}
-    got = topk.top_k(topk.scaled(df), (topk.F.col("vec_id") % 100 == 0) & (topk.F.col("vec_id") != 500), shard_rows=90, query_block=3).collect()
-    assert {(r.query_id, r.rank, r.vec_id, r.score) for r in got} == want and len(got) == len(want)
+    want = []
+    for q, qv in {(i, tuple(v)) for i, v in usable if i % 100 == 0}:  # 500 asks with two vectors, 600 once
+        found = sorted((-int(np.array(qv) @ v), i) for i, v in usable if i != q and len(v) == len(qv))[:10]
+        want += [(q, r, i, -s) for r, (s, i) in enumerate(found, 1)]
+    for sample in (20_000, 200):
+        got = topk.top_k(topk.scaled(df), topk.F.col("vec_id") % 100 == 0, shard_rows=40, sample_rows=sample).collect()
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == sorted(want)
     assert topk.top_k(topk.scaled(df.limit(0)), topk.F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_boxes_keep_queries_from_far_shards(spark):
+    """Forty clusters in as many shards or more: a query visits few of them, whether boxes come at once or in blocks."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8)) * 3
+    rows = [(k, (centres[k % 40] + rng.normal(size=8) * 0.05).tolist()) for k in range(4000)]
+    table = topk.shards_of(topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<float>")), 100, 20_000)
+    boxes = table.select(*topk.SHARD, "v").mapInArrow(topk._boxes, "dim int, cell int, sub int, low array<long>, high array<long>").cache()
+    asked = table.filter("vec_id % 100 = 0").select(topk.F.col("vec_id").alias("query_id"), "version", topk.F.col("v").alias("qv"), *topk.SHARD)
+    home = asked.withColumn("least", (topk.F.aggregate("qv", topk.F.lit(0).cast("long"), lambda a, x: a + x * x) * 0.95).cast("long"))
+    shards = table.select(*topk.SHARD).distinct().count()
+    seen = {b: topk.reach(home, boxes, b).count() for b in (32_768, 7)}
+    assert shards >= 40 and seen[32_768] == seen[7] < 0.25 * 40 * shards
+
+
 def test_meetings_do_not_depend_on_batches():
     """Buckets of all sizes, cut into batches of any size, repeated keys included."""
     rng = random.Random(4)
