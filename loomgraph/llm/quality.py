@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import records, slices
+from .common import records, slices, trim
 
 BAD, GOOD, ABSTAIN = 0, 1, 2
 #: Very frequent words of the languages in use.
@@ -250,7 +250,11 @@ def train(docs: DataFrame, *, max_rows: int = 6000, bits: int = 16) -> Scorer:
     rows = drawn.mapInArrow(features, "h long, slots array<int>, shares array<float>, pattern int").dropDuplicates(["h"]).toArrow().combine_chunks()
     slot, share, pattern = (rows.column(k) for k in ("slots", "shares", "pattern"))
     order = np.argsort(rows.column("h").to_numpy()).tolist()
-    return fit_scorer([(slot[k].values.to_numpy(), share[k].values.to_numpy().astype(float), labels.posterior(pattern[k].as_py())) for k in order], bits)
+    known = {p: labels.posterior(p) for p in set(pattern.to_pylist())}
+    scorer = fit_scorer([(slot[k].values.to_numpy(), share[k].values.to_numpy(), known[pattern[k].as_py()]) for k in order], bits)
+    del rows, slot, share, pattern
+    trim()
+    return scorer
 
 
 def score(docs: DataFrame, scorer: Scorer) -> DataFrame:

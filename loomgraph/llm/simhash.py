@@ -515,7 +515,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     shingles, the first `prefix` of each have one in common.  Common shingles come last in that order, so a bucket is small
     unless its texts are made of common shingles.  In a bucket of `FEW` texts all pairs are candidates; in a larger one each text is
     compared with the first, and then what isn't in the bucket's largest component yet with all of it: first its two nearest candidates,
-    then, if these left it in another component than some further candidate, the next eight, and so on by fours, to the last one.  So a
+    then, if these left it in another component than some further candidate, the next ones, sixteen times as many each time, to the last one.  So a
     group of copies costs about its size and not its square, and no candidate is left out.  Buckets of common shingles are never gathered: their first text is an aggregate, and what is compared
     later goes in blocks of bounded size.  No candidate is dropped but by bounds: sizes, and marks, which differ in no more bits
     than the sets have shingles apart.  Null doc_ids take no part.
@@ -524,7 +524,8 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     facts = stage(own.mapInArrow(_facts(shingle, similarity, _common(own, shingle)), _FACTS_DDL), "text-facts")
     rows = stage(facts.select("doc_id", "version", "k").distinct(), "text-keys")
     first = stage(rows.groupBy("k").agg(F.min(F.struct("doc_id", "version")).alias("t")).select("k", "t.*"), "texts")
-    one = facts.join(broadcast_if(first.select("doc_id", "version"), name=None), ["doc_id", "version"], "left_semi")
+    again = rows.join(first.select("doc_id", "version"), ["doc_id", "version"], "left_anti").select("doc_id", "version")  # copies: few, but for odd tables
+    one = facts.join(broadcast_if(again), ["doc_id", "version"], "left_anti")
     marks = stage(one.select("k", "n", "mark").dropDuplicates(["k"]), "marks")
     keyed = one.select(F.explode("rare").alias("bucket"), "k", "n").repartition("bucket").sortWithinPartitions("bucket", "k")
     met = stage(keyed.mapInArrow(_meetings(similarity), "bucket long, a long, b long").distinct(), "meetings")
@@ -545,7 +546,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
             member = stage(components(links), "members")
         if found.filter("b is null").isEmpty():
             break
-        low, high = high, 4 * high + NEAREST
+        low, high = high, 16 * high + NEAREST
     return rows.join(member.withColumnRenamed("node", "k"), "k", "left").select("doc_id", "version", F.coalesce("component", "k").alias("component"))
 
 
