@@ -17,7 +17,6 @@ extra columns are dropped.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,9 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import Numbered, records, slices, stage
 
-#: What the pattern's \w holds beside letters, decimal digits and the underscore: other numbers.
-_NUMBERS = "".join(x for x in map(chr, range(sys.maxunicode + 1)) if x.isnumeric() and not x.isalpha() and not x.isdecimal())
-WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+#: Letters, and a few other numbers that `words_of` takes out again.
+WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
 SHORT = 31
 #: A letter that no piece covers; also what a piece unseen in a language counts at least.
@@ -52,7 +50,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if WORD.fullmatch(p.removeprefix(START)))
+    return sorted(p for p in pieces if p.removeprefix(START).isalpha())
 
 
 class Lattice:
@@ -177,7 +175,10 @@ class Lattice:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    found = WORD.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [x for w in found for x in "".join(c if c.isalpha() else " " for c in w).split()]
 
 
 def by_length(words: list[str]) -> dict[int, list[int]]:
