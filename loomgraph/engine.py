@@ -21,21 +21,34 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str, mode: str = "closed", persist: bool = True) -> None:
         self.spark, self.root, self.mode, self.persist = spark, os.path.abspath(root), mode, persist
-        self.files = files.scan(spark, self.root)
-        self.facets = [r[0] for r in detect.facets(self.files).collect()] or ["unknown"]
+        self.facets = self._scan()
         self.wings: DataFrame = spark.createDataFrame([(0, os.path.basename(self.root), self.root)], "wing_id int, name string, root string")
         self._facts = store.read_table(spark, self.root, "facts") if persist else None
         before = store.load_hashes(spark, self.root) if persist else None
         if self._facts is not None and before is not None:
             self.update(before)
         else:
-            self.reindex()
-
-    def reindex(self) -> Graph:
-        """Extract and resolve everything."""
-        self._facts = written(build.extract(self.files, self.facets), "facts")
+            self._extract(self.facets)
+
+    def _scan(self) -> list[str]:
+        """List the tree: names tell the facets, contents are read of known extensions only.  Returns the facets."""
+        paths = files.walk(self.root)
+        known = (*files.KNOWN_EXTENSIONS, *(ext for a in build.ANALYZERS.values() for ext in a.extensions))
+        self.files = files.scan(self.spark, self.root, known, paths=paths)
+        listed = self.spark.createDataFrame([(p,) for p in paths], "rel string")
+        return [r[0] for r in detect.facets(listed).collect()] or ["unknown"]
+
+    def _extract(self, facets: list[str]) -> Graph:
+        self._facts = written(build.extract(self.files, facets), "facts")
         return self._built()
 
+    def reindex(self) -> list[str]:
+        """List, extract and resolve everything anew; returns the facets that the tree has now.  `boot` goes on showing those that it
+        had when it was opened."""
+        facets = self._scan()
+        self._extract(facets)
+        return facets
+
     def update(self, before: DataFrame) -> DataFrame:
         """Extract what changed since the hashes ``before`` and resolve everything; returns (path, status)."""
         facts, status = build.incremental(self.spark, before, self._facts, self.files, self.facets)
@@ -108,14 +121,21 @@ class Engine:
         return render.boot(self.graph, os.path.basename(self.root), self.facets)
 
     def report(self, name: str, *args: object, **options: object) -> str:
-        """A report of `render` by name: references, callers, implementations, dependencies, search, symbols, summary, source."""
-        makers = {"references": render.references, "callers": render.callers, "implementations": render.implementations, "dependencies": render.dependencies, "search": render.search, "summary": render.summary}
+        """A report by name, as the tools of `server` show it."""
+        if name == "boot":
+            return self.boot()
+        if name == "reindex":
+            facets = self.reindex()
+            return render.reindexed(self.graph, facets)
+        if name == "skeleton":
+            return render.skeleton(self.graph, self._below(args[0] if args else None), **options)
+        if name == "compact":
+            return render.compact(self.graph, self._below(args[0] if args else None), **options)
+        makers = {"references": render.references, "callers": render.callers, "implementations": render.implementations, "dependencies": render.dependencies, "impact": render.impact, "search": render.search, "summary": render.summary}
         if name == "symbols":
             return render.symbols(self.graph, self.root, *args, **options)
         if name == "source":
             return render.source(self.graph, self.files, args[0], self.root, *args[1:], **options)
-        if name == "impact":
-            return render.dependencies(self.graph, args[0], self.root, "incoming", *(args[1:] or (10,)), **options)
         if name == "tunnels":
             return render.tunnels(self.graph, self.wings)
         return makers[name](self.graph, args[0], self.root, *args[1:], **options)

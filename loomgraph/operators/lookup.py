@@ -82,7 +82,7 @@ def search_signatures(nodes: DataFrame, query: str, limit: int = 30) -> DataFram
 def symbols(nodes: DataFrame, kind: str = "all", public_only: bool = False, limit: int = 50) -> DataFrame:
     """label, shown (the signature, else the name), node_id, file, start_line, total."""
     if kind not in KIND_FILTERS:
-        raise ValueError(f"Unknown kind '{kind}'. Use one of: {', '.join(KIND_FILTERS)}")
+        raise ValueError(f"Unknown kind '{kind}'. Use: fn, struct, trait, enum, macro, module, type, all")
     found = nodes.filter(F.col("kind").isin(*KIND_FILTERS[kind]))
     if public_only:
         found = found.filter("visibility = 'Public'")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,35 +18,53 @@ from ..operators.resolve import resolve_calls, resolve_impls, resolve_refs
 from ..scratch import written
 from ..sources.files import code_files, format_files
 
-#: Which facets each analyzer takes, in the order in which they run; the schema analyzer takes all.
-ANALYZERS = {
-    "code": ("rust", "python", "typescript", "javascript", "go", "c", "cpp", "kotlin", "java", "csharp"),
-    "ansible": ("ansible",),
-    "terraform": ("terraform",),
-    "docs": ("markdown",),
-    "schema": None,
-}
 KEY = ["analyzer", "path", "ordinal"]
 
 
-def extract(files: DataFrame, facets: list[str]) -> DataFrame:
-    """Facts of ``files`` (path, rel, ext, bytes, content) by each analyzer that a facet asks for."""
-    on = [name for name, own in ANALYZERS.items() if own is None or set(own) & set(facets)]
-    out: list[DataFrame] = []
-    if "code" in on:
-        out.append(code.code(code_files(files)))
-    if "ansible" in on:
-        out.append(yamls.ansible_project(files.select(F.col("rel").alias("path"), "content")))
-    if "terraform" in on:
-        out.append(text.terraform(format_files(files, "terraform")))
-    if "docs" in on:
-        out.append(text.markdown(format_files(files, "docs")))
-    schema = format_files(files, "schema")
-    out += [text.sql(schema.filter("ext = 'sql'")), text.proto(schema.filter("ext = 'proto'")), yamls.openapi_files(schema)]
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found
+@dataclass(frozen=True)
+class Analyzer:
+    """A source of facts.  ``extract`` turns files (path, rel, ext, bytes, content) into rows of `FACTS` whose ``analyzer`` is ``name``;
+    ``facets`` are those that ask for it (None: any); one that is ``whole`` takes a project's files together, so an incremental build
+    runs it over all of them; ``extensions`` are read beside the known ones."""
+
+    name: str
+    facets: tuple[str, ...] | None
+    extract: Callable[[DataFrame], DataFrame]
+    whole: bool = False
+    extensions: tuple[str, ...] = ()
+
+    def handles(self, facets: list[str]) -> bool:
+        return self.facets is None or bool(set(self.facets) & set(facets))
+
+
+def _schema(files: DataFrame) -> DataFrame:
+    own = format_files(files, "schema")
+    return text.sql(own.filter("ext = 'sql'")).unionByName(text.proto(own.filter("ext = 'proto'"))).unionByName(yamls.openapi_files(own))
+
+
+#: All analyzers by name, in the order in which their nodes are numbered.
+ANALYZERS: dict[str, Analyzer] = {}
+
+
+def add_analyzer(analyzer: Analyzer) -> None:
+    """Make ``analyzer`` known to every build from now on; one of the same name is replaced."""
+    ANALYZERS[analyzer.name] = analyzer
+
+
+for _a in (
+    Analyzer("code", ("rust", "python", "typescript", "javascript", "go", "c", "cpp", "kotlin", "java", "csharp"), lambda files: code.code(code_files(files))),
+    Analyzer("ansible", ("ansible",), lambda files: yamls.ansible_project(files.select(F.col("rel").alias("path"), "content")), whole=True),
+    Analyzer("terraform", ("terraform",), lambda files: text.terraform(format_files(files, "terraform"))),
+    Analyzer("docs", ("markdown",), lambda files: text.markdown(format_files(files, "docs"))),
+    Analyzer("schema", None, _schema),
+):
+    add_analyzer(_a)
+
+
+def extract(files: DataFrame, facets: list[str], only: Callable[[Analyzer], bool] = lambda a: True) -> DataFrame:
+    """Facts of ``files`` by each analyzer that a facet asks for."""
+    found = [a.extract(files) for a in ANALYZERS.values() if a.handles(facets) and only(a)]
+    return reduce(DataFrame.unionByName, found) if found else files.sparkSession.createDataFrame([], text.FACTS)
 
 
 def numbered(facts: DataFrame) -> DataFrame:
@@ -79,15 +101,14 @@ def resolve(g: Graph, contains: DataFrame, mode: str = "closed") -> Graph:
 def incremental(spark: SparkSession, before: DataFrame, facts: DataFrame, files: DataFrame, facets: list[str]) -> tuple[DataFrame, DataFrame]:
     """(facts, status) after ``files`` replaced those with the hashes ``before`` (path, hash) and the ``facts``: only new and
     modified files are extracted.  Building from these facts equals building from all files, because sites are facts too and names
-    are resolved over all of them.  Ansible files are extracted together, their project being one unit."""
+    are resolved over all of them.  Analyzers of whole projects (Ansible's) take all files together again."""
     status = written(changes.diff(before, changes.hashes(files)), "status")
     touched = status.filter("status in ('New', 'Modified')").select("path")
     stale = status.filter("status <> 'Unchanged'").select("path")
     again = files.join(touched, "path", "left_semi")
-    kept = facts.filter("analyzer <> 'ansible'").join(stale, "path", "left_anti").select(*facts.columns)
-    fresh = extract(again, [f for f in facets if f != "ansible"])
-    if "ansible" in facets:
-        fresh = fresh.unionByName(yamls.ansible_project(files.select(F.col("rel").alias("path"), "content")))
+    whole = [a.name for a in ANALYZERS.values() if a.whole]
+    kept = facts.filter(~F.col("analyzer").isin(*whole)).join(stale, "path", "left_anti").select(*facts.columns)
+    fresh = extract(again, facets, lambda a: not a.whole).unionByName(extract(files, facets, lambda a: a.whole))
     return kept.unionByName(fresh), status
 
 

@@ -104,7 +104,7 @@ def compact(g: Graph, path: str | None = None, max_items: int = 500, skip_tests:
 
 
 def _more(total: int, shown: int) -> list[str]:
-    return [f"  ...+{total - shown} more"] if total > shown else []
+    return [f"  ... and {total - shown} more"] if total > shown else []
 
 
 def _at(r) -> str:
@@ -122,49 +122,68 @@ def references(g: Graph, symbol: str, root: str) -> str:
     return "\n".join([f"References to '{symbol}' ({len(rows)} found):", *[f"  {r.ref_kind} in {r.name} {_at(r)}" for r in rows]]) + "\n"
 
 
-def _list(rows: list, title: str, none: str) -> str:
-    return "\n".join([title, *[f"  {r.name} {_at(r)}" for r in rows]]) + "\n" if rows else none
+def _labelled(df: DataFrame, root: str) -> DataFrame:
+    return _rel(df, root).withColumn("label", label(F.col("kind")))
+
+
+def _list(df: DataFrame, root: str, title: str, symbol: str) -> str:
+    rows = _labelled(df, root).orderBy("node_id").collect()
+    if not rows:
+        return f"No {title.lower()} found for '{symbol}'"
+    return "\n".join([f"{title} of '{symbol}' ({len(rows)} found):", *[f"  {r.label} {r.name} {_at(r)}" for r in rows]]) + "\n"
 
 
 def callers(g: Graph, symbol: str, root: str) -> str:
-    rows = _rel(lookup.callers(g, symbol), root).orderBy("node_id").collect()
-    return _list(rows, f"Callers of '{symbol}' ({len(rows)}):", f"No callers found for '{symbol}'")
+    return _list(lookup.callers(g, symbol), root, "Callers", symbol)
 
 
 def implementations(g: Graph, trait: str, root: str) -> str:
-    rows = _rel(lookup.implementations(g, trait), root).orderBy("node_id").collect()
-    return _list(rows, f"Implementations of '{trait}' ({len(rows)}):", f"No implementations found for '{trait}'")
+    return _list(lookup.implementations(g, trait), root, "Implementations", trait)
 
 
 def dependencies(g: Graph, symbol: str, root: str, direction: str = "outgoing", max_depth: int = 5) -> str:
     if lookup.primary(g.nodes, symbol).isEmpty():
         return f"Symbol '{symbol}' not found"
-    rows = _rel(lookup.dependencies(g, symbol, direction, max_depth), root).withColumn("label", label(F.col("kind"))).orderBy("depth", "node_id").collect()
-    return "\n".join([f"{direction} of '{symbol}' ({len(rows)} symbols):", *[f"  {'  ' * (r.depth - 1)}{r.label} {r.name} {_at(r)}" for r in rows]]) + "\n"
+    rows = _labelled(lookup.dependencies(g, symbol, direction, max_depth), root).orderBy("depth", "node_id").collect()
+    title = "Dependents of" if direction == "incoming" else "Dependencies of"
+    return "\n".join([f"{title} '{symbol}' ({len(rows)} found):", *[f"  [depth {r.depth}] {r.label} {r.name} {_at(r)}" for r in rows]]) + "\n"
+
+
+def impact(g: Graph, symbol: str, root: str, max_depth: int = 10) -> str:
+    if lookup.primary(g.nodes, symbol).isEmpty():
+        return f"Symbol '{symbol}' not found"
+    rows = _rel(lookup.impact(g, symbol, max_depth), root).orderBy("depth", "node_id").collect()
+    return "\n".join([f"Impact of changing '{symbol}': {len(rows)} affected symbols", *[f"  [depth {r.depth}] {r.name} {_at(r)}" for r in rows]]) + "\n"
 
 
 def search(g: Graph, query: str, root: str, signatures: bool = False) -> str:
-    rows = _rel(lookup.search_signatures(g.nodes, query) if signatures else lookup.search(g.nodes, query), root).collect()
+    found = lookup.search_signatures(g.nodes, query) if signatures else lookup.search(g.nodes, query)
+    order = ["start_line", "file", "node_id"] if signatures else ["score", "name", "kind"]
+    more = g.nodes.select("node_id", "kind") if signatures else g.nodes.select("node_id", "signature")
+    rows = _labelled(F.broadcast(found).join(more, "node_id"), root).orderBy(*order).collect()  # found: a page of the report
     if not rows:
-        return f"No symbols match '{query}'"
-    shown = [f"  {r.signature if signatures else r.kind + ' ' + r.name} {_at(r)}" for r in rows]
-    return "\n".join([f"{rows[0].total} matches for '{query}':", *shown, *_more(rows[0].total, len(rows))]) + "\n"
+        return f"No {'signatures' if signatures else 'symbols'} matching '{query}'"
+    title = "Signatures" if signatures else "Symbols"
+    shown = [f"  {r.label} {r.signature or r.name} {_at(r)}" for r in rows]
+    return "\n".join([f"{title} matching '{query}' ({rows[0].total} found):", *shown, *_more(rows[0].total, len(rows))]) + "\n"
 
 
 def symbols(g: Graph, root: str, kind: str = "all", public_only: bool = False) -> str:
     try:
-        rows = _rel(lookup.symbols(g.nodes, kind, public_only), root).collect()
+        found = lookup.symbols(g.nodes, kind, public_only)
     except ValueError as e:
         return str(e)
+    rows = _rel(F.broadcast(found).join(g.nodes.select("node_id", "visibility"), "node_id"), root).orderBy("label", "shown", "node_id").collect()
     if not rows:
         return f"No {kind} symbols found"
-    return "\n".join([f"{rows[0].total} symbols:", *[f"  {r.label} {r.shown} {_at(r)}" for r in rows], *_more(rows[0].total, len(rows))]) + "\n"
+    shown = [f"  {'pub ' if r.visibility == 'Public' else ''}{r.label} {r.shown} {_at(r)}" for r in rows]
+    return "\n".join([f"{rows[0].total} {kind} symbols found:", *shown, *_more(rows[0].total, len(rows))]) + "\n"
 
 
 def summary(g: Graph, path: str, root: str) -> str:
     file = lookup.find_file(g.nodes, path).first()
     if not file:
-        return f"File '{path}' not found"
+        return f"File '{path}' not found in index"
     rows = lookup.file_summary(g, path).orderBy("start_line", "node_id").collect()
     head = f"File: {file.file.removeprefix(root.rstrip('/') + '/')}\n"
     if not rows:
@@ -198,3 +217,8 @@ def tunnels(g: Graph, wing_rows: DataFrame) -> str:
     if not rows:
         return "No cross-project tunnels found."
     return "\n".join([f"Cross-project tunnels ({len(rows)}):", *[f"  {r.from_name} ←→ {r.to_name} [{r.symbol}] ({r.reason})" for r in rows]]) + "\n"
+
+
+def reindexed(g: Graph, facets: list[str]) -> str:
+    s = G.stats(g.nodes).first()
+    return f"Re-indexed: {s.files} files, {s.functions} fn, {s.structs} structs, {s.enums} enums, {s.traits} traits | Facets: {'+'.join(facets)}"

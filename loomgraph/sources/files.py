@@ -85,10 +85,10 @@ def walk(root: str, prune: bool = False) -> list[str]:
     return out
 
 
-def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), prune: bool = False) -> DataFrame:
-    """The files of a local tree as `walk` lists them; what isn't UTF-8 is left out.  Contents are read by Spark's
-    readers, only the listing is made here."""
-    kept = [p for p in walk(root, prune) if not extensions or p.rsplit(".", 1)[-1] in extensions]
+def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), prune: bool = False, paths: list[str] | None = None) -> DataFrame:
+    """The files of a local tree as `walk` lists them (or ``paths``, if it did before); what isn't UTF-8 is left out.
+    Contents are read by Spark's readers, only the listing is made here."""
+    kept = [p for p in (walk(root, prune) if paths is None else paths) if not extensions or p.rsplit(".", 1)[-1] in extensions]
     if not kept:
         return spark.createDataFrame([], FILES)
     base = os.path.abspath(root)
@@ -111,3 +111,5 @@ def format_files(files: DataFrame, name: str) -> DataFrame:
 
 
 CODE_EXTENSIONS = tuple(ext for own in LANGUAGES.values() for ext in own)
+#: What some analyzer reads: languages, formats, and the templates of Ansible.
+KNOWN_EXTENSIONS = tuple(dict.fromkeys((*CODE_EXTENSIONS, *(ext for own in FORMATS.values() for ext in own), "j2")))

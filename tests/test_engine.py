@@ -1,11 +1,13 @@
 """The engine on small projects: sources, extraction, resolution, reports, persistence, change."""
 
+import io
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph import render
+from loomgraph import render, server
 from loomgraph.cli import main
 from loomgraph.engine import Engine
 from loomgraph.extract import text, yamls
@@ -118,8 +120,13 @@ def test_reports(project):
     assert "   2 | pub fn login" in e.report("source", "login")
     assert "L2    pub fn pub fn login" in e.report("summary", "src/auth.rs")
     assert "Unknown kind" in e.report("symbols", "odd") and "Fault" in e.report("symbols", "enum")
-    assert e.report("callers", "login").startswith("Callers of 'login' (1)") and "User" in e.report("implementations", "Store")
-    assert e.report("tunnels") == "No cross-project tunnels found." and "matches for" in e.report("search", "log")
+    assert e.report("callers", "login").startswith("Callers of 'login' (1 found):\n  fn main (src/main.rs:1)") and "User" in e.report("implementations", "Store")
+    assert e.report("tunnels") == "No cross-project tunnels found." and e.report("search", "logi") == "Symbols matching 'logi' (1 found):\n  fn pub fn login(name: &str) -> Option<User> (src/auth.rs:2)\n"
+    assert e.report("search", "-> option", signatures=True).startswith("Signatures matching '-> option' (2 found):\n  fn pub fn login(") and e.report("search", "zzz") == "No symbols matching 'zzz'"
+    assert e.report("impact", "find_user").startswith("Impact of changing 'find_user': 2 affected symbols\n  [depth 1] login (src/auth.rs:2)\n  [depth 2] main ")
+    assert e.report("dependencies", "login").startswith("Dependencies of 'login' (1 found):\n  [depth 1] fn find_user (src/auth.rs:5)")
+    assert "Dependents of 'find_user'" in e.report("dependencies", "find_user", "incoming")
+    assert e.report("symbols", "enum") == "1 enum symbols found:\n  pub enum Fault (src/auth.rs:6)\n" and e.report("summary", "no.rs") == "File 'no.rs' not found in index"
     assert render.languages_table().count("\n") == 11
 
 
@@ -140,6 +147,44 @@ def test_saved_index_is_used_and_updated(spark, tmp_path):
     assert store.load(spark, str(tmp_path / "nowhere")) is None
 
 
+def test_server(spark, tmp_path):
+    put(tmp_path, {"Cargo.toml": "", "src/a.rs": "pub fn one() { two(); }\nfn two() {}\n"})
+    e, out = Engine(spark, str(tmp_path), persist=False), io.StringIO()
+    ask = lambda n, method, **params: json.dumps({"jsonrpc": "2.0", "id": n, "method": method, "params": params})
+    tool = lambda n, name, **args: ask(n, "tools/call", name=name, arguments=args)
+    put(tmp_path, {"src/b.rs": "fn three() { two() }\n"})
+    lines = [
+        ask(1, "initialize", protocolVersion="2025-03-26"), '{"jsonrpc": "2.0", "method": "notifications/initialized"}', "", ask(2, "tools/list"), tool(3, "callers", symbol="two"), "{", ask(4, "nothing"),
+        tool(5, "callers"), tool(6, "impact", symbol="two", max_depth="1"), tool(7, "odd"), tool(8, "reindex"), tool(9, "callers", symbol="two"), tool(10, "skeleton", path="src", depth=1), tool(11, "compact", max_items=1, skip_tests=False),
+        tool(12, "search", query="TWO", sig=True), tool(13, "dependencies", symbol="one", direction="sideways"), tool(14, "boot"), tool(15, "symbols"), tool(16, "source", symbol="two", max_lines=None), ask(17, "ping"), "[]",
+    ]
+    server.serve(e, lines, out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    by = {r["id"]: r for r in got if r["id"]}
+    said = {k: r["result"]["content"][0]["text"] for k, r in by.items() if "content" in r.get("result", {})}
+    assert [r["error"]["code"] for r in got if not r["id"]] == [-32700, -32600] and len(got) == len(lines) - 2
+    assert by[1]["result"]["protocolVersion"] == "2025-03-26" and {t["name"] for t in by[2]["result"]["tools"]} == set(server.TOOLS) and len(server.TOOLS) == 14
+    assert [by[k]["error"]["code"] for k in (4, 5, 6, 7, 13)] == [-32601, -32602, -32602, -32602, -32602]
+    assert "(1 found)" in said[3] and "(2 found)" in said[9] and "three" in said[9]
+    assert said[8] == "Re-indexed: 2 files, 3 fn, 0 structs, 0 enums, 0 traits | Facets: rust"
+    assert "two" in said[10] and "...+" in said[11] and "fn two()" in said[12] and "   2 | fn two() {}" in said[16] and by[17]["result"] == {}
+    assert said[15].startswith("3 all symbols found:") and said[14].startswith(f"{tmp_path.name}|rust|2f 3fn")
+
+
+def test_added_analyzer(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(build, "ANALYZERS", dict(build.ANALYZERS))
+
+    def notes(path, content):
+        return [yamls.symbol(path, k + 1, "Section", line, k + 1, analyzer="notes") for k, line in enumerate(content.splitlines())]
+
+    build.add_analyzer(build.Analyzer("notes", ("rust",), lambda f: yamls.apply(f.filter("ext = 'note'"), notes), extensions=("note",)))
+    put(tmp_path, {"Cargo.toml": "", "a.note": "x\ny\n", "src/a.rs": "fn one() {}\n"})
+    e = Engine(spark, str(tmp_path))
+    put(tmp_path, {"a.note": "z\n"})
+    names = lambda e: sorted(r.name for r in e.graph.nodes.filter("analyzer = 'notes'").collect())
+    assert names(e) == ["x", "y"] and names(Engine(spark, str(tmp_path))) == ["z"]
+
+
 def test_merge_and_tunnels(spark, project, tmp_path):
     put(tmp_path, {"Cargo.toml": "", "src/lib.rs": "pub struct User { a: u8 }\npub struct Other { a: u8 }\n"})
     root, one = project
