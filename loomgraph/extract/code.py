@@ -39,6 +39,8 @@ _MODIFIERS = {
     "kotlin": r"(?:(?:public|private|protected|internal|open|abstract|sealed|final|data|inner|inline|value|suspend|override|operator|infix|tailrec|external|actual|expect|companion|annotation|fun(?=\s+interface))\s+)*",
 }
 _TYPE = r"[\w.:<>\[\],?&*\s]+?"
+#: Where a member may begin: on a line of its own or after another's end.
+_MEMBER = r"(?:(?m:^)|(?<=[{};]))[ \t]*"
 #: (kind, pattern with the name as its last group that matched).  ``enum`` and ``interface`` classes come before plain ones.
 _HEADERS: dict[str, list[tuple[str, str]]] = {
     "rust": [
@@ -76,13 +78,13 @@ _HEADERS: dict[str, list[tuple[str, str]]] = {
         ("Trait", _MODIFIERS["java"] + r"@?\binterface\s+(\w+)"),
         ("Enum", _MODIFIERS["java"] + r"\benum\s+(\w+)"),
         ("Struct", _MODIFIERS["java"] + r"\b(?:class|record)\s+(\w+)"),
-        ("Function", r"(?m:^[ \t]*)(?!\s*(?:return|else|new|throw|package|import|case)\b)" + _MODIFIERS["java"] + rf"(?:<[^>]*>\s*)?(?:{_TYPE}\s)?(\w+)\s*(?=\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:throws\s+[\w.,\s]+)?[{{;])"),
+        ("Function", _MEMBER + r"(?!\s*(?:return|else|new|throw|package|import|case)\b)" + _MODIFIERS["java"] + rf"(?:<[^>]*>\s*)?(?:{_TYPE}\s)?(\w+)\s*(?=\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:throws\s+[\w.,\s]+)?[{{;])"),
     ],
     "csharp": [
         ("Trait", _MODIFIERS["csharp"] + r"\binterface\s+(\w+)"),
         ("Enum", _MODIFIERS["csharp"] + r"\benum\s+(\w+)"),
         ("Struct", _MODIFIERS["csharp"] + r"\b(?:class|struct|record(?:\s+(?:class|struct))?)\s+(\w+)"),
-        ("Function", r"(?m:^[ \t]*)(?!\s*(?:return|else|new|throw|using|await|case|yield|namespace|var)\b)" + _MODIFIERS["csharp"] + rf"(?:{_TYPE}\s)?(\w+)\s*(?:<[^>()]*>)?\s*(?=\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:where\s[^{{;]+)?(?::\s*(?:base|this)\s*\([^)]*\)\s*)?(?:\{{|=>|;))"),
+        ("Function", _MEMBER + r"(?!\s*(?:return|else|new|throw|using|await|case|yield|namespace|var)\b)" + _MODIFIERS["csharp"] + rf"(?:{_TYPE}\s)?(\w+)\s*(?:<[^>()]*>)?\s*(?=\([^;{{}}()]*(?:\([^()]*\)[^;{{}}()]*)*\)\s*(?:where\s[^{{;]+)?(?::\s*(?:base|this)\s*\([^)]*\)\s*)?(?:\{{|=>|;))"),
     ],
     "typescript": [
         ("Trait", r"(?:export\s+)?(?:default\s+)?(?:declare\s+)?\binterface\s+(\w+)"),
@@ -197,7 +199,7 @@ def scan(source: str, lang: str) -> list[Found]:
                 body, end = (text.find("{", at), 0) if lang == "rust" else (-1, text.find("\n", at))
                 while lang != "rust" and end > 0 and source[end - 1] == "\\":
                     end = text.find("\n", end + 1)
-                end = pairs.get(body, body) + 1 if body >= 0 else len(text) if end < 0 else end
+                end = pairs.get(body, body) + 1 if body >= 0 else len(text) if end < 0 else end + (lang != "rust")  # a definition takes its newline
                 found.append(Found(kind, name, start, end, body, source[start:end]))
                 taken.add(at)
                 continue
@@ -227,7 +229,7 @@ def scan(source: str, lang: str) -> list[Found]:
     found.sort(key=lambda f: (f.start, -f.end))
     if lang in ("java", "csharp"):  # a call that looks like a declaration lies in a function or outside of types
         types = [f for f in found if f.kind in ("Struct", "Trait", "Enum")]
-        found = [f for f in found if f.kind != "Function" or (f.body >= 0 or "=>" in source[f.start : f.end] or _declared(f)) and any(t.body >= 0 and t.body < f.start < t.end for t in types)]
+        found = [f for f in found if f.kind != "Function" or not _listed(f) and (f.body >= 0 or "=>" in source[f.start : f.end] or _declared(f)) and any(t.body >= 0 and t.body < f.start < t.end for t in types)]
         found = [f for f in found if not (f.kind == "Function" and f.body < 0 and any(g is not f and g.kind == "Function" and g.body >= 0 and g.body < f.start < g.end for g in found))]
     return [v for f in found for v in (f, *(_variants(f, text, lang) if f.kind == "Enum" and f.body >= 0 else ()))]
 
@@ -237,6 +239,12 @@ def _declared(f: Found) -> bool:
     return len(f.header[: f.header.find("(")].split()) >= 2
 
 
+def _listed(f: Found) -> bool:
+    """Whether a comma stands before the name: then it is one of an enum's constants."""
+    before = f.header[: f.header.find("(")].split()[:-1]
+    return bool(before) and before[-1].endswith(",")
+
+
 def _arrows(text: str, pairs: dict[int, int]) -> list[Found]:
     out = []
     for m in re.finditer(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:<[^>()]*>\s*)?(?:\([^;{}]*?\)|\w+)\s*(?::\s*[^=;{}]+)?=>\s*(\{)?", text):
@@ -251,9 +259,6 @@ def _variants(enum: Found, text: str, lang: str) -> list[Found]:
         return []  # members of these enums have no name of their own in the graph
     out, depth, at = [], 0, enum.body + 1
     end = enum.end - 1
-    if lang in ("java", "kotlin"):
-        stop = text.find(";", at, end)
-        end = stop if stop >= 0 else end
     parts, start = [], at
     for k in range(at, end):
         c = text[k]
@@ -261,6 +266,9 @@ def _variants(enum: Found, text: str, lang: str) -> list[Found]:
         if c == "," and depth == 0:
             parts.append((start, k))
             start = k + 1
+        elif c == ";" and depth == 0 and lang in ("java", "kotlin"):  # members follow
+            end = k
+            break
     parts.append((start, end))
     for a, b in parts:
         m = re.match(r"(?:\s|#\[(?:[^\[\]]|\[[^\]]*\])*\]|\[[^\]]*\]|@\w+(?:\([^)]*\))?)*([A-Za-z_]\w*)", text[a:b])
@@ -302,8 +310,8 @@ def visibility(f: Found, lang: str, inside_trait: bool) -> str:
     return {"kotlin": "Public", "java": "Crate"}.get(lang, "Private")
 
 
-def signature(f: Found, source: str, lang: str) -> str | None:
-    """The declaration up to its body, for the kinds that have one."""
+def signature(f: Found, source: str, text: str, lang: str) -> str | None:
+    """The declaration up to its body, for the kinds that have one; without a body, all of it.  ``text``: the source, blanked."""
     if f.kind == "Macro":
         return byte_cut(source[f.start : f.end].split("\n")[0].strip(), 120)
     if f.kind != "Function" or lang in ("typescript", "tsx", "javascript") or (lang == "go" and not re.match(r"func\s*\(", f.header)):
@@ -311,8 +319,10 @@ def signature(f: Found, source: str, lang: str) -> str | None:
     stop = f.body if f.body >= 0 else f.end
     if lang == "csharp" and f.body < 0 and "=>" in source[f.start : f.end]:
         stop = f.start + source[f.start : f.end].index("=>")
-    text = source[f.start : stop].strip().rstrip(";").strip()
-    return text if lang == "rust" else byte_cut(text, 200)
+    elif lang == "kotlin" and f.body < 0:
+        stop = _body_start(f, text)
+    sig = source[f.start : stop].strip()
+    return sig if lang == "rust" else byte_cut(sig, 200)
 
 
 def calls(text: str, lang: str) -> set[str]:
@@ -350,7 +360,7 @@ def extract(path: str, source: str, lang: str) -> list[dict]:
             open_.pop()
         (row, col), (last, last_col) = place(f.start), place(max(f.start, f.end))
         up = open_[-1] if open_ else (0, None)
-        one = symbol(path, n, f.kind, f.name, row + 1, last + 1, parent=(path, up[0]), signature=signature(f, source, lang), visibility=visibility(f, lang, bool(up[1] and up[1].kind == "Trait")), analyzer="code")
+        one = symbol(path, n, f.kind, f.name, row + 1, last + 1, parent=(path, up[0]), signature=signature(f, source, text, lang), visibility=visibility(f, lang, bool(up[1] and up[1].kind == "Trait")), analyzer="code")
         out.append(one | {"start_col": col, "end_col": last_col})
         if f.kind == "Function":
             body = text[_body_start(f, text) : f.end]

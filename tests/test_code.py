@@ -187,6 +187,14 @@ public record Session(string Id);
 """
 
 
+def test_members_on_one_line():
+    s, _, parents = facts("A.java", "interface A { int go(String a); boolean has(); }\nenum E { X, Y(1) { void f() { g(); } }, Z(2); }\nclass B { void run() { int x = f(1); g(x); A a = new A(x); } }\n", "java")
+    assert s["Function", "go"]["signature"] == "int go(String a);" and parents["Function", "has"] == "A"
+    assert {k[1] for k in s if k[0] == "Function"} == {"go", "has", "run", "f"} and {k[1] for k in s if k[0] == "EnumVariant"} == {"X", "Y", "Z"}
+    s, _, parents = facts("A.cs", "interface A { int Go(int a); string Name { get; } }\nclass B { int Run() { var y = f(1); g(y); return h(y); } }\n", "csharp")
+    assert s["Function", "Go"]["signature"] == "int Go(int a);" and {k[1] for k in s if k[0] == "Function"} == {"Go", "Run"}
+
+
 def test_csharp():
     s, refs, _ = facts("A.cs", CSHARP, "csharp")
     assert {("Trait", "IAuth"), ("Struct", "Auth"), ("Struct", "Session"), ("Enum", "Role"), ("EnumVariant", "Guest")} <= s.keys()
@@ -217,6 +225,7 @@ def test_kotlin():
     assert {("Struct", "User"), ("Struct", "Service"), ("Struct", "Fault"), ("Struct", "Config"), ("Trait", "Provider"), ("Enum", "Role"), ("EnumVariant", "ADMIN"), ("EnumVariant", "GUEST")} <= s.keys()
     assert {"login", "find", "verify", "create", "timeout", "up"} <= {k[1] for k in s if k[0] == "Function"}
     assert (s["Function", "login"]["visibility"], s["Function", "find"]["visibility"], s["Function", "verify"]["visibility"]) == ("Public", "Private", "Crate")
+    assert s["Function", "find"]["signature"] == "private fun find(name: String): User?" and s["Function", "verify"]["signature"] == "internal fun verify(a: String)"
     assert {("Service", "Implements", "Provider"), ("login", "Calls", "find"), ("create", "Calls", "Service")} <= refs
 
 
