@@ -15,7 +15,7 @@ from ..operators import graph as G
 from ..scratch import new_path, written
 from ..sources import detect, store
 from ..streaming import feed
-from . import build, derived
+from . import build, derived, samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -404,27 +404,68 @@ def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _refs(spark, sf_dir, "markdown", text.markdown_links)
 
 
-_YAML = """SELECT CASE s_suppkey % 4 WHEN 0 THEN 'roles/r' || s_suppkey || '/tasks/main.yml' WHEN 1 THEN 'roles/r' || s_suppkey || '/defaults/main.yml' WHEN 2 THEN 'playbooks/p' || s_suppkey || '.yml' ELSE 'api' || s_suppkey || '/openapi.yaml' END AS path,
-CASE s_suppkey % 4 WHEN 0 THEN '- name: Install ' || s_name || chr(10) || '  notify: restart' || chr(10) || '  shell: "{{ port }}"' WHEN 1 THEN 'port: 1' || chr(10) || 'host: x'
-WHEN 2 THEN '- name: deploy' || chr(10) || '  roles: [r' || (s_suppkey - 2) || ', r0]' ELSE 'paths:' || chr(10) || '  /a/' || s_suppkey || ':' || chr(10) || '    get: {}' || chr(10) || 'components: {schemas: {S' || s_suppkey || ': {}}}' END AS content FROM supplier"""
+_YAML = """SELECT CASE s_suppkey % 8 WHEN 0 THEN 'roles/r' || s_suppkey || '/tasks/main.yml' WHEN 1 THEN 'roles/r' || s_suppkey || '/defaults/main.yml' WHEN 2 THEN 'playbooks/p' || s_suppkey || '.yml' WHEN 3 THEN 'api' || s_suppkey || '/openapi.yaml'
+  WHEN 4 THEN 'roles/r' || s_suppkey || '/handlers/main.yml' WHEN 5 THEN 'roles/r' || s_suppkey || '/templates/a.j2' WHEN 6 THEN 'group_vars/g' || s_suppkey || '.yml' ELSE 'notes/n' || s_suppkey || '.yml' END AS path,
+CASE s_suppkey % 8 WHEN 0 THEN '- name: Install ' || s_name || '\n  notify: restart\n  shell: "{{ port }} {{ host }}"\n- include_role: {name: r8}\n  name: Db\n- debug: x' WHEN 1 THEN 'port: 1\nhost: x'
+WHEN 2 THEN '- name: deploy\n  roles: [r' || (s_suppkey - 2) || ', {role: r0}]\n  tasks:\n    - debug: x\n    - name: last\n- hosts: all' WHEN 3 THEN 'paths:\n  /a/' || s_suppkey || ':\n    get: {}\n    post: {}\ncomponents: {schemas: {S' || s_suppkey || ': {}}}'
+WHEN 4 THEN '- debug: x\n- name: restart ' || s_suppkey WHEN 5 THEN 'a={{ port }} b={{ not this }} c={{x' || s_suppkey || '}}' WHEN 6 THEN 'zone: eu\nv' || s_suppkey || ': 1' ELSE '- name: nothing' END AS content FROM supplier"""
 
 
-@register()
-def extract_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = derived.query(spark, sf_dir, _YAML, ("supplier",))
-    return yamls.ansible_project(files).unionByName(yamls.openapi_files(files)).drop("target_kinds")
+    return written(yamls.ansible_project(files).unionByName(yamls.openapi_files(files)), "facts")
+
 
+_YAML_SYMBOLS = """WITH s AS (SELECT s_suppkey AS n, s_name, s_suppkey % 8 AS k FROM supplier), r AS (SELECT * FROM s WHERE k IN (0, 1, 4, 5))
+SELECT 'roles/r' || n AS path, 'Role' AS kind, 'r' || n AS name, 1 AS start_line, CAST(NULL AS VARCHAR) AS signature, 'Public' AS visibility, CAST(NULL AS VARCHAR) AS parent FROM r
+UNION ALL SELECT 'roles/r' || n || '/tasks/main.yml', 'Task', CASE i WHEN 1 THEN 'Install ' || s_name ELSE 'Db' END, i::INT, NULL, 'Private', 'r' || n FROM s, range(1, 3) t(i) WHERE k = 0
+UNION ALL SELECT 'roles/r' || n || '/defaults/main.yml', 'Variable', CASE i WHEN 1 THEN 'port' ELSE 'host' END, i::INT, NULL, 'Private', 'r' || n FROM s, range(1, 3) t(i) WHERE k = 1
+UNION ALL SELECT 'playbooks/p' || n || '.yml', 'Task', name, 1, 'play: ' || name, 'Public', NULL FROM s, (VALUES ('deploy'), ('unnamed play')) t(name) WHERE k = 2
+UNION ALL SELECT 'playbooks/p' || n || '.yml', 'Task', 'last', 2, NULL, 'Private', 'deploy' FROM s WHERE k = 2
+UNION ALL SELECT 'api' || n || '/openapi.yaml', 'File', 'openapi.yaml', 1, NULL, 'Public', NULL FROM s WHERE k = 3
+UNION ALL SELECT 'api' || n || '/openapi.yaml', 'Endpoint', m || ' /a/' || n, 1, m || ' /a/' || n, 'Public', 'openapi.yaml' FROM s, (VALUES ('GET'), ('POST')) t(m) WHERE k = 3
+UNION ALL SELECT 'api' || n || '/openapi.yaml', 'Message', 'S' || n, 1, NULL, 'Public', 'openapi.yaml' FROM s WHERE k = 3
+UNION ALL SELECT 'roles/r' || n || '/handlers/main.yml', 'Handler', 'restart ' || n, 2, NULL, 'Private', 'r' || n FROM s WHERE k = 4
+UNION ALL SELECT 'roles/r' || n || '/templates/a.j2', 'Template', 'a.j2', 1, NULL, 'Private', 'r' || n FROM s WHERE k = 5
+UNION ALL SELECT 'group_vars/g' || n || '.yml', 'Variable', CASE i WHEN 1 THEN 'zone' ELSE 'v' || n END, i::INT, NULL, 'Public', NULL FROM s, range(1, 3) t(i) WHERE k = 6"""
 
-_CODE = """SELECT '/src/m' || s_suppkey || CASE s_suppkey % 4 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.go' ELSE '.java' END AS path, CASE s_suppkey % 4
-WHEN 0 THEN 'pub struct S' || s_suppkey || ' { a: u8 }' || chr(10) || 'impl Shape for S' || s_suppkey || ' {' || chr(10) || '    pub fn area(&self) -> u8 { helper(self.a) }' || chr(10) || '}' || chr(10)
-WHEN 1 THEN 'class S' || s_suppkey || '(Base):' || chr(10) || '    def run(self):' || chr(10) || '        return helper(1)' || chr(10)
-WHEN 2 THEN 'package m' || chr(10) || 'type S' || s_suppkey || ' struct { A int }' || chr(10) || 'func (s S) Run() int { return helper(s.A) }' || chr(10)
-ELSE 'public class S' || s_suppkey || ' implements Shape {' || chr(10) || '  private int run() { return helper(1); }' || chr(10) || '}' || chr(10) END AS content FROM supplier"""
+
+@register(_YAML_SYMBOLS)
+def extract_yaml(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of Ansible projects and API descriptions, with the names of what contains them."""
+    found = _yaml(spark, sf_dir).filter("kind is not null")
+    up = found.select(F.col("path").alias("parent_path"), F.col("ordinal").alias("parent"), F.col("name").alias("up"))
+    return found.join(up, ["parent_path", "parent"], "left").select("path", "kind", "name", "start_line", "signature", "visibility", F.col("up").alias("parent"))
 
 
-@register()
+@register("""WITH s AS (SELECT s_suppkey AS n, s_name, s_suppkey % 8 AS k FROM supplier)
+SELECT 'roles/r' || n || '/tasks/main.yml' AS path, CASE WHEN edge_kind = 'Includes' THEN 'Db' ELSE 'Install ' || s_name END AS name, edge_kind, ref_name FROM s, (VALUES ('Notifies', 'restart'), ('References', 'port'), ('References', 'host'), ('Includes', 'r8')) t(edge_kind, ref_name) WHERE k = 0
+UNION ALL SELECT 'playbooks/p' || n || '.yml', 'deploy', 'DependsOn', CASE i WHEN 0 THEN 'r0' ELSE 'r' || (n - 2) END FROM s, range(2) t(i) WHERE k = 2
+UNION ALL SELECT 'roles/r' || n || '/templates/a.j2', 'a.j2', 'References', CASE i WHEN 0 THEN 'port' ELSE 'x' || n END FROM s, range(2) t(i) WHERE k = 5""")
+def extract_yaml_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _yaml(spark, sf_dir)
+    names = found.filter("kind is not null").select("path", "ordinal", "name")
+    return found.filter("edge_kind is not null").drop("name").join(names, ["path", "ordinal"]).select("path", "name", "edge_kind", "ref_name")
+
+
+@register(samples.SYMBOLS_SQL)
 def extract_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code.code(derived.query(spark, sf_dir, _CODE, ("supplier",))).drop("target_kinds")
+    """Symbols of files in eleven languages."""
+    return code.code(samples.files(spark, sf_dir)).filter("kind is not null").select("path", "ordinal", "parent", "kind", "start_line", "end_line", "visibility", "name", "signature")
+
+
+def _sites(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return code.code(samples.files(spark, sf_dir)).filter(F.col("edge_kind") == kind).select("path", "ordinal", "ref_name")
+
+
+@register(samples.CALLS_SQL)
+def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sites(spark, sf_dir, "Calls")
+
+
+@register(samples.IMPLEMENTS_SQL)
+def extract_implements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sites(spark, sf_dir, "Implements")
 
 
 # ---- sources -------------------------------------------------------------------------------------
@@ -518,7 +559,19 @@ def tunnels(g: Graph) -> DataFrame:
     return wings.tunnel_classes(g.nodes, _regions(g))
 
 
-@register()
+_FIVE = "string_split(structs, ',')"
+
+
+@register(f"""WITH st AS ({ORACLE_SQL["stats"]}), mo AS ({ORACLE_SQL["module_rollup"]}), hu AS ({ORACLE_SQL["hubs"]}), ec AS ({ORACLE_SQL["edge_counts"]}),
+m AS (SELECT *, row_number() OVER (ORDER BY module) AS k FROM mo),
+said AS (SELECT k, module, list_filter([CASE WHEN traits <> '' THEN 'trait:' || traits END, CASE WHEN structs <> '' THEN array_to_string({_FIVE}[:5], ',') || CASE WHEN len({_FIVE}) > 5 THEN '+' || (len({_FIVE}) - 5) ELSE '' END END,
+  CASE WHEN fn_count > 0 THEN fn_count || 'fn' || CASE WHEN pub_fn_count BETWEEN 1 AND fn_count - 1 THEN '(' || pub_fn_count || 'pub)' ELSE '' END END, CASE WHEN test_count > 0 THEN test_count || 'tests' END], lambda x: x IS NOT NULL) AS s FROM m WHERE k <= 12),
+l AS (SELECT 0 AS part, 0 AS k, 'sample|unknown|' || files || 'f ' || functions || 'fn ' || structs || 'st ' || traits || 'tr ' || enums || 'en ' || CASE WHEN total_lines >= 1000 THEN '~' || total_lines // 1000 || 'kLOC' ELSE '~' || total_lines || 'LOC' END AS text FROM st
+UNION ALL SELECT 1, k, '  ' || module || ': ' || array_to_string(s, ' | ') FROM said WHERE len(s) > 0
+UNION ALL SELECT 2, 0, '  ...+' || (count(*) - 12) || ' more modules' FROM mo HAVING count(*) > 12
+UNION ALL SELECT 3, 0, 'hubs: ' || string_agg(tag || ':' || name || '(' || degree || ')', ' ' ORDER BY degree DESC, name) FROM hu HAVING count(*) > 0
+UNION ALL SELECT 4, 0, 'edges: ' || n || ' calls' FROM ec WHERE kind = 'Calls')
+SELECT (row_number() OVER (ORDER BY part, k) - 1)::INT AS line_no, text FROM l""")
 def boot_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .. import render
 
