@@ -38,7 +38,8 @@ _MODIFIERS = {
     "csharp": r"(?:(?:public|private|protected|internal|static|sealed|abstract|partial|readonly|virtual|override|async|extern|unsafe|new|required|file|ref)\s+)*",
     "kotlin": r"(?:(?:public|private|protected|internal|open|abstract|sealed|final|data|inner|inline|value|suspend|override|operator|infix|tailrec|external|actual|expect|companion|annotation|fun(?=\s+interface))\s+)*",
 }
-_TYPE = r"[\w.:<>\[\],?&*\s]+?"
+#: A type stands on one line, so that long lists of values are read once.
+_TYPE = r"[\w.:<>\[\],?&* \t]+?"
 #: Where a member may begin: on a line of its own or after another's end.
 _MEMBER = r"(?:(?m:^)|(?<=[{};]))[ \t]*"
 #: (kind, pattern with the name as its last group that matched).  ``enum`` and ``interface`` classes come before plain ones.
@@ -153,9 +154,12 @@ def braces(text: str) -> dict[int, int]:
     return pairs | {k: len(text) for k in stack}
 
 
+_GOES_ON = re.compile(r"\s*[{:=]")
+
+
 def _after_header(text: str, at: int, lang: str) -> tuple[int, int]:
     """(position of the body's brace or -1, end without a body) of a header that ends at ``at``."""
-    depth, k = 0, at
+    depth, k, last = 0, at, text[at - 1]
     while k < len(text):
         c = text[k]
         if c in "([":
@@ -171,8 +175,10 @@ def _after_header(text: str, at: int, lang: str) -> tuple[int, int]:
         elif depth == 0 and c == "=" and lang in ("kotlin", "csharp") and text[k - 1] not in "<>!=":
             end = re.compile(r";" if lang == "csharp" else r"\n(?!\s*[.?:&|+])").search(text, k)
             return -1, end.start() if end else len(text)
-        elif depth == 0 and c == "\n" and lang == "kotlin" and not re.match(r"\s*[{:=]", text[k:]) and text[:k].rstrip()[-1:] not in ",:(":
+        elif depth == 0 and c == "\n" and lang == "kotlin" and not _GOES_ON.match(text, k) and last not in ",:(":
             return -1, k
+        if not c.isspace():
+            last = c
         k += 1
     return -1, len(text)
 
@@ -249,7 +255,7 @@ def _arrows(text: str, pairs: dict[int, int]) -> list[Found]:
     out = []
     for m in re.finditer(r"\b(?:const|let|var)\s+(\w+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?:<[^>()]*>\s*)?(?:\([^;{}]*?\)|\w+)\s*(?::\s*[^=;{}]+)?=>\s*(\{)?", text):
         body = m.start(2) if m[2] else -1
-        end = pairs.get(body, body) + 1 if m[2] else (text.find("\n", m.end()) if "\n" in text[m.end() :] else len(text))
+        end = pairs.get(body, body) + 1 if m[2] else line if (line := text.find("\n", m.end())) >= 0 else len(text)
         out.append(Found("Function", m[1], m.start(), end, body if m[2] else m.end(), text[m.start() : m.end()]))
     return out
 
