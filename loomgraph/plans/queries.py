@@ -454,18 +454,18 @@ def extract_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code.code(samples.files(spark, sf_dir)).filter("kind is not null").select("path", "ordinal", "parent", "kind", "start_line", "end_line", "visibility", "name", "signature")
 
 
-def _sites(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+def _code_sites(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return code.code(samples.files(spark, sf_dir)).filter(F.col("edge_kind") == kind).select("path", "ordinal", "ref_name")
 
 
 @register(samples.CALLS_SQL)
 def extract_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sites(spark, sf_dir, "Calls")
+    return _code_sites(spark, sf_dir, "Calls")
 
 
 @register(samples.IMPLEMENTS_SQL)
 def extract_implements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sites(spark, sf_dir, "Implements")
+    return _code_sites(spark, sf_dir, "Implements")
 
 
 # ---- sources -------------------------------------------------------------------------------------
