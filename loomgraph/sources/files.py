@@ -58,6 +58,10 @@ class Ignore:
         return verdict
 
 
+#: Up to this many characters of paths are broadcast; a longer list is joined by a shuffle.
+LISTED_BYTES = 16 << 20
+
+
 def walk(root: str, prune: bool = False) -> list[str]:
     """Paths below ``root`` relative to it, in order: hidden entries and what .gitignore files exclude are left out, and
     with ``prune`` the folders that are never scanned for code."""
@@ -92,11 +96,16 @@ def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (), prune
     if not kept:
         return spark.createDataFrame([], FILES)
     base = os.path.abspath(root)
-    listed = spark.createDataFrame([(p,) for p in kept], "rel string")
-    read = read_tree(spark, base, tuple(sorted({p.rsplit(".", 1)[-1] for p in kept})) if extensions else ()).select("rel", F.struct("bytes", "content").alias("f"))
-    both = listed.join(read, "rel", "left").filter("f is null or f.content is not null")  # Spark lists no empty files
-    path = F.concat(F.lit(base + "/"), "rel")
-    return both.select(path.alias("path"), "rel", extension(path).alias("ext"), F.coalesce("f.bytes", F.lit(0)).cast("long").alias("bytes"), F.coalesce("f.content", F.lit("")).alias("content"))
+    empty = {p for p in kept if not os.path.getsize(os.path.join(base, p))}  # Spark lists no empty files
+    listed = spark.createDataFrame([(p,) for p in kept if p not in empty], "rel string")
+    if sum(map(len, kept)) < LISTED_BYTES:
+        listed = F.broadcast(listed)
+    read = read_tree(spark, base, tuple(sorted({p.rsplit(".", 1)[-1] for p in kept})) if extensions else ())
+    # a semi-join of what was read: contents stay where they are while the names are broadcast
+    both = read.select("rel", "bytes", "content").filter("content is not null").join(listed, "rel", "left_semi")
+    if empty:
+        both = both.union(spark.createDataFrame([(p, 0, "") for p in sorted(empty)], "rel string, bytes long, content string"))
+    return both.select(F.concat(F.lit(base + "/"), "rel").alias("path"), "rel", extension(F.col("rel")).alias("ext"), F.col("bytes").cast("long").alias("bytes"), "content")
 
 
 def code_files(files: DataFrame) -> DataFrame:
