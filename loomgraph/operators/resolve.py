@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 
 #: closed: every match.  strict: as if nodes came one by one in order of their ids, see `resolve_calls`.
 MODES = ("closed", "strict")
+#: Tasks that the sites of one name are dealt out to, parts that its nodes are gathered in, nodes that a row holds at most; tasks for
+#: each core.
+SLICES, PARTS, CHUNK, TASKS = 8, 8, 4096, 8
 
 
 def _mode(mode: str) -> bool:
@@ -16,17 +19,40 @@ def _mode(mode: str) -> bool:
     return mode == "strict"
 
 
+def _meet(sites: DataFrame, targets: DataFrame, *names: DataFrame) -> DataFrame:
+    """Each row of ``sites`` (src, name, ...) with each of ``targets`` (dst, name) of its name, and the columns of ``names`` (name, ...).
+
+    What moves is a site once and a node once for each slice of its name's sites; pairs arise behind the last shuffle, row by row, and
+    move no more.  So a name with many sites and nodes costs disk by their sum and is the work of `SLICES` tasks; the pairs are the output.
+    """
+    dealt = sites.withColumn("_slice", F.pmod(F.xxhash64("src"), F.lit(SLICES)).cast("int"))
+    part = F.pmod(F.xxhash64("dst"), F.lit(PARTS)).alias("_part")
+    held = targets.groupBy("name", part).agg(F.collect_list(F.struct("dst"))["dst"].alias("_all"))  # within a struct a null is collected too
+    rows = held.select("name", F.explode(F.expr(f"transform(sequence(0, (size(_all) - 1) div {CHUNK}), k -> slice(_all, k * {CHUNK} + 1, {CHUNK}))")).alias("_dsts"))
+    for more in (*names, dealt.select("name", "_slice").distinct()):
+        rows = rows.join(more, "name")
+    # tasks by number: few bytes make many pairs, so bytes don't tell how many are of use.  Merged, the pairs of a site and a row are made and passed on one site at a time; a hash table of sites would hold them all
+    spark = sites.sparkSession
+    tasks = max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.repartition(tasks, "name", "_slice").hint("merge").join(rows, ["name", "_slice"]).select("*", F.explode("_dsts").alias("dst")).drop("_slice", "_dsts")
+
+
 def resolve_calls(call_sites: DataFrame, nodes: DataFrame, mode: str = "closed") -> DataFrame:
     """(src, dst) of calls: nodes of any kind that have the called name, but the caller itself.
 
     strict: a caller sees the nodes up to itself; only if none of them has the name, later nodes are taken.
     """
     sites = call_sites.filter("callee_name <> ''").select(F.col("caller_id").alias("src"), F.col("callee_name").alias("name")).distinct()
-    found = sites.join(nodes.select(F.col("node_id").alias("dst"), "name"), "name")
     if _mode(mode):
+        found = sites.join(nodes.select(F.col("node_id").alias("dst"), "name"), "name")
         early = F.bool_or(F.col("dst") <= F.col("src")).over(W.partitionBy("src", "name"))
         found = found.withColumn("early", early).filter(~F.col("early") | (F.col("dst") <= F.col("src")))
-    return found.filter("src <> dst").select("src", "dst").distinct()
+        return found.filter("src <> dst").select("src", "dst").distinct()
+    named = nodes.filter("node_id is not null and name is not null").select(F.col("node_id").alias("dst"), "name")
+    found = lambda targets: _meet(sites, targets).filter("src <> dst").select("src", "dst")
+    ids = named.groupBy("dst").agg(F.collect_set("name").alias("names"))
+    # a pair comes twice only if its node's id stands with several names
+    return found(ids.filter("size(names) = 1").select("dst", F.col("names")[0].alias("name"))).union(found(ids.filter("size(names) > 1").select("dst", F.explode("names").alias("name"))).distinct())
 
 
 def resolve_impls(impl_sites: DataFrame, nodes: DataFrame, mode: str = "closed", call_sites: DataFrame | None = None) -> DataFrame:

@@ -297,6 +297,33 @@ def test_resolution_modes(spark):
         resolve.resolve_calls(s, n, "odd")
 
 
+def moved(spark):
+    """Rows that all shuffles so far have written."""
+    doubles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, doubles, None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+@pytest.mark.parametrize("mode", ["closed"])
+def test_calls_of_a_frequent_name_do_not_move_as_pairs(spark, mode):
+    n = spark.range(500).selectExpr("id * 2 as node_id", "if(id < 500, 'x', 'y') as name")
+    s = spark.range(500).selectExpr("id * 2 + 1 as caller_id", "if(id < 500, 'x', 'y') as callee_name")
+    before = moved(spark)
+    found = resolve.resolve_calls(s, n, mode)
+    parts = found.select(F.spark_partition_id().alias("p"), "src", "dst").collect()
+    want = {(a, b) for a in range(1, 1000, 2) for b in range(0, 1000, 2) if mode == "closed" or b < a}
+    assert {(r.src, r.dst) for r in parts} == want and len(parts) == len(want)
+    assert moved(spark) - before < 10_000 and len({r.p for r in parts}) > 1
+
+
+def test_calls_with_ids_of_several_names(spark):
+    n = spark.createDataFrame([(1, "a"), (1, "b"), (1, "a"), (2, "a"), (2, None), (None, "a"), (3, "c"), (9, "b")], "node_id long, name string")
+    s = spark.createDataFrame([(5, "a"), (5, "b"), (5, "a"), (1, "a"), (None, "a"), (6, None), (6, ""), (0, "c")], "caller_id long, callee_name string")
+    told = lambda mode: sorted(tuple(r) for r in resolve.resolve_calls(s, n, mode).collect())
+    assert told("closed") == [(0, 3), (1, 2), (5, 1), (5, 2), (5, 9)] and told("strict") == [(0, 3), (5, 1), (5, 2)]
+
+
 def test_strict_impls_need_a_deferred_call(spark):
     nodes = spark.createDataFrame([(0, "A", "Struct"), (1, "T", "Trait"), (2, "T", "Trait"), (3, "f", "Function")], "node_id long, name string, kind string")
     impls = spark.createDataFrame([(0, "T", 0)], "impl_id long, trait_name string, seq int")
