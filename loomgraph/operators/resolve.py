@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 #: closed: every match.  strict: as if nodes came one by one in order of their ids, see `resolve_calls`.
 MODES = ("closed", "strict")
@@ -43,13 +42,10 @@ def resolve_calls(call_sites: DataFrame, nodes: DataFrame, mode: str = "closed")
     strict: a caller sees the nodes up to itself; only if none of them has the name, later nodes are taken.
     """
     sites = call_sites.filter("callee_name <> ''").select(F.col("caller_id").alias("src"), F.col("callee_name").alias("name")).distinct()
-    if _mode(mode):
-        found = sites.join(nodes.select(F.col("node_id").alias("dst"), "name"), "name")
-        early = F.bool_or(F.col("dst") <= F.col("src")).over(W.partitionBy("src", "name"))
-        found = found.withColumn("early", early).filter(~F.col("early") | (F.col("dst") <= F.col("src")))
-        return found.filter("src <> dst").select("src", "dst").distinct()
     named = nodes.filter("node_id is not null and name is not null").select(F.col("node_id").alias("dst"), "name")
-    found = lambda targets: _meet(sites, targets).filter("src <> dst").select("src", "dst")
+    first = [named.groupBy("name").agg(F.min("dst").alias("first"))] if _mode(mode) else []
+    seen = "src <> dst and (first > src or dst <= src)" if first else "src <> dst"
+    found = lambda targets: _meet(sites, targets, *first).filter(seen).select("src", "dst")
     ids = named.groupBy("dst").agg(F.collect_set("name").alias("names"))
     # a pair comes twice only if its node's id stands with several names
     return found(ids.filter("size(names) = 1").select("dst", F.col("names")[0].alias("name"))).union(found(ids.filter("size(names) > 1").select("dst", F.explode("names").alias("name"))).distinct())

@@ -305,7 +305,7 @@ def moved(spark):
     return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
 
 
-@pytest.mark.parametrize("mode", ["closed"])
+@pytest.mark.parametrize("mode", ["closed", "strict"])
 def test_calls_of_a_frequent_name_do_not_move_as_pairs(spark, mode):
     n = spark.range(500).selectExpr("id * 2 as node_id", "if(id < 500, 'x', 'y') as name")
     s = spark.range(500).selectExpr("id * 2 + 1 as caller_id", "if(id < 500, 'x', 'y') as callee_name")
