@@ -66,11 +66,11 @@ def resolve_impls(impl_sites: DataFrame, nodes: DataFrame, mode: str = "closed",
 def resolve_refs(name_refs: DataFrame, nodes: DataFrame, mode: str = "closed") -> DataFrame:
     """(src, dst, kind) of other references.  With target kinds the first match of such a kind counts, without them every
     match.  strict: only nodes before the source are seen.  A reference that is listed twice is resolved twice."""
-    refs = name_refs.withColumn("_ref", F.monotonically_increasing_id())
-    found = refs.join(nodes.select(F.col("node_id").alias("dst"), "name", F.col("kind").alias("_kind")), F.col("ref_name") == F.col("name"))
-    found = found.filter(F.col("target_kinds").isNull() | F.array_contains(F.coalesce("target_kinds", F.array().cast("array<string>")), F.col("_kind")))
-    if _mode(mode):
-        found = found.filter("dst < src")
-    every = found.filter("target_kinds is null").select("src", "dst", F.col("edge_kind").alias("kind"))
-    first = found.filter("target_kinds is not null").groupBy("_ref", "src", "edge_kind").agg(F.min("dst").alias("dst")).select("src", "dst", F.col("edge_kind").alias("kind"))
-    return every.union(first)
+    strict = _mode(mode)
+    sites = name_refs.withColumnRenamed("ref_name", "name")
+    every = _meet(sites.filter("target_kinds is null").select("src", "name", "edge_kind"), nodes.filter("name is not null").select(F.col("node_id").alias("dst"), "name"))
+    firsts = nodes.groupBy("name", "kind").agg(F.min("node_id").alias("dst")).groupBy("name").agg(F.collect_list(F.struct("kind", "dst")).alias("_firsts"))
+    fit = F.filter("_firsts", lambda x: F.array_contains("target_kinds", x["kind"]))
+    first = sites.filter("target_kinds is not null").join(firsts, "name").select("src", "edge_kind", fit.alias("_fit")).filter("size(_fit) > 0").withColumn("dst", F.array_min("_fit.dst"))
+    found = every.select("src", "dst", F.col("edge_kind").alias("kind")).union(first.select("src", "dst", F.col("edge_kind").alias("kind")))
+    return found.filter("dst < src") if strict else found

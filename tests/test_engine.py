@@ -324,6 +324,25 @@ def test_calls_with_ids_of_several_names(spark):
     assert told("closed") == [(0, 3), (1, 2), (5, 1), (5, 2), (5, 9)] and told("strict") == [(0, 3), (5, 1), (5, 2)]
 
 
+@pytest.mark.parametrize("mode", ["closed", "strict"])
+def test_refs_by_brute_force(spark, mode):
+    """Also of a frequent name, which is the work of several tasks; and no pairs are made where a first match is asked for."""
+    import random
+
+    rng = random.Random(6)
+    nodes = [(rng.randrange(60), rng.choice(["x", "x", "y", "z", None]), rng.choice(["Struct", "Trait", "Enum", None])) for _ in range(120)]
+    refs = [(rng.randrange(60), rng.choice(["x", "x", "y", "w", None]), rng.choice(["TypeRef", "References"]), rng.choice([None, [], ["Struct"], ["Trait", "Enum", "Struct"], ["Enum", None]])) for _ in range(150)]
+    want = []
+    for src, name, kind, kinds in refs:
+        hits = [d for d, m, k in nodes if name is not None and m == name and (kinds is None or k is not None and k in kinds) and (mode == "closed" or d < src)]
+        want += [(src, d, kind) for d in (hits if kinds is None else sorted(hits)[:1])]
+    n, r = spark.createDataFrame(nodes, "node_id long, name string, kind string"), spark.createDataFrame(refs, "src long, ref_name string, edge_kind string, target_kinds array<string>")
+    found = resolve.resolve_refs(r, n, mode).select("src", "dst", "kind", F.spark_partition_id().alias("p")).collect()
+    assert sorted((x.src, x.dst, x.kind) for x in found) == sorted(want)
+    every = resolve.resolve_refs(r.filter("target_kinds is null and ref_name = 'x'"), n, mode)
+    assert every.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
 def test_strict_impls_need_a_deferred_call(spark):
     nodes = spark.createDataFrame([(0, "A", "Struct"), (1, "T", "Trait"), (2, "T", "Trait"), (3, "f", "Function")], "node_id long, name string, kind string")
     impls = spark.createDataFrame([(0, "T", 0)], "impl_id long, trait_name string, seq int")
