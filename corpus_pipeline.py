@@ -28,9 +28,9 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group stays, linked at a similarity of 0.8 of five-word shingles; a document
-    is a doc_id and a text, of rows that repeat both one counts.  Rows without a doc_id can't be told apart by it and stay."""
-    found = stage(simhash.similar_texts(docs), "groups")
+    """The document with the smallest doc_id of each group stays, linked by SimHash fingerprints as `op4_simhash` links them, and where
+    fingerprints tell near copies apart at a similarity of 0.8 of five-word shingles; a document is a doc_id and a text, of rows that repeat both one counts.  Rows without a doc_id can't be told apart by it and stay."""
+    found = stage(simhash.near_texts(docs), "groups")
     leads = found.groupBy("component").agg(F.min(F.struct("doc_id", "version")).alias("lead"))
     gone = found.join(leads, "component").filter(F.struct("doc_id", "version") != F.col("lead")).select("doc_id", F.col("version").alias("_version"))
     keyed = docs.withColumn("_version", F.xxhash64("text"))

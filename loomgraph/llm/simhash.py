@@ -558,6 +558,20 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     return found.join(ids, "component").select("doc_id", "component_id").distinct()
 
 
+def near_texts(docs: DataFrame, shingle: int = 3, bucket_rows: int = 100_000, wide: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id, version (a hash of the text), component (its smallest version): texts that are linked by `near_duplicates`, i.e. by
+    fingerprints of ``shingle`` words met over Golay keys, or by `similar_texts` of ``wide`` words, or over both in turns.  The fingerprints' links all
+    count; similarity adds the near copies that fingerprints tell apart.  Null doc_ids take no part.
+    """
+    texts = docs.filter("doc_id is not null").select(F.xxhash64("text").alias("doc_id"), "text")
+    alike = stage(near_duplicates(texts, shingle, bucket_rows).filter("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).distinct(), "simhash-groups")
+    similar = stage(similar_texts(docs, wide, similarity), "similar-texts")
+    leads = similar.groupBy("component").agg(F.min("version").alias("b"), F.max("version").alias("most")).filter("b < most")  # of one text: no link
+    found = similar.join(broadcast_if(leads.select("component", "b")), "component").filter("version <> b").select(F.col("version").alias("a"), "b")
+    member = components(alike.union(found)).select(F.col("node").alias("version"), F.col("component").alias("_lead"))
+    return similar.select("doc_id", "version").join(broadcast_if(member), "version", "left").select("doc_id", "version", F.coalesce("_lead", "version").alias("component"))
+
+
 def broadcast_if(ids: DataFrame, most: int = 500_000, name: str | None = "ids") -> DataFrame:
     """``ids`` to be broadcast if they are counted to be few; else a join shuffles.  They are written first, unless ``name`` is None
     because they are columns of a table that is."""

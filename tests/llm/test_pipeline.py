@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import corpus_pipeline
+from loomgraph.llm import simhash
 from loomgraph.llm.queries import tokenizer
 
 RNG = random.Random(21)
@@ -85,3 +86,20 @@ def test_near_stage_keeps_texts_that_share_a_doc_id(spark):
     df = spark.createDataFrame([(d, t, "en", "s", 7) for d, t in [*rows, extra, extra]], DDL)
     kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_stage(spark, df, "").collect())
     assert kept == sorted([(1, a), (2, b), (2, c), rows[4], (0, a), extra])
+
+
+def test_near_stage_links_by_fingerprints(spark):
+    """Two texts within two bits that share less than 0.8 of their five-word shingles, and one that only these link to the second."""
+    rng = random.Random(7)
+    words = lambda n: " ".join("".join(rng.choices(["ba", "lo", "ter", "min", "sha", "ren", "ti", "cor"], k=rng.randrange(2, 5))) for _ in range(n))
+    passage, one, other = words(60), words(12), words(12)
+    texts = [" ".join([passage] * 9 + [one]), " ".join([passage] * 9 + [other]), " ".join([passage] * 2 + [other])]
+    apart = lambda a, b: (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+    a, b, c = (set(simhash.shingles(simhash._words(t), 5).tolist()) for t in texts)
+    assert apart(texts[0], texts[1]) <= 2 < min(apart(texts[0], texts[2]), apart(texts[1], texts[2])) and len(a & b) < 0.8 * len(a | b) and b == c
+    far = [(k, good()) for k in range(10, 13)]
+    df = spark.createDataFrame([(d, t, "en", "s", 7) for d, t in [*enumerate(texts, 1), *far, (20, texts[1].upper()), (None, texts[0])]], DDL)
+    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.near_stage(spark, df, "").collect())
+    assert kept == sorted([(1, texts[0]), *far, (0, texts[0])])
+    fewer = df.filter("doc_id is null or doc_id <> 2 and doc_id <> 20")
+    assert {r.doc_id for r in corpus_pipeline.near_stage(spark, fewer, "").collect()} == {1, 3, 10, 11, 12, None}
