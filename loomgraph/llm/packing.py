@@ -23,6 +23,7 @@ table gives no rows, a null doc_id stays null, extra columns are dropped.
 from __future__ import annotations
 
 import bisect
+import re
 from array import array
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -39,9 +40,11 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 PIECES_DDL = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, tier long, step_group long"
 #: Tokens that a block holds at most, but for one document more.
 BLOCK_TOKENS = 1 << 21
-#: Words, and parts of words, whose ids a worker remembers at most.
+#: Words, and parts of words, whose ids a worker remembers at most, and as many older ones.
 REMEMBERED = 150_000
 _PART = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: The same for lower-cased ASCII.
+_ASCII_PART = re.compile(r"[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -55,38 +58,44 @@ class Ids(dict):
     """word -> its ids as little-endian 32-bit integers.  White space always ends a token of the vocabulary in use, so the ids of
     a text are those of its words, one after another.  A word of the Latin blocks is lower-cased, cut into runs of letters, digits
     and marks, and these go to the tokenizer's model; any other word, and one that holds an added token's text, goes through the whole
-    tokenizer, which gives that text the added token's id."""
+    tokenizer, which gives that text the added token's id.
+
+    A run is remembered as the word that it is.  When REMEMBERED are held they become the older ones, the older ones before them go,
+    and a word that is met again moves back: words in use stay through any number of words that come once."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.letters, self.parts = self.tokenizer.model, _byte_letters(), {}
+        self.model, self.letters, self.older = self.tokenizer.model, _byte_letters(), {}
         added = self.tokenizer.get_added_tokens_decoder().values()
         if any(t.lstrip or t.rstrip or t.normalized or len(t.content.split()) != 1 for t in added):
             raise ValueError("added tokens that take or hold white space can't be found word by word")
         self.added = tuple(t.content for t in added)
+        #: A character that each added token has, or none: most words are told by it.
+        self.mark = min(set.intersection(*map(set, self.added)), default="") if self.added else ""
 
     def __missing__(self, word: str) -> bytes:
-        if not word:
-            found = b""
-        elif max(word) < "\u0250" and "'" not in word and "\u0130" not in word and not any(map(word.__contains__, self.added)):
-            found = b"".join(map(self.part, _PART.findall(word.lower())))
-        else:
-            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        found = self.older.pop(word, None)
+        if found is None:
+            found = self.made(word)
         if len(self) >= REMEMBERED:
+            self.older = self.copy()
             self.clear()
         self[word] = found
         return found
 
-    def part(self, part: str) -> bytes:
-        found = self.parts.get(part)
-        if found is None:
-            found = array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]).tobytes()
-            if len(self.parts) >= REMEMBERED:
-                self.parts.clear()
-            self.parts[part] = found
-        return found
+    def made(self, word: str) -> bytes:
+        if not word.isascii() and (max(word) >= "\u0250" or "\u0130" in word) or "'" in word or self.mark in word and any(map(word.__contains__, self.added)):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        low = word.lower()
+        if not low.isalpha():
+            parts = (_ASCII_PART if low.isascii() else _PART).findall(low)
+            if parts != [word]:
+                return b"".join(map(self.__getitem__, parts))
+        elif low != word:
+            return self[low]
+        return array("I", [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]).tobytes()
 
     def of(self, text: str | None, end: bytes) -> bytes:
         return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" "))) + end

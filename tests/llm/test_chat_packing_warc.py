@@ -1,6 +1,6 @@
 import hashlib
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -110,6 +110,37 @@ def test_packing_is_whole_and_full(spark):
     assert sorted(got) == want
 
 
+class CountingModel:
+    def __init__(self, model):
+        self.model, self.asked = model, Counter()
+
+    def tokenize(self, part):
+        self.asked[part] += 1
+        return self.model.tokenize(part)
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    """op2_packing's CPU seconds are those of words that are made again."""
+    monkeypatch.setattr(packing, "REMEMBERED", 500)
+    ids = packing.Ids(tokenizer("word_bpe_49k.json"))
+    ids.model = model = CountingModel(ids.model)
+    common = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiou"]
+    rare = ["".join(chr(97 + k // 26**i % 26) for i in range(4)) for k in range(5000)]
+    text = [" ".join([*common, *rare[k : k + 50], *(w.title() + "!" for w in common)]) for k in range(0, len(rare), 50)]
+    got = [ids.of(x, b"") for x in text]
+    assert [np.frombuffer(b, "<u4").tolist() for b in got] == [e.ids for e in ids.tokenizer.encode_batch(text, add_special_tokens=False)]
+    assert max(model.asked.values()) == 1
+    assert len(ids) <= 500 and len(ids.older) <= 500
+
+
+def test_ids_of_each_character():
+    """Every Latin character and what lies around it, alone, inside words and beside marks, as the tokenizer has it."""
+    ids = packing.Ids(tokenizer("word_bpe_49k.json"))
+    for c in map(chr, [*range(0x300), 0x1E9E, 0x2C65, 0x3042, 0x1F600]):
+        for text in (c, f"a{c}b", f"A{c}{c}B", f"1{c}2", f"<|{c}|>", f"{c}.{c}!", f"x {c} y", f"é{c}É", f"<|endoftext|>{c}<|endoftext|"):
+            assert np.frombuffer(ids.of(text, b""), "<u4").tolist() == ids.tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_step_groups_are_balanced():
     sequences = [(1024, [packing.Piece(1, bytes(4 * 512), 0, 9), packing.Piece(2, bytes(4 * 512), 0, 9)]) for _ in range(32)] + [(1024, [packing.Piece(1, bytes(4 * 1024), 0, 9)]) for _ in range(32)]
     groups = packing.step_groups(sequences, 16 * 1024)
