@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: closed: every match.  strict: as if nodes came one by one in order of their ids, see `resolve_calls`.
 MODES = ("closed", "strict")
-#: Tasks that the sites of one name are dealt out to, parts that its nodes are gathered in, nodes that a row holds at most; tasks for
+#: Tasks that the sites of one name are dealt out to, parts that its nodes are sorted in; sites and nodes of a tile at most; tasks for
 #: each core.
-SLICES, PARTS, CHUNK, TASKS = 8, 8, 4096, 8
+SLICES, PARTS, SITES, NODES, TASKS = 8, 8, 256, 256, 8
 
 
 def _mode(mode: str) -> bool:
@@ -18,22 +19,34 @@ def _mode(mode: str) -> bool:
     return mode == "strict"
 
 
+def _tiles(rows: DataFrame, keys: list[str], columns: list[str], size: int) -> DataFrame:
+    """(keys, _tile, _rows): the rows of the same keys in the order of ``columns``, ``size`` of them gathered at most."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*columns))
+    numbered = rows.withColumn("_tile", F.floor((place - 1) / size))
+    return numbered.groupBy(*keys, "_tile").agg(F.collect_list(F.struct(*columns)).alias("_rows"))  # within a struct a null is collected too
+
+
 def _meet(sites: DataFrame, targets: DataFrame, *names: DataFrame) -> DataFrame:
     """Each row of ``sites`` (src, name, ...) with each of ``targets`` (dst, name) of its name, and the columns of ``names`` (name, ...).
 
     What moves is a site once and a node once for each slice of its name's sites; pairs arise behind the last shuffle, row by row, and
     move no more.  So a name with many sites and nodes costs disk by their sum and is the work of `SLICES` tasks; the pairs are the output.
+    They come tile by tile: some sites, each with the same few nodes in the same order.  A column file holds a site's run and the
+    repeated nodes by reference then, which takes a tenth of the disk or less that all nodes of a name after each site take.
     """
+    columns = [c for c in sites.columns if c != "name"]
     dealt = sites.withColumn("_slice", F.pmod(F.xxhash64("src"), F.lit(SLICES)).cast("int"))
-    part = F.pmod(F.xxhash64("dst"), F.lit(PARTS)).alias("_part")
-    held = targets.groupBy("name", part).agg(F.collect_list(F.struct("dst"))["dst"].alias("_all"))  # within a struct a null is collected too
-    rows = held.select("name", F.explode(F.expr(f"transform(sequence(0, (size(_all) - 1) div {CHUNK}), k -> slice(_all, k * {CHUNK} + 1, {CHUNK}))")).alias("_dsts"))
+    parts = targets.withColumn("_part", F.pmod(F.xxhash64("dst"), F.lit(PARTS)))
+    rows = _tiles(parts, ["name", "_part"], ["dst"], NODES).select("name", F.col("_rows.dst").alias("_dsts"))
     for more in (*names, dealt.select("name", "_slice").distinct()):
         rows = rows.join(more, "name")
-    # tasks by number: few bytes make many pairs, so bytes don't tell how many are of use.  Merged, the pairs of a site and a row are made and passed on one site at a time; a hash table of sites would hold them all
+    # tasks by number: few bytes make many pairs, so bytes don't tell how many are of use
     spark = sites.sparkSession
     tasks = max(TASKS * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.repartition(tasks, "name", "_slice").hint("merge").join(rows, ["name", "_slice"]).select("*", F.explode("_dsts").alias("dst")).drop("_slice", "_dsts")
+    tiles = _tiles(dealt.repartition(tasks, "name", "_slice"), ["name", "_slice"], columns, SITES).drop("_tile")
+    # merged, one tile of sites is held with its rows; compiled code keeps all that it makes of one input row, and a lambda isn't compiled, so that the pairs of one site and tile are made and passed on at a time
+    met = tiles.hint("merge").join(rows, ["name", "_slice"]).withColumn("_site", F.explode(F.transform("_rows", lambda x: x)))
+    return met.select("name", "_site.*", *[c for c in rows.columns if c not in ("name", "_slice")]).withColumn("dst", F.explode("_dsts")).drop("_dsts")
 
 
 def resolve_calls(call_sites: DataFrame, nodes: DataFrame, mode: str = "closed") -> DataFrame:
