@@ -360,6 +360,16 @@ def test_refs_by_brute_force(spark, mode):
     assert every.select(F.spark_partition_id().alias("p")).distinct().count() > 1
 
 
+def test_refs_of_a_frequent_name_take_little_disk(spark, tmp_path):
+    """Also with references and nodes that are listed twice and with nulls for ids."""
+    n = spark.range(2800).selectExpr("if(id % 400 = 7, null, id div 2 * 2) as node_id", "'x' as name", "'Struct' as kind")
+    r = spark.range(2400).selectExpr("if(id % 600 = 9, null, id div 2) as src", "'x' as ref_name", "if(id % 2 = 0, 'TypeRef', 'References') as edge_kind", "cast(null as array<string>) as target_kinds")
+    want = r.crossJoin(n).selectExpr("src", "node_id as dst")
+    found = resolve.resolve_refs(r, n)
+    assert written(spark, found, tmp_path / "refs", want) < 0.5
+    assert {x.kind: x["count"] for x in found.groupBy("kind").count().collect()} == {"TypeRef": 1200 * 2800, "References": 1200 * 2800}
+
+
 def test_strict_impls_need_a_deferred_call(spark):
     nodes = spark.createDataFrame([(0, "A", "Struct"), (1, "T", "Trait"), (2, "T", "Trait"), (3, "f", "Function")], "node_id long, name string, kind string")
     impls = spark.createDataFrame([(0, "T", 0)], "impl_id long, trait_name string, seq int")
